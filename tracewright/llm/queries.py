@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import pairs, sequences
+from tracewright.llm import pairs, sequences, truncation
 from tracewright.sources.tables import prepare, table
 
 
@@ -13,6 +13,19 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defective_pairs(table(prepare(spark), base, "decision_journals")).select("record_id", "answer_field", "call_no", "defect_type")
 
 
+def _values(spark: SparkSession, base: str) -> DataFrame:
+    prepare(spark)
+    return truncation.all_values(*(table(spark, base, t) for t in ("decision_journals", "agent_events", "spans")))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.cut_values(_values(spark, base))
+
+
+def p2_shares(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.cut_shares(_values(spark, base))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     seqs = sequences.latest_sequences(table(prepare(spark), base, "decision_journals"))
     return sequences.frequent_patterns(seqs, 0.03).select(F.array_join("steps", ">").alias("pattern"))
@@ -23,7 +36,7 @@ def p5_supports(spark: SparkSession, base: str) -> DataFrame:
     return sequences.frequent_patterns(seqs, 0.03).select(F.array_join("steps", ">").alias("pattern"), "support", "closed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_supports)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p5_found, p5_supports)}
 
 _TOOL_STEPS = """
 WITH latest AS (
