@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import pairs, sequences, truncation
+from tracewright.llm import pairs, pii, sequences, truncation
 from tracewright.sources.tables import prepare, table
 
 
@@ -26,6 +26,20 @@ def p2_shares(spark: SparkSession, base: str) -> DataFrame:
     return truncation.cut_shares(_values(spark, base))
 
 
+def _prose(spark: SparkSession, base: str) -> DataFrame:
+    prepare(spark)
+    return pii.texts(table(spark, base, "decision_journals"), table(spark, base, "spans"))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.values(_prose(spark, base))
+
+
+def p4_rewritten(spark: SparkSession, base: str) -> DataFrame:
+    """Each text that holds personal data, with typed placeholders and with surrogates. A key for tests only."""
+    return pii.rewritten(_prose(spark, base), b"public test key")
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     seqs = sequences.latest_sequences(table(prepare(spark), base, "decision_journals"))
     return sequences.frequent_patterns(seqs, 0.03).select(F.array_join("steps", ">").alias("pattern"))
@@ -36,7 +50,7 @@ def p5_supports(spark: SparkSession, base: str) -> DataFrame:
     return sequences.frequent_patterns(seqs, 0.03).select(F.array_join("steps", ">").alias("pattern"), "support", "closed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p5_found, p5_supports)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports)}
 
 _TOOL_STEPS = """
 WITH latest AS (
