@@ -59,7 +59,7 @@ _ADDRESSES = [
     re.compile(r"(?:寄到|寄往|送到|送至|发到|发往|地址是|地址为|地址[:：]|住在|住址是|位于)?(?P<v>[一-鿿]{2,5}?(?:大道|大街|路|街|巷|弄|胡同)\d{1,5}号(?:\d{1,4}(?:号楼|栋|单元|楼|室))*)"),
     re.compile(r"(?P<v>[一-鿿々ヶ]{2,8}[0-9０-９]{1,3}丁目[0-9０-９]{1,3}番(?:地の?)?(?:[0-9０-９]{1,3}号)?(?:[0-9０-９]{1,4}号室)?)"),
 ]
-_TOKEN = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_TOKEN = r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+(?:['’-][A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+)*"
 _LATIN = rf"(?:{_TOKEN}, (?:{_TOKEN}|[A-Z]\.)|(?:{_TOKEN}|[A-Z]\.)(?: [A-Z]\.)*(?: {_TOKEN}){{1,2}}?)"
 _HAN = r"[一-鿿々ヶ]{1,4}(?:[ 　][一-鿿々ァ-ヶ]{1,4})?|[一-鿿]{2,4}|[一-鿿]+・[一-鿿]+"
 _DEVA = r"[ऀ-ॿ]+(?: [ऀ-ॿ]+){1,2}?"

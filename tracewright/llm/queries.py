@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import pairs, pii, sequences, truncation
+from tracewright.llm import pairs, pii, sentences, sequences, truncation
 from tracewright.sources.tables import prepare, table
 
 
@@ -50,7 +50,11 @@ def p5_supports(spark: SparkSession, base: str) -> DataFrame:
     return sequences.frequent_patterns(seqs, 0.03).select(F.array_join("steps", ">").alias("pattern"), "support", "closed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports)}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.sentence_units(table(prepare(spark), base, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p10_found)}
 
 _TOOL_STEPS = """
 WITH latest AS (
