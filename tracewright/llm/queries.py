@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import pairs, pii, sentences, sequences, truncation
+from tracewright.llm import mixing, packing, pairs, pii, sentences, sequences, truncation
 from tracewright.sources.tables import prepare, table
 
 
@@ -50,11 +50,37 @@ def p5_supports(spark: SparkSession, base: str) -> DataFrame:
     return sequences.frequent_patterns(seqs, 0.03).select(F.array_join("steps", ">").alias("pattern"), "support", "closed")
 
 
+def p8_packing(spark: SparkSession, base: str) -> DataFrame:
+    """Every document, or piece of one, with its container of each kind."""
+    prepare(spark)
+    return packing.packed(table(spark, base, "documents"), table(spark, base, "container_sizes"))
+
+
+def p8_unused(spark: SparkSession, base: str) -> DataFrame:
+    return packing.report(p8_packing(spark, base))
+
+
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    """Every use of a document in the mix."""
+    prepare(spark)
+    return mixing.mixed(table(spark, base, "documents"), table(spark, base, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    prepare(spark)
+    return mixing.mixed(table(spark, base, "documents"), table(spark, base, "source_targets"))[1]
+
+
+def p9_temperature(spark: SparkSession, base: str) -> DataFrame:
+    prepare(spark)
+    return mixing.temperatures(table(spark, base, "documents"), table(spark, base, "source_targets"))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.sentence_units(table(prepare(spark), base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p9_mix, p9_shares, p9_temperature, p10_found)}
 
 _TOOL_STEPS = """
 WITH latest AS (
