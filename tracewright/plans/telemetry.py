@@ -445,3 +445,42 @@ def enforced_tool_spans(t):
     shape = [F.col("record_id").cast("string").alias("journal_id"), F.col("i").cast("bigint").alias("seq"), "tool_name", F.lit("").alias("tool_use_id")]
     d = policy.decide(_calls(t), _policies(t)).where("tool_name is not null")
     return policy.marked(d.select(*shape), d.select(*shape, "decision")).select("journal_id", "seq", "tool_name", "enforced_decision")
+
+
+# --- lifecycle and streams ------------------------------------------------------------------------
+
+
+@query(
+    """WITH m AS (SELECT unnest(model_calls) AS m FROM decision_journals), c AS (SELECT unnest(tool_calls) AS c FROM decision_journals), e AS (
+  SELECT 'invocation_start' AS event_type, coalesce(length(left(user_message, 300)), 0) AS chars FROM decision_journals
+  UNION ALL SELECT 'prompt_capture', 0 FROM m UNION ALL SELECT 'cot_reasoning', coalesce(length(left(m.cot_reasoning, 300)), 0) FROM m
+  UNION ALL SELECT 'tool_call', 0 FROM c UNION ALL SELECT 'tool_result', coalesce(length(left(c.result, 200)), 0) FROM c UNION ALL SELECT 'evidence_seal', 0 FROM decision_journals WHERE sealed)
+SELECT event_type, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM e GROUP BY event_type"""
+)
+def journal_events(t):
+    from tracewright.operators import lifecycle
+
+    e = lifecycle.journal_events(t("decision_journals"))
+    text = F.coalesce(*(F.get_json_object("payload", f"$.{k}") for k in ("user_message", "cot_preview", "result_preview")), F.lit(""))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).cast("bigint").alias("chars"))
+
+
+def _stream(name: str, sql: str, job):
+    def run(spark: SparkSession, base: str) -> DataFrame:
+        from tracewright.streaming import jobs
+
+        # A pattern, so that the table may be one file or a folder of files.
+        return job(jobs, jobs.event_stream(prepare(spark), f"{base}/agent_events.parque[t]"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE[name] = sql
+
+
+_stream("stream_deduplicated", "SELECT event_type, count(DISTINCT event_id) AS n FROM agent_events GROUP BY event_type", lambda jobs, s: jobs.drained(jobs.deduplicated(s)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+_stream(
+    "stream_journal_fold",
+    f"""SELECT decision_journal_id AS journal_id, count(*) FILTER ({_KIND} = 'tool_call') AS tool_count, max(CASE WHEN {_KIND} = 'evidence_seal' THEN coalesce({_p("total_tokens", "BIGINT")}, 0) END) AS total_tokens
+FROM agent_events WHERE decision_journal_id IS NOT NULL GROUP BY decision_journal_id HAVING bool_or(coalesce({_KIND} = 'evidence_seal', false))""",
+    lambda jobs, s: jobs.drained(jobs.folded(s)),
+)
