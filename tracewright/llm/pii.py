@@ -112,11 +112,12 @@ def _enough_digits(text: str, least: int = 8) -> bool:
 
 
 def _is_name(value: str) -> bool:
+    if value[0] >= "ɐ":
+        return True
     words = re.findall(_TOKEN, value)
     if not words or any(w.lower() in _NOT_NAMES for w in words if len(w) > 1):
         return False
-    latin = value[0] < "ɐ"
-    return not latin or len([w for w in words if len(w) > 1]) >= (1 if "." in value else 2)
+    return len([w for w in words if len(w) > 1]) >= (1 if "." in value else 2)
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
