@@ -52,7 +52,7 @@ _ID_PLAIN = re.compile(rf"{_ID_CUE}[^\d\n.。।]{{0,25}}?(?<![\w.+/-])([A-Z]{{0
 _STREET = "Street|St\\.?|Avenue|Ave\\.?|Road|Rd\\.?|Lane|Ln\\.?|Drive|Boulevard|Blvd\\.?|Crescent|Close|Court|Ct\\.?|Way|Place|Square|Terrace|Row|Hill|Gardens|Parade|Grove|Mews|Walk|Path"
 _UNIT = r"(?:,? (?:Unit|Apt\.?|Apartment|Suite|Ste\.?|Flat|Floor|Room) ?#?\w+)?"
 _ADDRESSES = [
-    re.compile(rf"(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’-]+ ){{1,3}}(?:{_STREET})(?![\w]){_UNIT}"),
+    re.compile(rf"(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?!The )(?:[A-Z][\w'’-]+ ){{1,3}}(?:{_STREET})(?![\w]){_UNIT}"),
     re.compile(r"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad)|(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den) [A-ZÄÖÜ][\wäöüß-]+) \d{1,4}(?: ?[a-z])?(?!\w)"),
     re.compile(r"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta)(?: (?:de|del|la|las|los|el))*(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ-]+)+(?: (?:de|del|la|las|los)(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ-]+)+)*,?(?: (?:n[º°o]\.?|núm\.?))? ?\d{1,4}(?: ?(?:bis|[A-Z]))?(?!\w)(?:, ?\d{1,2}[ºª°] ?[A-Z]?(?!\w))?"),
     re.compile(r"(?<![\w.-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier)(?: (?:de la|de l['’]|des|du|de|aux|au|à la|d['’]))? ?[A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+(?:(?: (?:de la|des|du|de|d['’]))? [A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+)*"),
