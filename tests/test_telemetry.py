@@ -62,3 +62,18 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q = jobs.subscribed(stream, [bad, lambda b, n: seen.append(b.count())], errors.append).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(seen) == 4 and len(errors) == 1
+
+
+def test_gate_stream(spark, tmp_path):
+    from tracewright.streaming import jobs
+
+    s = lambda n: T0 + dt.timedelta(seconds=n)
+    holds = [("a", s(0)), ("b", s(0)), ("c", s(10))]
+    answers = [("a", s(5), "approved"), ("a", s(6), "pending"), ("b", s(300), "approved"), ("z", s(90_000), "late enough")]
+    requests = "hold_id string, requested_at timestamp"
+    replies = "hold_id string, at timestamp, status string"
+    spark.createDataFrame(holds, requests).write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame([("end", s(90_000))], requests).write.mode("append").parquet(str(tmp_path / "r"))
+    spark.createDataFrame(answers, replies).write.parquet(str(tmp_path / "a"))
+    out = jobs.drained(jobs.gates(spark.readStream.schema(requests).parquet(str(tmp_path / "r")), spark.readStream.schema(replies).parquet(str(tmp_path / "a"))))
+    assert {(r["hold_id"], r["outcome"]) for r in out.collect()} == {("a", "approved"), ("b", "timeout"), ("c", "timeout")}

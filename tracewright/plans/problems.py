@@ -59,7 +59,21 @@ judged AS (
   FROM refs r LEFT JOIN born b ON r.key = b.key LEFT JOIN gone g ON r.key = g.key
 )"""
 
+_NODES = """
+WITH m AS (SELECT record_id, unnest(range(len(model_calls))) AS i, unnest(model_calls) AS c FROM decision_journals),
+t AS (SELECT record_id, 'tool_calls[' || unnest(range(len(tool_calls))) || ']' AS call, unnest(tool_calls).tool_args AS args FROM decision_journals),
+once AS (SELECT record_id, call, CASE WHEN json_valid(args) THEN CASE WHEN json_type(args) = 'VARCHAR' THEN args ->> '$' ELSE args END END AS held FROM t),
+r AS (SELECT record_id, call, CASE WHEN json_valid(held) THEN CAST(held AS JSON) END AS root FROM once),
+n AS (SELECT r.record_id, r.call, j.fullkey AS k FROM r, json_tree(r.root) AS j WHERE j.type = 'OBJECT')
+SELECT record_id, '' AS parent_path, 'model_calls[' || i || ']' AS node_path FROM m
+UNION ALL SELECT record_id, 'model_calls[' || i || ']', 'model_calls[' || i || '].token_usage' FROM m WHERE cardinality(c.token_usage) > 0
+UNION ALL SELECT record_id, '', call FROM t
+UNION ALL SELECT record_id, CASE WHEN regexp_matches(k, '^\\$(\\[[0-9]+\\])*$') THEN call
+  WHEN regexp_replace(k, '\\.[^.\\[\\]]+(\\[[0-9]+\\])*$', '') = '$' THEN call || '.tool_args'
+  ELSE call || '.tool_args' || substr(regexp_replace(k, '\\.[^.\\[\\]]+(\\[[0-9]+\\])*$', ''), 2) END, call || '.tool_args' || substr(k, 2) FROM n"""
+
 ORACLE = {
+    "p3_found": _NODES,
     "p6_found": f"WITH {_REFS} SELECT table_name, row_key, orphan_kind FROM judged WHERE orphan_kind IS NOT NULL",
     "p6_report": f"""WITH {_REFS}
 SELECT table_name, CAST(seen_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS refs,

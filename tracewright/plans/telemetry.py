@@ -206,6 +206,24 @@ def response_concat(t):
     return t("decision_journals").select("record_id", F.coalesce(scalars.block_text(blocks), F.lit("")).alias("response"))
 
 
+@query("SELECT record_id, list_transform(model_calls, lambda m: left(m.cot_reasoning, 300)) AS previews FROM decision_journals")
+def model_previews(t):
+    """What a model record calls its prompt preview: the beginning of the response."""
+    return t("decision_journals").select("record_id", F.transform("model_calls", lambda m: redact.clip(m["cot_reasoning"], CAPS["model_call.prompt_preview"])).alias("previews"))
+
+
+@query(
+    """WITH c AS (SELECT record_id, unnest(range(len(tool_calls))) AS call_no, unnest(tool_calls) AS c FROM decision_journals)
+SELECT record_id, call_no, CASE WHEN c.result LIKE '{%' OR c.result LIKE '[%' THEN left(c.result, 500) WHEN c.result IS NOT NULL THEN c.result ELSE '' END AS text FROM c"""
+)
+def tool_result_texts(t):
+    c = t("decision_journals").select("record_id", F.posexplode("tool_calls").alias("call_no", "c"))
+    data = F.col("c.result").rlike(r"^[\[{]")
+    none = F.array().cast("array<struct<text:string>>")
+    text = scalars.result_text(none, F.when(~data, F.col("c.result")), F.when(data, F.col("c.result")))
+    return c.select("record_id", F.col("call_no").cast("bigint").alias("call_no"), text.alias("text"))
+
+
 # --- lookups and validation -----------------------------------------------------------------------
 
 @query("SELECT event_id, event_type FROM agent_events WHERE agent_id = (SELECT min(agent_id) FROM decision_journals)")
@@ -229,6 +247,11 @@ def events_by_journal(t):
     return lookups.by_journal(t("agent_events"), t("decision_journals").agg(F.min("journal_id")).first()[0]).select("event_id", "event_type")
 
 
+@query("SELECT record_id, journal_id FROM decision_journals WHERE agent_id = (SELECT max(agent_id) FROM decision_journals)")
+def journals_by_agent(t):
+    return lookups.by_agent(t("decision_journals"), t("decision_journals").agg(F.max("agent_id")).first()[0]).select("record_id", "journal_id")
+
+
 @query("SELECT record_id, journal_id FROM decision_journals WHERE journal_id = (SELECT max(journal_id) FROM decision_journals) ORDER BY record_id DESC LIMIT 1")
 def ledger_get(t):
     return lookups.journal(t("decision_journals"), t("decision_journals").agg(F.max("journal_id")).first()[0]).select("record_id", "journal_id")
@@ -484,3 +507,9 @@ _stream(
 FROM agent_events WHERE decision_journal_id IS NOT NULL GROUP BY decision_journal_id HAVING bool_or(coalesce({_KIND} = 'evidence_seal', false))""",
     lambda jobs, s: jobs.drained(jobs.folded(s)),
 )
+_stream(
+    "stream_window_counts",
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ingested_at) AS start_at, event_type FROM agent_events)
+SELECT epoch_us(start_at) AS window_us, event_type, count(*) AS n FROM w WHERE start_at + INTERVAL 1 HOUR <= (SELECT max(ingested_at) - INTERVAL 7 DAY FROM agent_events) GROUP BY start_at, event_type""",
+    lambda jobs, s: jobs.drained(jobs.counts(s)).select(F.unix_micros("window.start").alias("window_us"), "event_type", "n"),
+)
