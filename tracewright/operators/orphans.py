@@ -110,7 +110,9 @@ def orphans(refs: DataFrame, journals: DataFrame, deletions: DataFrame, grace_mi
     born = journals.select(clean_key("journal_id").alias("key"), F.col("ingested_at").alias("at")).where("key is not null").groupBy("key").agg(F.min("at").alias("born"))
     gone = deletions.select(clean_key("journal_id").alias("key")).where("key is not null").distinct()
     if ranges is None:
-        ranges = 1 + int(born.select(F.approx_count_distinct("key", 0.05)).first()[0] * 1.5 / RANGE_KEYS)
+        # Keys of both sides: references may name more journals than there are.
+        keys = refs.select("key").unionByName(born.select("key"))
+        ranges = 1 + int(keys.select(F.approx_count_distinct("key", 0.05)).first()[0] * 1.5 / RANGE_KEYS)
     used = refs.select("key", _hour("at").alias("hour")).distinct().select("key", "hour", F.lit(False).alias("parent"))
     # Deleted journals count as absent, so their references stay suspects.
     present = born.join(gone, "key", "left_anti").select("key", _hour("born").alias("hour"), F.lit(True).alias("parent"))
