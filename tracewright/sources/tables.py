@@ -42,6 +42,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, before costly work in Python.
+
+    Only tables in a few files that can't be split are shuffled for it; at any real size the scan has more partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clean_key(column: str):
     """An identifier without regard to case and outer blanks; blank ones become null."""
     return F.nullif(F.lower(F.trim(F.col(column))), F.lit(""))
