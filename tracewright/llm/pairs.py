@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import endings, language
 from tracewright.llm.labelmodel import LabelModel
-from tracewright.sources.tables import settled
+from tracewright.sources.tables import settled, spread
 
 _WORDS = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -138,9 +138,9 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vote_table(journals: DataFrame) -> DataFrame:
-    """(record_id, answer_field, call_no, mask) of every pair of the sealed rows; map-only."""
+    """(record_id, answer_field, call_no, mask) of every pair of the sealed rows."""
     pairs = journals.where("sealed").select("record_id", F.col("user_message").alias("question"), F.col("final_response").alias("response"), F.col("model_calls.cot_reasoning").alias("thoughts"))
-    return pairs.mapInArrow(_vote, VOTES)
+    return spread(pairs).mapInArrow(_vote, VOTES)
 
 
 def _patterns(masks: np.ndarray, defect: str) -> np.ndarray:

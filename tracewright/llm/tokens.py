@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracewright.sources.tables import spread
+
 DEFAULT = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Letters, digits, other signs and blanks apart, as byte-level vocabularies expect.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,11 +56,11 @@ def count(text: str | None, path: str = DEFAULT) -> int:
 
 
 def with_sizes(documents: DataFrame, path: str = DEFAULT) -> DataFrame:
-    """(doc_id, source, n_tokens) of every document; map-only, texts don't leave their task."""
+    """(doc_id, source, n_tokens) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.array([count(t, path) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), sizes], ["doc_id", "source", "n_tokens"])
 
-    return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long")
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, "doc_id long, source string, n_tokens long")
