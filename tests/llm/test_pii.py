@@ -57,3 +57,27 @@ def test_collisions_are_drawn_again(spark):
     found = spark.createDataFrame([(k, v) for *_, k, v in rows], "pii_type string, pii_value string")
     table = pii.surrogate_table(found, KEY).collect()
     assert len(table) == 90 and len({r["surrogate"] for r in table}) == 90
+
+
+ADDRESSES = [
+    ("Calle del Olmo Viejo, 65", "Olmo Viejo", "Calle del "), ("76 bis, allée du Vieux Puits", "Vieux Puits", " bis, allée du "), ("12 rue Hugo", "Hugo", " rue "), ("青苔路100号", "青 苔", "路"), ("霞原町8丁目11番12号", "霞 原", "町"),
+    ("219 Foxhollow Hill Crescent, Apt 22", "Foxhollow Hill", " Crescent, Apt "), ("Moorwiesenstraße 83 b", "Moorwiesen", "straße "), ("Am Mühlbach 3", "Mühlbach", "Am "), ("5 rue de l'Église", "Église", " rue de l'"),
+]
+
+
+@pytest.mark.parametrize("value,gone,kept", ADDRESSES)
+def test_no_name_of_an_address_stays(value, gone, kept):
+    for n in range(50):
+        made = pii.surrogate("street_address", value, b"%d" % n)
+        assert kept in made and all(w not in made if len(w) > 1 else made[value.index(w)] != w for w in gone.split()), made
+        assert [c.isdigit() for c in made if c.isdigit() or c in ",'"] == [c.isdigit() for c in value if c.isdigit() or c in ",'"]
+
+
+def test_surrogates_differ_from_their_values():
+    assert all(pii.surrogate(k, v, b"%d" % n) != v for n in range(200) for k, v in (("street_address", "青路7号"), ("id_number", "7"), ("person_name", "Alva Aldacker"), ("person_name", "安安")))
+
+
+def test_names_never_run_out(spark):
+    rows = [("person_name", f"आ{chr(0x915 + i % 30)}{chr(0x915 + i // 30)} राव") for i in range(600)] + [("person_name", f"{chr(0x4E00 + i)}川") for i in range(600)]
+    table = pii.surrogate_table(spark.createDataFrame(rows, "pii_type string, pii_value string"), KEY).collect()
+    assert len({r["surrogate"] for r in table}) == 1200 and not [r for r in table if any(c.isascii() and c.isalnum() for c in r["surrogate"])]

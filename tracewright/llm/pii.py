@@ -209,6 +209,19 @@ _HAN_PARTS = ("安柏岑戴艾方高何季康雷莫宁欧潘秦", "安波辰德
 _DEVA_PARTS = ("आरव कबीर मोहन रोहन सुरेश विवेक अनिल दीपक मीरा रेखा सीमा लता आशा गीता राधा नेहा".split(), "बंसल चोपड़ा देसाई गुप्ता जोशी कपूर मेहता नायर पटेल राव सेठी त्रिपाठी वर्मा यादव मिश्रा शर्मा".split())
 
 
+_MIDDLE = "an el in or ul ar en il om ur ad es ib ot uv ym".split()
+_DEVA_MORE = "पुर वाल कर नाथ दास मणि राज वीर देव सेन लाल चंद गढ़ भान जीत धर".split()
+_ARTICLES = frozenset("de del la las los el le les des du d l aux au à et y".split())
+# The parts of an address: what stays before the name, the name, what stays behind it.
+_EN_STREET = re.compile(rf"(\d{{1,5}}[A-Za-z]? )(.+?)( (?:{_STREET})(?:{_UNIT}))", re.I)
+_FR_STREET = re.compile(r"(\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier) ?)(.+)()", re.I)
+_ES_STREET = re.compile(r"((?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta) ?)(.+?)(,?(?: (?:n[º°o]\.?|núm\.?))? ?\d.*)", re.I)
+_DE_STREET = re.compile(r"((?:(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den) )?)(.+?)((?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad)? \d.*)", re.I)
+_ZH_STREET = re.compile(r"()(.+?)((?:大道|大街|路|街|巷|弄|胡同)\d.*)")
+_JA_STREET = re.compile(r"()(.+?)([0-9０-９]+丁目.*)")
+_JA_PLACES = "都道府県市区郡町村"
+
+
 class _Draw:
     """Numbers drawn from a keyed hash."""
 
@@ -247,23 +260,48 @@ def _checked(text: str) -> str:
     return next(t for d in range(10) if luhn(t := text[:at] + chr(zero + d) + text[at + 1 :]))
 
 
-def _name(text: str, draw: _Draw) -> str:
+def _word(old: str, draw: _Draw, more: int = 0) -> str:
+    """An invented word in the case of ``old``, never the same; ``more`` syllables in between."""
+    new = old
+    while new.casefold() == old.casefold():
+        new = _FAMILY[0][draw.below(16)] + "".join(_MIDDLE[draw.below(16)] for _ in range(more)) + _FAMILY[1][draw.below(16)]
+    return new.upper() if len(old) > 1 and old.isupper() else new.lower() if old.islower() else new
+
+
+def _sign(i: int, old: str, draw: _Draw) -> str:
+    new = old
+    while new == old:
+        new = _HAN_PARTS[min(i, 2)][draw.below(16)]
+    return new
+
+
+def _signs(old: str, draw: _Draw, keep: str = "", more: int = 0) -> str:
+    """Han signs for the signs of ``old`` and ``more`` behind them; those in ``keep`` stay."""
+    out = [c if c in keep else _sign(i, c, draw) for i, c in enumerate(old)]
+    return "".join(out) + "".join(_HAN_PARTS[2][draw.below(16)] for _ in range(more))
+
+
+def _name(text: str, draw: _Draw, more: int = 0) -> str:
+    """Each of ``more`` adds a syllable or sign, so names never run out."""
     if any("一" <= c <= "鿿" for c in text):
-        return "".join(c if c in " 　・" else _HAN_PARTS[min(i, 2)][draw.below(16)] for i, c in enumerate(text))
+        return _signs(text, draw, " 　・", more)
     if any("ऀ" <= c <= "ॿ" for c in text):
-        return _DEVA_PARTS[0][draw.below(16)] + " " + _DEVA_PARTS[1][draw.below(16)]
+        return _DEVA_PARTS[0][draw.below(16)] + " " + _DEVA_PARTS[1][draw.below(16)] + "".join(_DEVA_MORE[draw.below(16)] for _ in range(more))
     swapped = ", " in text
     words = text.split(", ")[::-1] if swapped else text.split(" ")
     first = re.split(r"[ .]", words[0])[0].lower()
     gender = "f" if first[-1:] in "aeiy" else "m"
+    initial = [re.fullmatch(r"[A-Za-z]\.", w) is not None for w in words]
+    longer = max((i for i, x in enumerate(initial) if not x), default=-1)
     out = []
     for i, w in enumerate(words):
-        if re.fullmatch(r"[A-Za-z]\.", w):
+        extra = more if i == longer else 0
+        if initial[i]:
             out.append(chr(65 + draw.below(26)) + ".")
         elif i == 0:
-            out.append(_GIVEN[gender][draw.below(16)])
+            out.append(_GIVEN[gender][draw.below(16)] + "".join(_MIDDLE[draw.below(16)] for _ in range(extra)))
         else:
-            out.append("-".join(_FAMILY[0][draw.below(16)] + _FAMILY[1][draw.below(16)] for _ in w.split("-")))
+            out.append("-".join(_word(x.title(), draw, extra) for x in w.split("-")))
     if text.isupper():
         out = [w.upper() for w in out]
     elif text.islower():
@@ -271,22 +309,56 @@ def _name(text: str, draw: _Draw) -> str:
     return ", ".join(out[::-1]) if swapped else " ".join(out)
 
 
-def surrogate(kind: str, value: str, key: bytes, salt: int = 0) -> str:
-    """The replacement of one value: same type, script, case and format; the same for all spellings of an entity up to format."""
-    draw = _Draw(key, kind + "|" + fold(kind, value), salt)
+def _digits(text: str, draw: _Draw) -> str:
+    return re.sub(r"[0-9０-９]", lambda m: chr(ord(m[0]) - int(m[0]) + draw.below(10)), text)
+
+
+def _address(text: str, draw: _Draw, more: int = 0) -> str:
+    """Other numbers and other names; the words for kinds of streets and units, and articles stay."""
+    if "丁目" in text and (m := _JA_STREET.fullmatch(text)):
+        # A place's kind stays behind its name: not where the name itself begins or ends with that sign.
+        name = "".join(c if 0 < i and c in _JA_PLACES and m[2][i + 1 : i + 2] not in (*_JA_PLACES,) else "\0" for i, c in enumerate(m[2]))
+        made = "".join(c if c != "\0" else _sign(i, m[2][i], draw) for i, c in enumerate(name))
+        return _signs("", draw, more=more) + made + _digits(m[3], draw)
+    if m := _ZH_STREET.fullmatch(text):
+        return _signs(m[2], draw, more=more) + _digits(m[3], draw)
+    m = next((m for p in (_FR_STREET, _ES_STREET, _EN_STREET, _DE_STREET) if (m := p.fullmatch(text))), None)
+    head, name, tail = m.groups() if m else ("", text, "")
+    left = [more]
+
+    def other(w: re.Match) -> str:
+        if w[0].lower() in _ARTICLES and (w[0].islower() or w[0][0] in "dDlL" and name[w.end() : w.end() + 1] in ("'", "’")):
+            return w[0]
+        return _word(w[0], draw, left.pop() if left else 0)
+
+    made = re.sub(r"(?:[dl](?=['’])|[^\W\d_]+(?:['’][^\W\d_]+)*)", other, name, flags=re.I)
+    return _digits(head, draw) + _digits(made, draw) + _digits(tail, draw)
+
+
+def _made(kind: str, value: str, draw: _Draw, salt: int) -> str:
     if kind == "email":
         m = re.fullmatch(r"(.*?)(@|＠| @ | ?\(at\) ?| ?\[at\] ?)(.*)", value)
         return _shape(m[1], draw) + m[2] + "example" + re.search(r"(?:\.| ?\[dot\] ?| ?\(dot\) ?)\w+$", m[3])[0] if m and re.search(r"(?:\.| ?\[dot\] ?| ?\(dot\) ?)\w+$", m[3]) else _shape(value, draw)
     if kind == "card_number":
         return _checked(_shape(value, draw))
     if kind == "person_name":
-        return _name(value, draw)
+        return _name(value, draw, salt)
     if kind == "street_address":
-        return re.sub(r"[0-9０-９]", lambda m: chr(ord(m[0]) - int(m[0]) + draw.below(10)), re.sub(r"\b([A-ZÀ-Þ])([a-zß-ÿ]{3,})(?= )", lambda m: _FAMILY[0][draw.below(16)] + _FAMILY[1][draw.below(16)], value, count=1))
+        return _address(value, draw, salt)
     head = re.match(r"\+\d{1,3}|00\d{2}", value)
     return (head[0] if head else "") + _shape(value[head.end() if head else 0 :], draw)
 
 
+def surrogate(kind: str, value: str, key: bytes, salt: int = 0) -> str:
+    """The replacement of one value: same type, script, case and format, never the value itself; the same for all spellings of an entity up to format."""
+    own = fold(kind, value)
+    for again in range(64):
+        made = _made(kind, value, _Draw(key, f"{kind}|{own}" + f"|{again}" * (again > 0), salt), salt)
+        if fold(kind, made) != own:
+            return made
+    return f"[{kind.upper()}]"  # nothing in it can be drawn
+
+
 def fold(kind: str, value: str) -> str:
     """One spelling for all spellings of an entity."""
     if kind in ("card_number", "phone", "id_number"):
@@ -299,6 +371,10 @@ def fold(kind: str, value: str) -> str:
     return re.sub(r"\s+", " ", value).casefold()
 
 
+#: Types whose surrogates may grow.
+_OPEN_ENDED = ("person_name", "street_address")
+
+
 def _drawn(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,21 +390,26 @@ def _drawn(key: bytes):
 def surrogate_table(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
     """(pii_type, pii_value, entity, surrogate) with one surrogate entity per entity and none shared by two.
 
-    Entities that would share one are drawn again with the next salt, the smallest entity keeps its draw; what
-    still collides after ``rounds`` gets its salt in place of the name, so that distinctness always holds.
+    Entities that would share one are drawn again with the next salt, the smallest entity keeps its draw. Names and
+    addresses grow with the salt and are drawn until all are distinct; of the types with a fixed number of digits, what
+    still collides after ``rounds`` gets a hash behind it, so that distinctness always holds.
     """
     schema = "pii_type string, pii_value string, entity string, surrogate string, folded string, salt int"
     values = settled(found.select("pii_type", "pii_value").distinct().withColumn("salt", F.lit(0)))
     table = values.mapInArrow(_drawn(key), schema)
     clash = Window.partitionBy("pii_type", "folded")
-    for i in range(rounds):
+    i = 0
+    while True:
         table = settled(table.withColumn("owner", F.min("entity").over(clash)))
         again = table.where("entity != owner").select("pii_type", "pii_value", F.lit(i + 1).alias("salt"))
-        if again.isEmpty():
-            return table.select("pii_type", "pii_value", "entity", "surrogate")
-        table = table.where("entity = owner").drop("owner").unionByName(again.mapInArrow(_drawn(key), schema))
-    last = table.withColumn("owner", F.min("entity").over(clash))
-    return last.select("pii_type", "pii_value", "entity", F.when(F.col("entity") == F.col("owner"), F.col("surrogate")).otherwise(F.concat("surrogate", F.lit(" "), F.left(F.sha2("entity", 256), F.lit(12)))).alias("surrogate"))
+        if i >= rounds:
+            again = again.where(F.col("pii_type").isin(*_OPEN_ENDED))
+        if i >= 64 or again.isEmpty():
+            break
+        fixed = (F.col("entity") != F.col("owner")) & ~F.col("pii_type").isin(*_OPEN_ENDED) if i >= rounds else F.lit(False)
+        table = table.where((F.col("entity") == F.col("owner")) | fixed).drop("owner").unionByName(again.mapInArrow(_drawn(key), schema))
+        i += 1
+    return table.select("pii_type", "pii_value", "entity", F.when(F.col("entity") == F.col("owner"), F.col("surrogate")).otherwise(F.concat("surrogate", F.lit(" "), F.left(F.sha2("entity", 256), F.lit(12)))).alias("surrogate"))
 
 
 def _rebuilt(column: str):
