@@ -1,3 +1,6 @@
+from re import _constants as C
+from re import _parser
+
 import pytest
 
 from tracewright.llm import pii
@@ -81,3 +84,35 @@ def test_names_never_run_out(spark):
     rows = [("person_name", f"आ{chr(0x915 + i % 30)}{chr(0x915 + i // 30)} राव") for i in range(600)] + [("person_name", f"{chr(0x4E00 + i)}川") for i in range(600)]
     table = pii.surrogate_table(spark.createDataFrame(rows, "pii_type string, pii_value string"), KEY).collect()
     assert len({r["surrogate"] for r in table}) == 1200 and not [r for r in table if any(c.isascii() and c.isalnum() for c in r["surrogate"])]
+
+
+def spelled(parts):
+    """Texts of a pattern in which each alternative and each sign of a set occurs once."""
+    ways = []
+    for op, v in parts:
+        if op is C.LITERAL:
+            w = [chr(v)]
+        elif op is C.IN and v[0][0] is not C.NEGATE:
+            w = [c for k, x in v for c in ([chr(x)] if k is C.LITERAL else [chr(x[0]), chr(x[1])] if k is C.RANGE else [{C.CATEGORY_DIGIT: "4", C.CATEGORY_SPACE: " "}.get(x, "a")])]
+        elif op is C.BRANCH:
+            w = [t for b in v[1] for t in spelled(b)]
+        elif op is C.SUBPATTERN:
+            w = spelled(v[3])
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            few, one = max(v[0], 1), spelled(v[2])
+            w = [t * few for t in one] + [one[0] * min(v[1], few + 2)] + [""] * (v[0] == 0)
+        else:
+            w = [" "] if op is C.GROUPREF else [""]
+        ways.append(w)
+    first = [w[0] for w in ways]
+    return list(dict.fromkeys("".join([*first[:i], t, *first[i + 1 :]]) for i, w in enumerate(ways) for t in w)) or [""]
+
+
+def test_the_cheap_test_knows_every_alternative(spark):
+    whole = [t for p in (pii._EMAIL, pii._CARD, pii._PHONE, pii._ID, pii._ID_PLAIN, *pii._ADDRESSES) for t in spelled(_parser.parse(p.pattern, p.flags))]
+    cued = [c + n for a, _ in pii._CUES for c in spelled(_parser.parse(a)) for n in ("Marie Dupont", "邬临川", "सीमा राव ने कहा")]
+    texts = ["電話は ０３－００００－０１０９ です", "Suivi par Marie Dupont", "12 av.Foch", "(look at) bob (AT) mail.example", *whole, *cued]
+    texts = sorted({t for t in texts if pii.find(t)})
+    assert len(texts) > 250 and {"Suivi par Marie Dupont", "12 av.Foch", "(look at) bob (AT) mail.example"} <= set(texts)
+    got = {r[0] for r in pii.occurrences(fields(spark, [("f", t, -1, t) for t in texts])).select("row_key").distinct().collect()}
+    assert not set(texts) - got

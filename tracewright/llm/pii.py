@@ -34,6 +34,7 @@ _EMAIL = re.compile(
 )
 _DIGIT = r"[0-9０-９]"
 _CARD = re.compile(rf"(?<![A-Za-z0-9_.+-])(?<!\d[ ]){_DIGIT}(?:[ -]?{_DIGIT}){{12,18}}(?![A-Za-z0-9_-]|[ .]?\d)")
+_DASH = "－‐ー-"
 _PHONE = re.compile(
     rf"(?<![A-Za-z0-9_.+/-])(?:"
     rf"(?:\+\d{{1,3}}|00\d{{1,3}})(?:[ ./-]?\(\d{{1,4}}\))?(?:[ ./-]?\d{{1,8}}){{1,6}}"
@@ -41,7 +42,7 @@ _PHONE = re.compile(
     rf"|\d{{3}}[.-]\d{{3}}[.-]\d{{4}}"
     rf"|[2-9]\d{{9}}"
     rf"|0?\d{{2,3}} \d{{4}} \d{{4}}"
-    rf"|[0０][0-9０-９]{{1,3}}[-－‐ー][0-9０-９]{{3,4}}[-－‐ー][0-9０-９]{{4}}"
+    rf"|[0０][0-9０-９]{{1,3}}[{_DASH}][0-9０-９]{{3,4}}[{_DASH}][0-9０-９]{{4}}"
     rf")(?:,? ?(?:ext\.?|x|Durchwahl|poste|内線|分机) ?\d{{1,5}})?(?![A-Za-z0-9_-]|[./]\d)"
 )
 # Words that announce an identity number.
@@ -50,12 +51,13 @@ _ID = re.compile(r"(?<![A-Za-z0-9_.+/-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{8}-?[A-Z]|
 _ID_PLAIN = re.compile(rf"{_ID_CUE}[^\d\n.。।]{{0,25}}?(?<![\w.+/-])([A-Z]{{0,3}}\d{{7,10}}[A-Z]?)(?![A-Za-z0-9_-]|[./]\d)", re.I)
 # Words for streets and the units within a house.
 _STREET = "Street|St\\.?|Avenue|Ave\\.?|Road|Rd\\.?|Lane|Ln\\.?|Drive|Boulevard|Blvd\\.?|Crescent|Close|Court|Ct\\.?|Way|Place|Square|Terrace|Row|Hill|Gardens|Parade|Grove|Mews|Walk|Path"
+_RUE = r"rue|avenue|av\.|boulevard|bd\.?|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier"
 _UNIT = r"(?:,? (?:Unit|Apt\.?|Apartment|Suite|Ste\.?|Flat|Floor|Room) ?#?\w+)?"
 _ADDRESSES = [
     re.compile(rf"(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?!The )(?:[A-Z][\w'’-]+ ){{1,3}}(?:{_STREET})(?![\w]){_UNIT}"),
     re.compile(r"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad)|(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den) [A-ZÄÖÜ][\wäöüß-]+) \d{1,4}(?: ?[a-z])?(?!\w)"),
     re.compile(r"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta)(?: (?:de|del|la|las|los|el))*(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ-]+)+(?: (?:de|del|la|las|los)(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ-]+)+)*,?(?: (?:n[º°o]\.?|núm\.?))? ?\d{1,4}(?: ?(?:bis|[A-Z]))?(?!\w)(?:, ?\d{1,2}[ºª°] ?[A-Z]?(?!\w))?"),
-    re.compile(r"(?<![\w.-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier)(?: (?:de la|de l['’]|des|du|de|aux|au|à la|d['’]))? ?[A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+(?:(?: (?:de la|des|du|de|d['’]))? [A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+)*"),
+    re.compile(r"(?<![\w.-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:" + _RUE + r")(?: (?:de la|de l['’]|des|du|de|aux|au|à la|d['’]))? ?[A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+(?:(?: (?:de la|des|du|de|d['’]))? [A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+)*"),
     re.compile(r"(?:寄到|寄往|送到|送至|发到|发往|地址是|地址为|地址[:：]|住在|住址是|位于)?(?P<v>[一-鿿]{2,5}?(?:大道|大街|路|街|巷|弄|胡同)\d{1,5}号(?:\d{1,4}(?:号楼|栋|单元|楼|室))*)"),
     re.compile(r"(?P<v>[一-鿿々ヶ]{2,8}[0-9０-９]{1,3}丁目[0-9０-９]{1,3}番(?:地の?)?(?:[0-9０-９]{1,3}号)?(?:[0-9０-９]{1,4}号室)?)"),
 ]
@@ -88,14 +90,15 @@ _RECORD = re.compile(rf"(?:^|\n|[:：。।/|]\s*|[.!?] +)(?P<v>{_ANY})(?: [/|]
 _NOT_NAMES = frozenset("the a an this that it you we they he she support billing team desk everyone anyone someone me him her them us der die das den el la los las le les un une il elle".split())
 _MASK = re.compile(r"\[[A-Z_ ]+\]|\*{2,}|[xX]{3,}|<[A-Z_]+>")
 
-#: Java's reading of what any of the patterns above needs, far wider than they are.
+#: Java's reading of what any of the patterns above needs, wider than they are; the cues are their own. Java's
+#: blanks are fewer, so none is asked for behind them; यह is too frequent to be asked for alone.
+_ANNOUNCED = "|".join("यह .* ने " if a == "यह " else a.replace(r"\s+", "") for a, _ in _CUES)
 MAY_HOLD = (
-    r"(?U)[@＠]|[(\[]at[)\]]|\p{Nd}(?:[ ./()-]{0,3}\p{Nd}){5}|[A-Z]\d{2}|\d[a-zA-Z]? (?:[A-Z][\w'’-]+ ){1,3}(?:St|Av|Ro|Rd|La|Ln|Dr|Bo|Bl|Cr|Cl|Co|Ct|Wa|Pl|Sq|Te|Hi|Ga|Pa|Gr|Me)"
-    r"|\d ?(?:bis|ter|quater)?,? (?:rue|avenue|av\.|boulevard|bd|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier) "
+    rf"(?U)[@＠]|[(\[](?i:at)[)\]]|\p{{Nd}}(?:[ ./(){_DASH}]{{0,3}}\p{{Nd}}){{5}}"
+    r"|[A-Z]\d{2}|\d[a-zA-Z]? (?:[A-Z][\w'’-]+ ){1,3}(?:St|Av|Ro|Rd|La|Ln|Dr|Bo|Bl|Cr|Cl|Co|Ct|Wa|Pl|Sq|Te|Hi|Ga|Pa|Gr|Me)"
+    rf"|\d ?(?:bis|ter|quater)?,? (?:{_RUE})"
     r"|(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad) \d|\b(?:Am|An de[rn]|Im|In der|Auf de[mr]|Zu[mr]|Unter den) \p{Lu}[\w-]+ \d"
-    r"|Calle|C/|Avda|Avenida|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta|\d号|丁目"
-    r"|(?:[Aa]ssigned|[Hh]anded|[Rr]eported) to |\bAsk |(?:aised|igned|eported|[Ss]ent|equested|ritten|pened|pproved) by |[Rr]egards|[Ss]incerely|[Cc]heers|[Yy]ours|[Tt]hanks,|Grüße|Gruß|Saludos|Atentamente|Cordialement|Bien à"
-    r"|name is|[Tt]his is|heiße|Name ist|llamo|appelle|[Jj]e suis|Ansprech|Zuständig|Kontakt|(?:suivi|signé|demandé|envoyé|ouvert) par |pidió|envió|firmó|abrió|solicitó|负责人|联系人|经办人|申请人|担当|責任者|依頼者|यह .* ने |\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Mme|Mlle)\.? \p{Lu}"
+    rf"|Calle|C/|Avda|Avenida|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta|\d号|丁目|{_ANNOUNCED}"
 )
 
 
@@ -214,7 +217,7 @@ _DEVA_MORE = "पुर वाल कर नाथ दास मणि राज
 _ARTICLES = frozenset("de del la las los el le les des du d l aux au à et y".split())
 # The parts of an address: what stays before the name, the name, what stays behind it.
 _EN_STREET = re.compile(rf"(\d{{1,5}}[A-Za-z]? )(.+?)( (?:{_STREET})(?:{_UNIT}))", re.I)
-_FR_STREET = re.compile(r"(\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier) ?)(.+)()", re.I)
+_FR_STREET = re.compile(r"(\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:" + _RUE + r") ?)(.+)()", re.I)
 _ES_STREET = re.compile(r"((?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta) ?)(.+?)(,?(?: (?:n[º°o]\.?|núm\.?))? ?\d.*)", re.I)
 _DE_STREET = re.compile(r"((?:(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den) )?)(.+?)((?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad)? \d.*)", re.I)
 _ZH_STREET = re.compile(r"()(.+?)((?:大道|大街|路|街|巷|弄|胡同)\d.*)")
