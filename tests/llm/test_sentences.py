@@ -43,3 +43,18 @@ def test_learning(spark):
 def test_long_text():
     text = 'It said "no. Not now." here (yes. No.) and left. ' * 20_000
     assert len(S.units(text, EN)) >= 1
+
+
+def test_collocations_are_more_frequent_than_chance(spark):
+    # Mai belongs to numbers; Kell begins sentences, now and then behind a number.
+    lines = ["Wir sahen am 3. Mai den Stand der Dinge dort.", "Kell ging heim mit der alten Karte.", "Kell kam im Jahr nicht. Niemand blieb lange dort."]
+    rows = [(i, "Kell kam im Jahr 2019. Kell blieb lange dort." if i % 30 == 2 else lines[i % 3], "de") for i in range(300)]
+    known = S.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), starter_ratio=1e9).of("de")
+    assert "mai" in known.after_number and "kell" not in known.after_number | known.starters
+
+
+def test_a_pair_may_hold_a_starter(spark):
+    rows = [(i, "We went up to St. Main again before noon. Main is shut now and the old door too." if i % 2 else "He went on to St. Paul later. The rain came soon. Then it left us there.", "en") for i in range(400)]
+    known = S.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).of("en")
+    assert "main" in known.starters and ("st", "main") in known.collocations
+    assert len(S.units("We went to St. Main again.", known)) == 1

@@ -168,6 +168,8 @@ class Statistics:
     starters: frozenset[str] = frozenset()
     #: Words that follow a number with a period inside a sentence.
     after_number: frozenset[str] = frozenset()
+    #: (abbreviation, word) that belong together even where the word begins sentences elsewhere.
+    collocations: frozenset[tuple[str, str]] = frozenset()
 
 
 @dataclass
@@ -186,7 +188,7 @@ def language_of(code: str | None, text: str) -> str:
 
 def observe(text: str, seen: Counter) -> None:
     """Counts of one text: ``n`` words; ``w`` a word without, ``p`` with a period; ``i`` a period with a word after it that is no new
-    sentence by its case; ``s`` a word at a sure start; ``a`` a word anywhere, ``c`` with a capital; ``d`` a word behind a number with a period."""
+    sentence by its case; ``s`` a word at a sure start; ``a`` a word anywhere, ``c`` with a capital; ``d`` a word behind a number with a period, ``m`` how many such places."""
     for start, end, words_at, code in blocks(text):
         if code:
             continue
@@ -209,6 +211,7 @@ def observe(text: str, seen: Counter) -> None:
                 after = words[k + 1][0]
                 if is_number:
                     seen["d", after.lower()] += after[0].isupper()
+                    seen["m", ""] += not after[0].isdigit()
                 else:
                     seen["p", low] += 1
                     if after[0].islower() or after[0].isdigit():
@@ -249,15 +252,25 @@ def _term(count, total, p):
     return count * F.log(q) + (total - count) * F.log(1 - q)
 
 
-def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score: float = 0.3, least: int = 5, share: float = 1e-5) -> Model:
+def _together(pair, left, right, total):
+    """Log-likelihood ratio of ``right`` behind ``left``, against its own frequency; counts may exceed one another by what they leave out."""
+    pair, rest, other = F.least(pair, left, right), F.greatest(right - pair, F.lit(0)), F.greatest(total - left, F.lit(1))
+    rest = F.least(rest, other)
+    p = right / total
+    return 2 * (_term(pair, left, pair / left) + _term(rest, other, rest / other) - _term(pair, left, p) - _term(rest, other, p))
+
+
+def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score: float = 0.3, collocation_ratio: float = 30.0, least: int = 5, share: float = 1e-5) -> Model:
     """Statistics of every language from all texts; only words of a share of at least ``share`` of a language's words, so at
     most 1 / share a language, reach the driver."""
     seen = settled(spread(documents.select("lang", "text")).mapInArrow(_observed, SEEN).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    single = seen.where("kind != 'f'").groupBy("lang", "key").pivot("kind", ["n", "w", "p", "i", "s", "a", "c", "d"]).sum("n").na.fill(0)
+    single = seen.where("kind != 'f'").groupBy("lang", "key").pivot("kind", ["n", "m", "w", "p", "i", "s", "a", "c", "d"]).sum("n").na.fill(0)
     # Totals by aggregation, not over windows, so that no language's vocabulary meets in one task; a row for each two-letter code.
     words = single.where("key != ''")
     totals = single.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("s").alias("starts"), F.sum("p").alias("periods"))
-    words = words.drop("n").join(F.broadcast(totals), "lang")
+    places = single.where("key = ''").select("lang", F.greatest("m", F.lit(1)).alias("numbers"))
+    totals = totals.join(F.broadcast(places), "lang")
+    words = words.drop("n", "m").join(F.broadcast(totals), "lang")
     often = (F.col("a") + F.col("p") + F.col("w") >= least) & (F.col("a") >= share * F.col("total"))
     # Starters: more often at sure starts than their frequency explains.
     all_rate, at_start = F.col("starts") / F.col("total"), F.col("s") / F.greatest(F.col("a"), F.lit(1))
@@ -271,7 +284,10 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
     letters = F.length(F.regexp_replace("key", r"\.", ""))
     inner = F.length("key") - letters + 1
     score = bound * F.exp(-letters.cast("double")) * inner * F.pow(letters.cast("double"), -F.col("w").cast("double"))
-    keep = words.where(often | (F.col("d") >= F.greatest(F.lit(least), 0.1 * share * F.col("total")))).select("lang", "key", "p", "w", "i", "d", is_starter.alias("starter"), ((F.col("p") >= least) & (score >= abbreviation_score)).alias("abbreviation")).where("starter or abbreviation or d > 0")
+    # Collocations: more often behind a number than its frequency explains, and than it begins sentences.
+    begin_rate = F.col("s") / F.greatest(F.col("starts"), F.lit(1))
+    numbered = (F.col("d") >= least) & (F.col("d") / F.col("numbers") > F.greatest(begin_rate, F.col("a") / F.col("total"))) & (_together(F.col("d"), F.col("numbers"), F.col("a"), F.col("total")) >= collocation_ratio)
+    keep = words.where(often | (F.col("d") >= F.greatest(F.lit(least), 0.1 * share * F.col("total")))).select("lang", "key", "p", "w", "i", numbered.alias("numbered"), is_starter.alias("starter"), ((F.col("p") >= least) & (score >= abbreviation_score)).alias("abbreviation")).where("starter or abbreviation or numbered")
     rows = keep.collect()
     starters: dict[str, set[str]] = {}
     for r in rows:
@@ -279,6 +295,7 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
             starters.setdefault(r["lang"], set()).add(r["key"])
     candidates = {(r["lang"], r["key"]) for r in rows if r["abbreviation"]}
     follow: Counter = Counter()
+    joined: dict[str, set[tuple[str, str]]] = {}
     if candidates:
         named = F.split("key", "\t")
         wanted = documents.sparkSession.createDataFrame(sorted(candidates), "lang string, word string")
@@ -286,14 +303,21 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
         begun = documents.sparkSession.createDataFrame([(a, b) for a, s in starters.items() for b in sorted(s)] or [("", "")], "lang string, next string")
         for r in pairs.join(F.broadcast(begun), ["lang", "next"], "left_anti").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
             follow[r["lang"], r["word"]] = r["n"]
+        # Only starters need it: other words behind an abbreviation never begin a sentence.
+        often_pair = pairs.where(F.col("n") >= least).join(F.broadcast(begun), ["lang", "next"])
+        left = words.select("lang", F.col("key").alias("word"), F.col("p").alias("left"))
+        right = words.select("lang", F.col("key").alias("next"), "a", "s", "starts", "total")
+        bound_pair = (F.col("n") / F.col("left") > F.greatest(begin_rate, F.col("a") / F.col("total"))) & (_together(F.col("n"), F.col("left"), F.col("a"), F.col("total")) >= collocation_ratio)
+        for r in often_pair.join(left, ["lang", "word"]).join(right, ["lang", "next"]).where(bound_pair).select("lang", "word", "next").collect():
+            joined.setdefault(r["lang"], set()).add((r["word"], r["next"]))
     model = Model()
     for lang in {r["lang"] for r in rows}:
         own = [r for r in rows if r["lang"] == lang]
         begins = frozenset(starters.get(lang, ()))
         # A word whose periods are followed by words that go on, or by names, in a fair part of all cases.
         short = frozenset(r["key"] for r in own if r["abbreviation"] and r["i"] + follow[lang, r["key"]] >= 0.3 * r["p"])
-        number = frozenset(r["key"] for r in own if r["d"] >= least and r["key"] not in begins)
-        model.by_language[lang] = Statistics(short, begins, number)
+        number = frozenset(r["key"] for r in own if r["numbered"] and r["key"] not in begins)
+        model.by_language[lang] = Statistics(short, begins, number, frozenset(x for x in joined.get(lang, ()) if x[0] in short))
     return model
 
 
@@ -399,7 +423,7 @@ def boundaries(text: str, known: Statistics) -> list[int]:
                     cuts.append(closers)
                 continue
             if folded in known.abbreviations or "." in prior and all(len(x) <= 2 for x in prior.split(".")):
-                if upper and starts and not sign.isdigit():
+                if upper and starts and not sign.isdigit() and (folded, low) not in known.collocations:
                     cuts.append(closers)
                 continue
             if uncased or upper and not (sign.isdigit() and len(prior) < 4) or starts:
