@@ -81,3 +81,17 @@ def test_own_parser_agrees():
         except ValueError:
             got = "invalid"
         assert got == want, a
+
+
+def test_flat_rows_lose_nothing(spark):
+    args = ['{"ids":[1,null,"x"],"o":[],"d":{"v":[[2],{"k":[true]}]}}', "[1,[],{}]", "[]", '{"broken":', "5", None, "null", ""]
+    rows = [(4, [("m", "p", "c", {"in": 1}, 1.0)], [("t", a, "r", 1.0) for a in args] + [None], "clash")]
+    got = {r["node_path"]: r for r in nested.flat_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
+    held = {p: json.loads(r["attributes"]) for p, r in got.items()}
+    a, b = "tool_calls[0].tool_args", "tool_calls[1].tool_args"
+    elements = {f"{a}.ids[0]": 1, f"{a}.ids[1]": None, f"{a}.ids[2]": "x", f"{a}.d.v[0][0]": 2, f"{a}.d.v[1].k[0]": True, f"{b}[0]": 1, f"{b}[1]": []}
+    assert {p: v["value"] for p, v in held.items() if "ordinal" in v} == elements
+    assert got[f"{a}.d.v[1].k[0]"]["parent_path"] == f"{a}.d.v[1]" and got[f"{b}[0]"]["parent_path"] == "tool_calls[1]" and got[f"{a}.ids[2]"]["table_path"] == "tool_calls[].tool_args.ids[]"
+    assert held[a] == {"o": []} and held[""] == {"node_path": "clash"} and got[""]["parent_path"] is None and got[""]["table_path"] == "journals"
+    assert [held[f"tool_calls[{i}]"].get("tool_args") for i in range(9)] == [None, None, "[]", '{"broken":', "5", None, "null", "", None]
+    assert len(got) == 1 + 2 + 9 + len(elements) + 4

@@ -6,6 +6,10 @@ call 2. Arrays take a place in the label but are no nodes, so a node's parent is
 label back to the nearest prefix that is a node; the length of that prefix is known while walking.
 Nodes with the same schema path (the path without array positions) form one table.
 
+The flat tables (``flat_rows``) hold all of it: besides the nodes, a row for each journal and for each array element that is no
+object, a table of their own with ordinal and value; empty arrays stay in their object, and arguments in which
+there is no object or array, readable or not, on the row of their call.
+
 Defined results: null and empty arrays give no nodes; a null element of a call array is still a node;
 null or invalid JSON has no nodes below its call; JSON inside a JSON string counts as the root, however
 often it is wrapped; of repeated keys in one object the last one counts; rows that occur twice give their
@@ -101,12 +105,12 @@ def read_json(text: str | None):
     return value
 
 
-def _attributes(value: dict) -> str:
-    return json.dumps({k: v for k, v in value.items() if not isinstance(v, (dict, list))}, ensure_ascii=False)
+def _attributes(value: dict, whole: bool = False) -> str:
+    return json.dumps({k: v for k, v in value.items() if not isinstance(v, (dict, list)) or whole and v == []}, ensure_ascii=False)
 
 
-def walk(value, label: list[int], path: str, table: str) -> Iterator[tuple[list[int], str, str, int, int, str]]:
-    """(label, table, path, length of the parent's label, length of the parent's path, attributes) of each object in ``value``.
+def walk(value, label: list[int], path: str, table: str, whole: bool = False) -> Iterator[tuple[list[int], str, str, int, int, str]]:
+    """(label, table, path, length of the parent's label, length of the parent's path, attributes) of each object in ``value``, with ``whole`` also of each array element that is no object.
 
     ``label`` and ``path`` are those of the enclosing call; the value itself hangs below it as one step.
     """
@@ -114,14 +118,22 @@ def walk(value, label: list[int], path: str, table: str) -> Iterator[tuple[list[
     while todo:
         value, label, path, table, above, cut = todo.pop()
         if isinstance(value, dict):
-            yield label, table, path, above, cut, _attributes(value)
+            yield label, table, path, above, cut, _attributes(value, whole)
             below = [(v, [*label, i], f"{path}.{k}", f"{table}.{k}", len(label), len(path)) for i, (k, v) in enumerate(value.items())]
-        else:
+        elif isinstance(value, list) and value:
             below = [(v, [*label, i], f"{path}[{i}]", f"{table}[]", above, cut) for i, v in enumerate(value)]
+            if whole:
+                todo.extend(reversed(below))
+                continue
+        else:  # an element, or an empty array in one
+            if whole:
+                yield label, table, path, above, cut, json.dumps({"ordinal": label[-1], "value": value}, ensure_ascii=False)
+            continue
+        below = [x for x in below if not (whole and x[0] == [])]
         todo.extend(x for x in reversed(below) if isinstance(x[0], (dict, list)))
 
 
-def _argument_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _argument_nodes(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
     ids, labels, tables, paths, parents, attributes = ([] for _ in range(6))
 
     def out() -> pa.RecordBatch:
@@ -133,9 +145,11 @@ def _argument_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for record, call, text in zip(*(batch.column(c).to_pylist() for c in ("record_id", "call_no", "tool_args")), strict=True):
             value = read_json(text)
+            if whole and value == []:
+                continue  # on the row of its call
             if not isinstance(value, (dict, list)):
                 continue
-            for label, table, path, _, cut, held in walk(value, [1, call], f"tool_calls[{call}]", "tool_calls[]"):
+            for label, table, path, _, cut, held in walk(value, [1, call], f"tool_calls[{call}]", "tool_calls[]", whole):
                 ids.append(record)
                 labels.append(label)
                 tables.append(table)
@@ -152,6 +166,32 @@ def _node(*columns) -> F.Column:
     return F.struct(*(c.alias(n) for n, c in zip(("dewey", "table_path", "node_path", "parent_path", "attributes"), columns, strict=True)))
 
 
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_argument_nodes`` with everything, and with the row of each call, which holds the arguments that are no nodes."""
+    for batch in batches:
+        held = []
+        for text, own in zip(batch.column("tool_args").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            value = read_json(text)
+            bare = text is not None and (value == [] or not isinstance(value, (dict, list)))
+            more = f'"tool_args":{json.dumps(text, ensure_ascii=False)}' if bare else ""
+            held.append(own[:-1] + ("," if more and own != "{}" else "") + more + "}")
+        call_no = batch.column("call_no").to_pylist()
+        columns = [batch.column("record_id"), pa.array([[1, c] for c in call_no], pa.list_(pa.int32())), pa.array(["tool_calls[]"] * len(call_no)), pa.array([f"tool_calls[{c}]" for c in call_no]), pa.array([""] * len(call_no)), pa.array(held, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["record_id", "dewey", "table_path", "node_path", "parent_path", "attributes"])
+        yield from _argument_nodes(iter([batch]), True)
+
+
+def flat_rows(journals: DataFrame) -> DataFrame:
+    """All rows of all flat tables (see ``NODE``), with nothing left out: journals (``journals``, the path ''), nodes and elements; map-only."""
+    plain = [c for c in journals.columns if c not in ("record_id", "model_calls", "tool_calls")]
+    held = F.to_json(F.struct(*plain)) if plain else F.lit("{}")
+    own = journals.select("record_id", F.array().cast("array<int>").alias("dewey"), F.lit("journals").alias("table_path"), F.lit("").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), held.alias("attributes"))
+    calls = journals.select("record_id", F.posexplode("tool_calls").alias("call_no", "call"))
+    given = calls.select("record_id", "call_no", "call.tool_args", F.to_json(F.struct("call.tool_name", "call.result", "call.duration_ms")).alias("own"))
+    models = flatten(journals.withColumn("tool_calls", F.lit(None).cast(journals.schema["tool_calls"].dataType)))
+    return own.unionByName(models).unionByName(given.mapInArrow(_whole_nodes, NODE))
+
+
 def flatten(journals: DataFrame) -> DataFrame:
     """All nodes of all journals, one row each (see ``NODE``); map-only, nothing is shuffled."""
     one, zero = F.lit(1), F.lit(0)

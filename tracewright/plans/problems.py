@@ -15,7 +15,12 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_tables(spark: SparkSession, base: str) -> DataFrame:
     """Rows of each flat table, i.e. of each schema path."""
-    return nested.flatten(table(prepare(spark), base, "decision_journals")).groupBy("table_path").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("dewey")).alias("depth"))
+    return p3_flat(spark, base).groupBy("table_path").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("dewey")).alias("depth"))
+
+
+def p3_flat(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of all flat tables."""
+    return nested.flat_rows(table(prepare(spark), base, "decision_journals"))
 
 
 def _references(spark: SparkSession, base: str) -> DataFrame:
@@ -41,7 +46,7 @@ def p7_features(spark: SparkSession, base: str) -> DataFrame:
     return features.event_features(table(prepare(spark), base, "agent_events"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_tables, p6_found, p6_report, p7_features)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_tables, p3_flat, p6_found, p6_report, p7_features)}
 
 _REFS = """
 refs AS (
