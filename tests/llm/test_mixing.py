@@ -47,3 +47,16 @@ def test_empty(spark):
     mix, _ = mixing.mixed(docs(spark), spark.createDataFrame([], TARGETS))
     assert mix.count() == 0
     assert mixing.temperatures(docs(spark), spark.createDataFrame([("mid", 1.0, 1)], TARGETS)).count() == 1
+
+
+def test_every_document_that_still_fits_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    sizes = [900, 500, 700, *range(5, 60)]
+    rows = [("a", i, n) for i, n in enumerate(sizes)] + [("b", 1000 + i, 7) for i in range(5)]
+    frame = spark.createDataFrame(rows, "source string, doc_id long, n_tokens long")
+    for seed in ("x", "y", "z"):
+        mix = mixing.realise(frame, {"a": 1000.0, "b": 20.0}, {"a": sum(sizes), "b": 35}, {"a": len(sizes), "b": 5}, seed).collect()
+        used = [r for r in mix if r["source"] == "a"]
+        free = 1000 - sum(r["n_tokens"] for r in used)
+        assert 0 <= free < min(n for i, n in enumerate(sizes) if i not in {r["doc_id"] for r in used}) and len(used) == len({r["doc_id"] for r in used})
+        assert sum(r["source"] == "b" for r in mix) == 2

@@ -7,7 +7,7 @@ limits on repeats (``temperature_weights``).
 
 A budget is realised as whole epochs of the source and one part of an epoch, drawn in the order of keyed
 block permutations: documents fall into blocks by a keyed hash, each epoch orders the blocks and the documents within
-them by keys of its own, and the part takes documents along that order while they fit. Sums run over blocks
+them by keys of its own, and the part takes every document along that order that still fits into what is left. Sums run over blocks
 first, so no source is ever in one task.
 
 Defined results: sources are compared without case and outer blanks; null, blank and untargeted sources give
@@ -94,11 +94,23 @@ def realise(sizes: DataFrame, wanted: dict[str, float], tokens: dict[str, int],
     full = epochs.where("repeat_no < whole").drop("whole", "rest")
     part = epochs.where("repeat_no = whole and rest >= 1")
     at_block = _key(seed, "source", "repeat_no", F.concat(F.lit("b"), F.col("block")))
-    per_block = part.groupBy("source", "repeat_no", "block").agg(F.sum("n_tokens").alias("t")).withColumn("k", at_block)
-    before = Window.partitionBy("source").orderBy("k", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).select("source", "block", "start")
+    kept = ["source", "doc_id", "block", "n_tokens", "repeat_no"]
     inside = Window.partitionBy("source", "block").orderBy(_key(seed, "repeat_no", "doc_id"), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = part.join(starts, ["source", "block"]).withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside)).where("upto <= rest").select("source", "doc_id", "block", "n_tokens", "repeat_no")
+    before = Window.partitionBy("source").orderBy("k", "block").rowsBetween(Window.unboundedPreceding, -1)
+    left = part.where("n_tokens <= rest").select(*kept, "rest")
+    taken: DataFrame | None = None
+    while True:
+        # Along the order up to the first text that is too long; then again what is left, without the texts longer than the rest.
+        per_block = left.groupBy("source", "repeat_no", "block").agg(F.sum("n_tokens").alias("t")).withColumn("k", _key(seed, "source", "repeat_no", F.concat(F.lit("b"), F.col("block"))))
+        starts = per_block.withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).select("source", "block", "start")
+        cut = settled(left.join(starts, ["source", "block"]).withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside)))
+        fits = cut.where("upto <= rest").select(*kept)
+        taken = fits if taken is None else taken.unionByName(fits)
+        # One row for each target source.
+        spent = cut.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("n_tokens"))), F.lit(0)).alias("spent"))
+        left = settled(cut.where("upto > rest").drop("start", "upto").join(F.broadcast(spent), "source").withColumn("rest", F.col("rest") - F.col("spent")).where("n_tokens <= rest").select(*kept, "rest"))
+        if left.isEmpty():
+            break
     out = full.unionByName(taken)
     return out.select("source", "doc_id", F.col("repeat_no").cast("bigint").alias("repeat_no"), F.col("block").cast("bigint").alias("block_no"), "n_tokens", _key(seed, "repeat_no", "block", "doc_id").alias("order_key"))
 
