@@ -58,3 +58,11 @@ def test_a_pair_may_hold_a_starter(spark):
     known = S.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).of("en")
     assert "main" in known.starters and ("st", "main") in known.collocations
     assert len(S.units("We went to St. Main again.", known)) == 1
+
+
+def test_the_language_is_read_from_the_whole_text():
+    prose = "Der Dienst ist nicht mehr da und wir haben ihn bei der Wartung verloren. " * 40
+    code = "```\n" + "if this is not in the list then that was on the way to it\n" * 60 + "```\n"
+    quoted = "It was not in the log that we have, and this is what the job did. " * 31
+    assert len(code) > 2000 and len(quoted) > 2000 and len(prose) > len(quoted)
+    assert S.language_of(None, code + prose) == S.language_of("?", quoted + "\n\n" + prose * 2) == "de" and S.language_of("EN", prose) == "en"

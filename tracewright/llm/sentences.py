@@ -181,9 +181,12 @@ class Model:
 
 
 def language_of(code: str | None, text: str) -> str:
-    """Two letters, from the column if it holds them, else from the text."""
+    """Two letters, from the column if it holds them, else from the whole text without code and links."""
     m = re.match(r"\s*([A-Za-z]{2})(?![A-Za-z])", code or "")
-    return m[1].lower() if m else language.guess(text[:2000], 0.5)[0] or "und"
+    if m:
+        return m[1].lower()
+    prose = "\n".join(_CODE.sub(" ", _URL.sub(" ", text[words_at:end])) for _, end, words_at, code in blocks(text) if not code)
+    return language.guess(prose, 0.5)[0] or "und"
 
 
 def observe(text: str, seen: Counter) -> None:
