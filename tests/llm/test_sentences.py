@@ -66,3 +66,9 @@ def test_the_language_is_read_from_the_whole_text():
     quoted = "It was not in the log that we have, and this is what the job did. " * 31
     assert len(code) > 2000 and len(quoted) > 2000 and len(prose) > len(quoted)
     assert S.language_of(None, code + prose) == S.language_of("?", quoted + "\n\n" + prose * 2) == "de" and S.language_of("EN", prose) == "en"
+
+
+def test_a_rare_abbreviation_is_learned_in_a_large_corpus(spark):
+    filler = "so all of this goes on and on without an end in sight " * 170
+    rows = [(i, filler + "as seen near abt. Kell again.", "en") for i in range(8)] + [(100 + i, filler, "en") for i in range(800)]
+    assert "abt" in S.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).of("en").abbreviations

@@ -263,9 +263,9 @@ def _together(pair, left, right, total):
     return 2 * (_term(pair, left, pair / left) + _term(rest, other, rest / other) - _term(pair, left, p) - _term(rest, other, p))
 
 
-def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score: float = 0.3, collocation_ratio: float = 30.0, least: int = 5, share: float = 1e-5) -> Model:
-    """Statistics of every language from all texts; only words of a share of at least ``share`` of a language's words, so at
-    most 1 / share a language, reach the driver."""
+def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score: float = 0.3, collocation_ratio: float = 30.0, least: int = 5) -> Model:
+    """Statistics of every language from all texts. Every word seen ``least`` times is judged by its ratios in Spark, in a corpus of
+    any size; the words that pass reach the driver."""
     seen = settled(spread(documents.select("lang", "text")).mapInArrow(_observed, SEEN).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     single = seen.where("kind != 'f'").groupBy("lang", "key").pivot("kind", ["n", "m", "w", "p", "i", "s", "a", "c", "d"]).sum("n").na.fill(0)
     # Totals by aggregation, not over windows, so that no language's vocabulary meets in one task; a row for each two-letter code.
@@ -274,7 +274,7 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
     places = single.where("key = ''").select("lang", F.greatest("m", F.lit(1)).alias("numbers"))
     totals = totals.join(F.broadcast(places), "lang")
     words = words.drop("n", "m").join(F.broadcast(totals), "lang")
-    often = (F.col("a") + F.col("p") + F.col("w") >= least) & (F.col("a") >= share * F.col("total"))
+    often = F.col("a") + F.col("p") + F.col("w") >= least
     # Starters: more often at sure starts than their frequency explains.
     all_rate, at_start = F.col("starts") / F.col("total"), F.col("s") / F.greatest(F.col("a"), F.lit(1))
     starter = 2 * (_term(F.col("s"), F.col("a"), at_start) - _term(F.col("s"), F.col("a"), all_rate))
@@ -290,7 +290,7 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
     # Collocations: more often behind a number than its frequency explains, and than it begins sentences.
     begin_rate = F.col("s") / F.greatest(F.col("starts"), F.lit(1))
     numbered = (F.col("d") >= least) & (F.col("d") / F.col("numbers") > F.greatest(begin_rate, F.col("a") / F.col("total"))) & (_together(F.col("d"), F.col("numbers"), F.col("a"), F.col("total")) >= collocation_ratio)
-    keep = words.where(often | (F.col("d") >= F.greatest(F.lit(least), 0.1 * share * F.col("total")))).select("lang", "key", "p", "w", "i", numbered.alias("numbered"), is_starter.alias("starter"), ((F.col("p") >= least) & (score >= abbreviation_score)).alias("abbreviation")).where("starter or abbreviation or numbered")
+    keep = words.where(often).select("lang", "key", "p", "w", "i", numbered.alias("numbered"), is_starter.alias("starter"), ((F.col("p") >= least) & (score >= abbreviation_score)).alias("abbreviation")).where("starter or abbreviation or numbered")
     rows = keep.collect()
     starters: dict[str, set[str]] = {}
     for r in rows:
@@ -302,12 +302,12 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
     if candidates:
         named = F.split("key", "\t")
         wanted = documents.sparkSession.createDataFrame(sorted(candidates), "lang string, word string")
-        pairs = seen.where("kind = 'f'").select("lang", named[0].alias("word"), named[1].alias("next"), "n").join(F.broadcast(wanted), ["lang", "word"])
+        pairs = seen.where("kind = 'f'").select("lang", named[0].alias("word"), named[1].alias("next"), "n").join(wanted, ["lang", "word"])
         begun = documents.sparkSession.createDataFrame([(a, b) for a, s in starters.items() for b in sorted(s)] or [("", "")], "lang string, next string")
-        for r in pairs.join(F.broadcast(begun), ["lang", "next"], "left_anti").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        for r in pairs.join(begun, ["lang", "next"], "left_anti").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
             follow[r["lang"], r["word"]] = r["n"]
         # Only starters need it: other words behind an abbreviation never begin a sentence.
-        often_pair = pairs.where(F.col("n") >= least).join(F.broadcast(begun), ["lang", "next"])
+        often_pair = pairs.where(F.col("n") >= least).join(begun, ["lang", "next"])
         left = words.select("lang", F.col("key").alias("word"), F.col("p").alias("left"))
         right = words.select("lang", F.col("key").alias("next"), "a", "s", "starts", "total")
         bound_pair = (F.col("n") / F.col("left") > F.greatest(begin_rate, F.col("a") / F.col("total"))) & (_together(F.col("n"), F.col("left"), F.col("a"), F.col("total")) >= collocation_ratio)
@@ -484,8 +484,9 @@ def units(text: str | None, known: Statistics) -> list[tuple[int, int]]:
 UNITS = "doc_id long, start_char long, end_char long"
 
 
-def _split(model: Model):
+def _split(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             ids, starts, ends = [], [], []
             for doc, code, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
@@ -502,5 +503,6 @@ def _split(model: Model):
 
 def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, start_char, end_char) of every unit of every text."""
-    model = model or learn(documents)
-    return spread(documents.select("doc_id", "lang", "text")).mapInArrow(_split(model), UNITS)
+    # Sent once to each executor, as the words that pass have no upper limit.
+    shared = documents.sparkSession.sparkContext.broadcast(model or learn(documents))
+    return spread(documents.select("doc_id", "lang", "text")).mapInArrow(_split(shared), UNITS)
