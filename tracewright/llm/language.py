@@ -9,8 +9,12 @@ FUNCTION_WORDS = {
     "en": "the of and to is was in that it for on with as but before you not have has had what how why if by this are be can could please from which were before after there did does do will would should i my me we our they them their at an or so no only when who its it's your than then been just".split(),
     "de": "der die das und ist nicht von den dem des ein eine einen einem für mit auf bitte zuerst sich war dort bei wir haben hat nur nach wie warum danach wieder so es ich du sie kann kannst könntest was wer wo wann ob aus zum zur im am an als auch wenn aber sondern dass um über vor ohne deshalb läuft mehr noch gar kein keine wird werden wurde mir uns".split(),
     "es": "el la los las de que y en por para con una uno un del al lleva sin se es son solo pero después tras primero qué cómo no su sus lo le me mi tu como más este esta eso esto ha han hay fue era ser desde hasta sobre cuando donde quien si ya muy también puedes podrías propio sino".split(),
+    "it": "il lo la gli le di del della dei delle che è non per una un con sono nel nella alla dal dalla anche come più questo questa ma perché quando dove chi cosa essere ha hanno stato dopo prima solo senza già molto suo sua ci si ne tra fra".split(),
+    "pt": "o a os as de do da dos das que é não para uma um com são no na nos nas ao à pelo pela também como mais este esta isso mas porque quando onde quem ser tem têm foi depois antes só sem já muito seu sua lhe se entre você nós eles está estão".split(),
+    "nl": "de het een van en is niet dat die voor met op aan zijn wordt worden maar ook als bij naar door over uit nog wel geen dit deze waar wat wie hoe waarom wanneer heeft hebben kan kunnen zou moet alleen zonder zo er ik jij wij ons hun".split(),
     "fr": "le la les de des du et est pas que qui pour une un ne dans après puis il elle nous vous sans mais pourquoi comment cela ce cette ces sur avec par au aux se sa son ses leur plus ou où je tu mon ma mes été être sont était a ont faut peux pouvez d'abord n'était donc bien depuis selon quand si".split(),
 }
+EVERYDAY = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 _OWNER: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in dict.fromkeys(_words):
@@ -62,6 +66,9 @@ NAMES = {
     "de": "german deutsch alemán aleman allemand ドイツ語 德语 德文 जर्मन",
     "es": "spanish spanisch español espagnol castellano スペイン語 西班牙语 西班牙文 स्पेनिश",
     "fr": "french französisch francés frances français フランス語 法语 法文 फ़्रेंच फ्रेंच",
+    "it": "italian italienisch italiano italien イタリア語 意大利语 इतालवी",
+    "pt": "portuguese portugiesisch portugués portugais português ポルトガル語 葡萄牙语 पुर्तगाली",
+    "nl": "dutch niederländisch neerlandés holandés néerlandais nederlands オランダ語 荷兰语 डच",
     "ja": "japanese japanisch japonés japones japonais 日本語 日语 日文 जापानी",
     "zh": "chinese mandarin chinesisch chino chinois 中国語 中文 汉语 चीनी",
     "hi": "hindi ヒンディー語 印地语 हिंदी हिन्दी",

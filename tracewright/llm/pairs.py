@@ -1,18 +1,25 @@
 """Defective answers among prompt and response pairs.
 
-For each of five defects a few noisy labelling functions vote on every (question, answer) pair; a label
-model per defect (``labelmodel``) turns the votes into posteriors. All votes of a pair are one bit mask, so
-the models see only counts of masks, halved by a hash of the pair into rows to fit on and rows to choose
-the cutoffs on. A pair keeps every defect whose posterior reaches its cutoff; ``primary`` orders them.
+For each of five defects a few noisy labelling functions vote on every (question, answer) pair, for it, against it or
+not at all; none knows what another found. A label model per defect (``labelmodel``), fitted by expectation maximisation,
+turns the votes into posteriors. Half of the pairs, by a hash, are for fitting. The other half validates the
+cutoffs: of each of its pairs a copy is made defective in a known way, and the cutoff is the one that keeps most of these
+for the fewest pairs taken. A pair keeps every defect whose posterior reaches its cutoff; ``defect_type`` is the first of
+them in the order of ``ORDER``.
+
+All votes of a pair are the digits of one number; the models see only counts of vote patterns, at most 3**4 for
+each defect, and posteriors are looked up in arrays of 4**4, so nothing is joined.
 
 Defined results: a null answer is empty; a null or blank question leaves out ``copied`` and
 ``wrong_language`` but nothing else; rows that occur twice are judged twice; null call arrays have no
-pairs; very long texts are read whole for language and overlap and by their ends for truncation.
+pairs; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import endings, language
-from tracewright.llm.labelmodel import LabelModel
+from tracewright.llm.labelmodel import ABSTAIN, NO, YES, LabelModel
+from tracewright.llm.profiles import Profiles, learn
 from tracewright.sources.tables import settled, spread
 
 _WORDS = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _HAS = re.compile(r"[^\W_]")
-_STAND_IN = re.compile(r"(?is)^[\W_]*(?:null|none|nil|nan|undefined|n\s?/\s?a|na|empty|void|no (?:answer|response|output))?[\W_]*$")
 # How speakers of these languages decline.
 _DECLINES = re.compile(
-    r"(?:\b(?:can(?:'|’)?t|cannot|can not|could not|couldn't|unable to|not able to|won(?:'|’)?t(?: be able to)?|not (?:permitted|allowed) to|not going to) (?:to )?(?:help|assist|answer|respond|provide|share|discuss|comply|do (?:that|this)|support|fulfil\w*|engage|go into|give|comment)"
+    r"(?:\b(?:can(?:'|’)?t|cannot|can not|could not|couldn't|unable to|not able to|(?:won(?:'|’)?t|will not)(?: be able to)?|not (?:permitted|allowed) to|not going to) (?:to )?(?:help|assist|answer|respond|provide|share|discuss|comply|do (?:that|this)|support|fulfil\w*|engage|go into|give|comment)"
     r"|\b(?:must|have to|need to|will) (?:decline|refuse)\b|\bi (?:decline|refuse)\b|\brather not\b|something i (?:won(?:'|’)?t|can(?:'|’)?t|cannot|will not) (?:do|help)|not be appropriate for me|beyond what i am (?:permitted|allowed|able)|against my (?:rules|guidelines|policy)"
     r"|\bno puedo (?:ayudar|responder|asistir|hacer|dar|facilitar|compartir)|\bno me está permitido|\bdebo (?:rechazar|declinar)|\bno estoy autorizad|\bprefiero no|\bme niego"
     r"|\bmuss ich (?:leider )?(?:ablehnen|verweigern|absagen)|ablehnen müssen|\bkann ich (?:leider )?nicht (?:helfen|beantworten|weiterhelfen|dienen)|\bkeine auskunft|\bdarf ich (?:leider )?(?:nicht|keine)|(?:anfrage|bitte) (?:leider )?(?:muss ich )?ablehnen|kann (?:ihnen|dir) (?:dabei |hierbei )?nicht helfen|möchte ich (?:lieber )?nicht"
@@ -47,17 +54,20 @@ _APOLOGY = re.compile(
 _SOLID = re.compile(r"\d|https?://|`|\n\s*(?:[-*•]|\d+[.)])\s")
 _QUOTE_HEAD = re.compile(r"^\W*(?:re|aw|question|you (?:asked|wrote|said)|frage|du fragtest|pregunta|preguntaste|votre question|vous avez demandé|question posée|问题|你问|質問|ご質問|प्रश्न|आपने पूछा)\s*[:：]\s*", re.I)
 
-#: The votes, in the order of their bits; of each defect the chance of a vote with and without it, at the start.
+#: The labelling functions of each defect, in the order of their digits.
 FUNCTIONS = {
-    "empty": (("no_letters", 0.7, 0.001), ("stand_in", 0.95, 0.001), ("tiny", 0.95, 0.01)),
-    "copied": (("same_words", 0.9, 0.0005), ("in_question", 0.95, 0.002), ("nothing_own", 0.95, 0.01), ("long_run", 0.9, 0.01)),
-    "refusal": (("declines", 0.95, 0.002), ("apologises", 0.7, 0.01), ("nothing_solid", 0.95, 0.15), ("short", 0.95, 0.45)),
-    "truncated": (("open_end", 0.9, 0.003), ("marked", 0.2, 0.0005), ("at_cap", 0.3, 0.004), ("half_word", 0.6, 0.02)),
-    "wrong_language": (("other_script", 0.6, 0.005), ("other_words", 0.85, 0.004), ("every_sentence", 0.85, 0.02)),
+    "empty": ("no_letters", "stand_in", "tiny"),
+    "copied": ("in_question", "covers_question", "ends_in_question", "long_run"),
+    "refusal": ("declines", "apologises", "nothing_solid", "off_topic"),
+    "truncated": ("no_end", "marked", "at_cap", "half_word"),
+    "wrong_language": ("other_script", "other_words", "other_sentences", "other_letters"),
 }
 ORDER = tuple(FUNCTIONS)
-OFFSET = {d: sum(len(FUNCTIONS[x]) for x in ORDER[: ORDER.index(d)]) for d in ORDER}
+#: Two bits a function; each defect takes eight.
+WIDTH = 8
 _SCRIPT = {"zh": "han", "ja": "kana", "hi": "deva", "th": "thai", "ar": "arab", "ko": "hang", "ru": "cyrl"}
+_FIRST = re.compile(r"[.!?。！？।]|\n")
+_LONG = re.compile(r"[^\W\d_]{4,}|\d{2,}")
 
 
 def _grams(text: str) -> list[str]:
@@ -72,113 +82,188 @@ def _shingles(grams: list[str], n: int) -> list[tuple[str, ...]]:
     return list(zip(*(grams[i:] for i in range(n)), strict=False))
 
 
-def _overlap(question: list[str], answer: str) -> tuple[bool, bool, bool, bool]:
-    """Same words; nearly all in the question; hardly a run of its own; the question's own beginning."""
+def _topics(text: str) -> set[str]:
+    """Longer words that aren't everyday ones, and numbers; pairs of signs where a script has no blanks."""
+    out: set[str] = set()
+    for w in _LONG.findall(text.lower()):
+        if _CJK.search(w):
+            out.update(w[i : i + 2] for i in range(len(w) - 1))
+        elif w not in language.EVERYDAY:
+            out.add(w)
+    return out
+
+
+def _overlap(question: list[str], answer: str) -> list[int]:
+    """Next to nothing that the question lacks; most of the question; an end that is in it; a run of it that makes up most of the answer."""
     bare = _grams(_QUOTE_HEAD.sub("", answer))
-    if len(bare) < 2 or not question:
-        return False, False, False, False
-    n = min(5 if _CJK.search(answer) else 2, len(bare))
-    known = set(_shingles(question, n))
-    own = _shingles(bare, n)
-    strange = sum(x not in known for x in own)
-    head = min(len(bare), len(question))
-    much = len(bare) >= 0.6 * len(question)
-    return bare == question, strange <= 0.1 * len(own) and much, strange <= max(n - 1, len(own) // 20), bare[:head] == question[:head] and much
-
-
-def votes(question: str | None, expected: str | None, words: list[str], answer: str | None, cap: int) -> int:
-    """The bit mask of all votes on one answer. expected: the language its question calls for."""
+    if len(bare) < 2 or len(question) < 2:
+        return [ABSTAIN] * 4
+    n = min(5 if _CJK.search(answer) else 2, len(bare), len(question))
+    asked, own = set(_shingles(question, n)), _shingles(bare, n)
+    there = [x in asked for x in own]
+    run = longest = 0
+    for x in there:
+        run = run + 1 if x else 0
+        longest = max(longest, run)
+    return [sum(there) >= 0.9 * len(own), len(asked.intersection(own)) >= 0.6 * len(asked), all(there[-3:]), longest >= 0.8 * len(own)]
+
+
+class Question:
+    """What is read of a question once for all its answers."""
+
+    def __init__(self, text: str | None, profiles: Profiles):
+        self.text = text if text and text.strip() else None
+        self.language = (language.asked_for(self.text) or language.of_question(self.text) or profiles.guess(self.text)[0]) if self.text else None
+        self.words = _grams(self.text) if self.text else []
+        self.topics = _topics(self.text) if self.text else set()
+
+
+def votes(question: Question, answer: str | None, cap: int, profiles: Profiles) -> int:
+    """All votes on one answer as one number."""
     text = answer or ""
-    bits: list[bool] = []
-    none = not _HAS.search(text)
-    stand_in = none or len(text) < 400 and bool(_STAND_IN.match(text))
-    empty = none or stand_in
-    bits += [none, stand_in, len(text) < 60 and len(_HAS.findall(text)) <= 6 or none]
-    # An answer much longer than its question has something of its own.
-    close = not empty and bool(words) and len(text) <= 1.2 * len(question or "") + 40
-    bits += _overlap(words, text) if close else [False] * 4
-    copied = bits[3] or bits[4] and bits[5]
-    if empty:
-        bits += [False] * 4
+    held = endings.core(text)
+    few = sum(1 for _ in zip(range(7), _HAS.finditer(held), strict=False)) <= 6
+    out = {"empty": [not held, bool(held and held.lower() in endings.STAND_INS) if held else ABSTAIN, few]}
+    out["copied"] = _overlap(question.words, text) if question.text else [ABSTAIN] * 4
+    if held:
+        first = text.lstrip()
+        start = _FIRST.search(first)
+        out["refusal"] = [bool(_DECLINES.search(text)), bool(_APOLOGY.search(first[: start.start()] if start else first)), not _SOLID.search(text), question.topics.isdisjoint(_topics(text)) if question.text else ABSTAIN]
     else:
-        solid = bool(_SOLID.search(text))
-        bits += [not solid and len(text) < 600 and bool(_DECLINES.search(text)), len(text) < 600 and bool(_APOLOGY.search(text[:60])), not solid, len(text) <= 200]
-    end = endings.NOTHING if empty else endings.ending(text)
-    open_end = end in (endings.OPEN, endings.MARKED)
-    at_cap = len(text) >= cap and end != endings.COMPLETE
+        out["refusal"] = [NO, NO, ABSTAIN, ABSTAIN]
+    end = endings.ending(text)
     last = text.rstrip()[-1:]
-    bits += [(open_end or at_cap) and not copied, end == endings.MARKED, at_cap, open_end and not copied and (last.isalnum() or last == ",")]
-    if empty or not expected or copied:
-        bits += [False] * 3
-    else:
+    out["truncated"] = [ABSTAIN] * 4 if end == endings.NOTHING else [end in (endings.OPEN, endings.MARKED), end == endings.MARKED, len(text) >= cap, last in ",;、，" or unicodedata.category(last)[0] in "LMN"]
+    if held and question.language:
+        expected = question.language
         found, lead = language.guess(text, 0.5)
-        apart = found is not None and found != expected
-        parts = [language.guess(s, 0.5)[0] for s in language._SENTENCE.split(text) if len(s) > 15] if apart else []
-        parts = [p for p in parts if p]
-        bits += [apart and _SCRIPT.get(found) != _SCRIPT.get(expected), apart and lead >= 1.5, apart and bool(parts) and all(p != expected for p in parts)]
-    return sum(1 << i for i, b in enumerate(bits) if b)
+        parts = [p for s in language._SENTENCE.split(text) if (p := language.guess(s, 0.5)[0])]
+        letters, sure = profiles.guess(text)
+        out["wrong_language"] = [
+            ABSTAIN if found is None else _SCRIPT.get(found) != _SCRIPT.get(expected),
+            ABSTAIN if found is None or found != expected and lead < 1.5 else found != expected,
+            expected not in parts if parts else ABSTAIN,
+            letters != expected if expected in profiles.languages and sure >= 5.0 else ABSTAIN,
+        ]
+    else:
+        out["wrong_language"] = [ABSTAIN] * 4
+    return sum(int(v) << WIDTH * d + 2 * i for d, name in enumerate(ORDER) for i, v in enumerate(out[name]))
+
 
+# Openings and refusals to plant, in the languages of the lists above.
+_PLANTED_REFUSALS = {
+    "en": (("", "I am sorry, but ", "Unfortunately, "), ("I cannot answer that.", "I have to decline this one.", "I will not discuss this here.")),
+    "de": (("", "Leider: ", "Es tut mir leid, "), ("dabei kann ich nicht helfen.", "das muss ich ablehnen.", "dazu darf ich keine Auskunft geben.")),
+    "es": (("", "Lo siento, pero ", "Lamentablemente "), ("no puedo responder a eso.", "debo declinar esta solicitud.")),
+    "fr": (("", "Désolé, ", "Malheureusement, "), ("je ne peux pas vous aider.", "je dois refuser.")),
+    "zh": (("", "抱歉，", "很遗憾，"), ("我无法回答这个问题。", "我必须拒绝。")),
+    "ja": (("", "申し訳ありませんが、", "残念ながら"), ("お答えできません。", "お手伝いできません。")),
+    "hi": (("", "क्षमा करें, ", "खेद है, "), ("मैं इसमें मदद नहीं कर सकता।", "मुझे मना करना होगा।")),
+}
+_PLANTED_NOTHING = ("", "  ", "n/a", "...", "```\n```", "null", "-", "None", "\n\n", "(no response)")
+_INNER = re.compile(r"[^\W_]{2}(?=[^\W_]{2})")
 
-VOTES = "record_id long, answer_field string, call_no long, mask int"
 
+def plant(kind: str, question: Question, answer: str, donors: dict[str, str], cap: int, draw: int) -> str | None:
+    """``answer`` made defective in one way, or None where that can't be done with it."""
+    if kind == "empty":
+        return _PLANTED_NOTHING[draw % len(_PLANTED_NOTHING)]
+    if kind == "copied":
+        return (None if len(question.words) < 2 else (question.text, question.text.lower(), f"Re: {question.text}", f"> {question.text}", f"{question.text} {question.text}")[draw % 5])
+    if kind == "refusal":
+        openings, said = _PLANTED_REFUSALS.get(question.language or "en", _PLANTED_REFUSALS["en"])
+        return openings[draw % len(openings)] + said[draw // len(openings) % len(said)]
+    if kind == "truncated":
+        if endings.ending(answer) != endings.COMPLETE:
+            return None
+        if draw % 3 == 0 and len(answer) > 1:
+            return (answer + " ") * (cap // len(answer) + 1) if len(answer) >= cap else ((answer + " ") * (cap // len(answer) + 1))[:cap]
+        places = [m.end() for m in _INNER.finditer(answer)]
+        return answer[: places[draw % len(places)]] if places else None
+    others = sorted(x for x in donors if x != question.language)
+    return donors[others[draw % len(others)]] if question.language and others else None
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, fields, calls, masks = [], [], [], []
-        for record, question, response, thoughts in zip(*(batch.column(c).to_pylist() for c in ("record_id", "question", "response", "thoughts")), strict=True):
-            asked = question if question and question.strip() else None
-            expected = (language.asked_for(asked) or language.of_question(asked)) if asked else None
-            words = _grams(asked) if asked else []
-            for call, answer in [(-1, response), *enumerate(thoughts or ())]:
-                ids.append(record)
-                fields.append("cot_reasoning" if call >= 0 else "final_response")
-                calls.append(call)
-                masks.append(votes(asked, expected, words, answer, 1000 if call >= 0 else 500))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(calls, pa.int64()), pa.array(masks, pa.int32())], ["record_id", "answer_field", "call_no", "mask"])
 
+VOTES = "record_id long, answer_field string, call_no long, mask long, held_out int, planted int"
 
-def vote_table(journals: DataFrame) -> DataFrame:
-    """(record_id, answer_field, call_no, mask) of every pair of the sealed rows."""
+
+def _vote(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles, donors = shared.value, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for record, text, response, thoughts in zip(*(batch.column(c).to_pylist() for c in ("record_id", "question", "response", "thoughts")), strict=True):
+                question = Question(text, profiles)
+                for call, answer in [(-1, response), *enumerate(thoughts or ())]:
+                    cap, place = (1000 if call >= 0 else 500), ("cot_reasoning" if call >= 0 else "final_response")
+                    draw = zlib.crc32(f"{record}/{call}/{answer}".encode("utf-8", "replace"))
+                    held = draw & 1
+                    out.append((record, place, call, votes(question, answer, cap, profiles), held, -1))
+                    if held and answer:
+                        kind = (draw >> 1) % len(ORDER)
+                        made = plant(ORDER[kind], question, answer, donors, cap, draw >> 4)
+                        if made is not None:
+                            out.append((None, place, call, votes(question, made, cap, profiles), 1, kind))
+                        tongue, lead = profiles.guess(answer) if profiles.languages else language.guess(answer, 0.5)
+                        if tongue and lead >= 5.0:
+                            donors[tongue] = answer
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["record_id", "answer_field", "call_no", "mask", "held_out", "planted"])
+
+    return run
+
+
+def vote_table(journals: DataFrame, profiles: Profiles) -> DataFrame:
+    """The votes on every pair of the sealed rows, with ``planted`` -1, and those on the planted ones."""
     pairs = journals.where("sealed").select("record_id", F.col("user_message").alias("question"), F.col("final_response").alias("response"), F.col("model_calls.cot_reasoning").alias("thoughts"))
-    return spread(pairs).mapInArrow(_vote, VOTES)
+    return spread(pairs).mapInArrow(_vote(journals.sparkSession.sparkContext.broadcast(profiles)), VOTES)
 
 
-def _patterns(masks: np.ndarray, defect: str) -> np.ndarray:
-    k = len(FUNCTIONS[defect])
-    return (masks[:, None] >> (OFFSET[defect] + np.arange(k))) & 1
+def _digits(patterns: np.ndarray, defect: str) -> np.ndarray:
+    return (patterns[:, None] >> (2 * np.arange(len(FUNCTIONS[defect])))) & 3
 
 
-def fit_models(counts: list[tuple[int, int, int]]) -> dict[str, LabelModel]:
-    """A model per defect from (mask, half, count): half 0 is fitted on, half 1 validates the cutoff."""
-    rows = np.array(counts, np.int64).reshape(-1, 3)
+def fit_models(counts: list[tuple[int, int, int, int, int]]) -> dict[str, LabelModel]:
+    """A model per defect from (defect, pattern, held_out, planted, count)."""
+    rows = np.array(counts, np.int64).reshape(-1, 5)
     out = {}
-    for d in ORDER:
-        model = LabelModel([f[1] for f in FUNCTIONS[d]], [f[2] for f in FUNCTIONS[d]])
-        fit, held = rows[rows[:, 1] == 0], rows[rows[:, 1] == 1]
-        model.fit(_patterns(fit[:, 0], d), fit[:, 2])
-        out[d] = model.validate(_patterns(held[:, 0], d), held[:, 2])
+    for d, name in enumerate(ORDER):
+        own = rows[rows[:, 0] == d]
+        fit, held, made = own[own[:, 2] == 0], own[(own[:, 2] == 1) & (own[:, 3] < 0)], own[own[:, 3] == d]
+        model = LabelModel(len(FUNCTIONS[name])).fit(_digits(fit[:, 1], name), fit[:, 4])
+        out[name] = model.validate(_digits(made[:, 1], name), made[:, 4], _digits(held[:, 1], name), held[:, 4])
     return out
 
 
+def _pattern(defect: int):
+    return F.shiftright("mask", WIDTH * defect).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+
+
+def models(voted: DataFrame) -> dict[str, LabelModel]:
+    """The fitted and validated models; reads ``voted`` once and brings at most 5 x 81 x 7 counts to the driver."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), _pattern(d).alias("pattern")) for d in range(len(ORDER))))).alias("x")
+    counted = voted.groupBy("mask", "held_out", "planted").count().select("held_out", "planted", "count", each).groupBy("x.defect", "x.pattern", "held_out", "planted").agg(F.sum("count").alias("n"))
+    return fit_models([(r["defect"], r["pattern"], r["held_out"], r["planted"], r["n"]) for r in counted.collect()])
+
+
 def posteriors(voted: DataFrame) -> DataFrame:
-    """``voted`` with ``p_<defect>`` and ``defects`` (all that reach their cutoffs, the primary one first).
+    """Every pair with ``p_<defect>`` and ``defects`` (all that reach their cutoffs, in the order of ``ORDER``).
+
+    Reads ``voted`` twice, so it should be settled.
+    """
+    known = models(voted)
+    every = np.arange(1 << WIDTH)
+    tables = {d: known[d].posterior(_digits(every, d)) for d in ORDER}
+    chance = {d: F.element_at(F.array(*(F.lit(float(x)) for x in tables[d])), _pattern(i) + 1) for i, d in enumerate(ORDER)}
+    rows = voted.where("planted < 0").select("record_id", "answer_field", "call_no", *(chance[d].alias(f"p_{d}") for d in ORDER))
+    kept = F.filter(F.array(*(F.when(F.col(f"p_{d}") >= known[d].cutoff, d) for d in ORDER)), lambda x: x.isNotNull())
+    return rows.withColumn("defects", kept)
+
+
+def defective_pairs(journals: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row per defective pair with all its defects, their posteriors and the first one.
 
-    Reads ``voted`` twice, so it should be settled. Only counts of masks reach the driver.
+    documents: texts of known language to fit character profiles on; without them that function abstains.
     """
-    half = (F.pmod(F.xxhash64("record_id", "answer_field", "call_no"), F.lit(2))).alias("half")
-    counts = [tuple(r) for r in voted.groupBy("mask", half).count().collect()]
-    models = fit_models(counts)
-    masks = np.array(sorted({c[0] for c in counts}), np.int64)
-    p = {d: models[d].posterior(_patterns(masks, d)) for d in ORDER}
-    rows = []
-    for i, m in enumerate(masks.tolist()):
-        held = [d for d in ORDER if p[d][i] >= models[d].cutoff]
-        rows.append((m, *(float(p[d][i]) for d in ORDER), held))
-    table = voted.sparkSession.createDataFrame(rows, "mask int, " + ", ".join(f"p_{d} double" for d in ORDER) + ", defects array<string>")
-    # At most one row for each mask of 18 bits that occurs, so the broadcast is bounded.
-    return voted.join(F.broadcast(table), "mask")
-
-
-def defective_pairs(journals: DataFrame) -> DataFrame:
-    """One row per defective pair with all its defects, their posteriors and the primary one."""
-    return posteriors(settled(vote_table(journals))).where(F.size("defects") > 0).withColumn("defect_type", F.col("defects")[0])
+    profiles = Profiles() if documents is None else learn(documents)
+    return posteriors(settled(vote_table(journals, profiles))).where(F.size("defects") > 0).withColumn("defect_type", F.col("defects")[0])

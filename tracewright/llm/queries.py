@@ -10,7 +10,19 @@ from tracewright.sources.tables import prepare, table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    return pairs.defective_pairs(table(prepare(spark), base, "decision_journals")).select("record_id", "answer_field", "call_no", "defect_type")
+    return _pairs(spark, base).select("record_id", "answer_field", "call_no", "defect_type")
+
+
+def p1_labels(spark: SparkSession, base: str) -> DataFrame:
+    """Every defect of every defective pair, with its posterior."""
+    found = _pairs(spark, base)
+    chance = F.create_map(*(x for d in pairs.ORDER for x in (F.lit(d), F.col(f"p_{d}"))))
+    return found.select("record_id", "answer_field", "call_no", F.explode("defects").alias("defect_type"), chance.alias("chances")).withColumn("posterior", F.round(F.col("chances")[F.col("defect_type")], 6)).drop("chances")
+
+
+def _pairs(spark: SparkSession, base: str) -> DataFrame:
+    prepare(spark)
+    return pairs.defective_pairs(table(spark, base, "decision_journals"), table(spark, base, "documents"))
 
 
 def _values(spark: SparkSession, base: str) -> DataFrame:
@@ -80,7 +92,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.sentence_units(table(prepare(spark), base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p9_mix, p9_shares, p9_temperature, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p9_mix, p9_shares, p9_temperature, p10_found)}
 
 _TOOL_STEPS = """
 WITH latest AS (
