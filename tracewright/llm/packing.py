@@ -1,8 +1,9 @@
 """Whole documents into containers of a fixed number of tokens, with little space unused.
 
-Shortest-pack-first over the histogram of lengths: lengths are placed from the longest down, each into the
-open packing patterns with the least room that still holds it, and a pattern that takes one is split off with
-the count that both share. Only the histogram (at most one row per length up to the capacity) and the patterns reach the
+Shortest-pack-first over the histogram of lengths: lengths are placed from the longest down, each item into the
+shortest pack, i.e. the one with the most room, and into a new one where none holds it. Packs of equal content are one pattern
+with a count; a pattern that takes items is split off with the count that both share. ``fit="best"`` takes the pack with
+the least room that holds the item instead. Only the histogram (at most one row per length up to the capacity) and the patterns reach the
 driver; documents get a rank among those of their length and the pattern that owns this rank.
 
 Ranks without one task per length: documents of a length are spread over blocks by the hash of their id,
@@ -31,47 +32,82 @@ from tracewright.sources.tables import settled
 BLOCK = 50_000
 
 
-def pack(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(((length, times), ...), count) patterns for ``histogram`` {length: count}; lengths from 1 to ``capacity``."""
-    rooms: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = defaultdict(list)
+Pattern = tuple[tuple[int, int], ...]
+
+
+class _Content:
+    """What is in a pack: a length, how often, and what was put in before; packs share what they have in common."""
+
+    __slots__ = ("before", "length", "times")
+
+    def __init__(self, before: _Content | None, length: int, times: int):
+        if before is not None and before.length == length:
+            before, times = before.before, before.times + times
+        self.before, self.length, self.times = before, length, times
+
+    def all(self) -> Pattern:
+        out, at = [], self
+        while at is not None:
+            out.append((at.length, at.times))
+            at = at.before
+        return tuple(out[::-1])
+
+
+def pack(histogram: dict[int, int], capacity: int, fit: str = "shortest") -> list[tuple[Pattern, int]]:
+    """(((length, times), ...), count) patterns for ``histogram`` {length: count}; lengths from 1 to ``capacity``.
+
+    The same packs as placing items one by one, but whole counts at once: the packs of the pattern with the most room take one item
+    each, or as many as bring them level with the next.
+    """
+    if fit not in ("shortest", "best"):
+        raise ValueError(fit)
+    rooms: dict[int, list[tuple[_Content, int]]] = defaultdict(list)
     order: list[int] = []  # the rooms that have patterns, ascending
-    done: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    done: list[tuple[_Content, int]] = []
 
-    def put(room: int, pattern: tuple[tuple[int, int], ...], count: int) -> None:
+    def put(room: int, content: _Content, count: int) -> None:
         if room == 0:
-            done.append((pattern, count))
+            done.append((content, count))
             return
         if not rooms[room]:
             bisect.insort(order, room)
-        rooms[room].append((pattern, count))
+        rooms[room].append((content, count))
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
             at = bisect.bisect_left(order, length)
             if at == len(order):
-                # No open pattern holds it: as many as fit into new containers of this length alone.
+                # None holds it. A new pack then has the most room for the next item too, until it is full.
                 each = max(1, min(capacity // length, left))
-                put(capacity - each * length, ((length, each),), left // each)
+                put(capacity - each * length, _Content(None, length, each), left // each)
                 left -= each * (left // each)
                 continue
+            at = at if fit == "best" else len(order) - 1
             room = order[at]
-            pattern, count = rooms[room].pop()
+            content, count = rooms[room].pop()
+            below = room
             if not rooms[room]:
                 order.pop(at)
-            each = max(1, min(room // length, left))
-            taken = min(count, left // each)
-            put(room - each * length, (*pattern, (length, each)), taken)
+                below = order[-1] if order else 0
+            if fit == "best":
+                each = max(1, min(room // length, left))
+                taken = min(count, left // each)
+            else:
+                taken = min(count, left)
+                # Rounds until these packs have no more room than the next ones, or hold no further item.
+                each = max(1, min(room // length, -(-(room - below) // length), left // taken))
+            put(room - each * length, _Content(content, length, each), taken)
             if count > taken:
-                put(room, pattern, count - taken)
+                put(room, content, count - taken)
             left -= each * taken
-    return done + [x for room in order for x in rooms[room]]
+    return [(c.all(), n) for c, n in [*done, *(x for room in order for x in rooms[room])]]
 
 
 class Slots:
     """Which container each rank of each length goes to."""
 
-    def __init__(self, patterns: list[tuple[tuple[tuple[int, int], ...], int]]):
+    def __init__(self, patterns: list[tuple[Pattern, int]]):
         first, self.starts, self.containers, self.times = 0, defaultdict(list), defaultdict(list), defaultdict(list)
         used: dict[int, int] = defaultdict(int)
         for pattern, count in patterns:
@@ -114,7 +150,7 @@ def _placed(slots: Slots, kind: str, capacity: int):
 PLACED = "container_kind string, doc_id long, piece_no long, n_tokens long, container_no long, capacity_tokens long"
 
 
-def assign(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
+def assign(sizes: DataFrame, kind: str, capacity: int, fit: str = "shortest") -> DataFrame:
     """(container_kind, doc_id, piece_no, n_tokens, container_no, capacity_tokens) of every piece. ``sizes`` should be settled.
 
     piece_no is -1 for a whole document, else 0, 1, ... in the order of the text.
@@ -126,7 +162,7 @@ def assign(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
     counted = items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counted.collect()}
     blocks = max([1, *histogram.values()]) // BLOCK + 1
-    slots = Slots(pack({k: v for k, v in histogram.items() if k < capacity}, capacity))
+    slots = Slots(pack({k: v for k, v in histogram.items() if k < capacity}, capacity, fit))
     spread = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)))
     within = Window.partitionBy("n_tokens", "block").orderBy("doc_id", "piece_no")
     # At most one row for each length and block, i.e. for about BLOCK items.
@@ -136,14 +172,14 @@ def assign(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
     return ranked.mapInArrow(_placed(slots, kind, capacity), PLACED)
 
 
-def packed(documents: DataFrame, containers: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
+def packed(documents: DataFrame, containers: DataFrame, tokenizer: str = DEFAULT, fit: str = "shortest") -> DataFrame:
     """The assignment for every kind of container; documents without tokens get a null container_no."""
     sizes = settled(with_sizes(documents, tokenizer).select("doc_id", "n_tokens"))
     out = None
     for r in containers.where("capacity_tokens >= 1").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind", "capacity_tokens").collect():
         kind, capacity = r[0], int(r[1])
         empty = sizes.where("n_tokens = 0").select(F.lit(kind).alias("container_kind"), "doc_id", F.lit(-1).cast("bigint").alias("piece_no"), "n_tokens", F.lit(None).cast("bigint").alias("container_no"), F.lit(capacity).cast("bigint").alias("capacity_tokens"))
-        one = assign(sizes, kind, capacity).unionByName(empty)
+        one = assign(sizes, kind, capacity, fit).unionByName(empty)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else documents.sparkSession.createDataFrame([], PLACED)
 
@@ -154,3 +190,18 @@ def report(assigned: DataFrame) -> DataFrame:
     out = by.groupBy("container_kind", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("used_tokens"), F.max("used").alias("fullest"))
     unused = F.col("containers") * F.col("capacity_tokens") - F.col("used_tokens")
     return out.withColumn("unused_tokens", unused).withColumn("unused_share", F.round(unused / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def checked(assigned: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per kind: documents that are there, containers over their capacity, documents whose pieces don't add up to their
+    size, and documents cut though they fit. ``sizes`` has (doc_id, n_tokens); ids are unique."""
+    by = ["container_kind", "capacity_tokens"]
+    full = assigned.where("container_no is not null").groupBy(*by, "container_no").agg(F.sum("n_tokens").alias("used"))
+    over = full.groupBy(*by).agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("over_full"))
+    each = assigned.groupBy(*by, "doc_id").agg(F.sum("n_tokens").alias("placed"), F.max("piece_no").alias("last")).join(sizes, "doc_id", "left")
+    kept = each.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens"))).alias("wrong_size"),
+        F.count_if((F.col("last") >= 0) & (F.col("placed") <= F.col("capacity_tokens"))).alias("cut_without_need"),
+    )
+    return kept.join(over, by, "left").select("container_kind", "documents", F.coalesce("over_full", F.lit(0)).alias("over_full"), "wrong_size", "cut_without_need")

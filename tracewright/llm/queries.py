@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import mixing, packing, pairs, pii, sentences, sequences, truncation
+from tracewright.llm import mixing, packing, pairs, pii, sentences, sequences, tokens, truncation
 from tracewright.sources.tables import prepare, table
 
 
@@ -25,9 +25,9 @@ def _pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, base, "decision_journals"), table(spark, base, "documents"))
 
 
-def _values(spark: SparkSession, base: str) -> DataFrame:
+def _values(spark: SparkSession, base: str, agents: bool = False) -> DataFrame:
     prepare(spark)
-    return truncation.all_values(*(table(spark, base, t) for t in ("decision_journals", "agent_events", "spans")))
+    return truncation.all_values(*(table(spark, base, t) for t in ("decision_journals", "agent_events", "spans")), agents)
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, base: str) -> DataFrame:
-    return truncation.cut_shares(_values(spark, base))
+    return truncation.cut_shares(_values(spark, base, True))
 
 
 def _prose(spark: SparkSession, base: str) -> DataFrame:
@@ -72,6 +72,11 @@ def p8_unused(spark: SparkSession, base: str) -> DataFrame:
     return packing.report(p8_packing(spark, base))
 
 
+def p8_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold for every kind of container."""
+    return packing.checked(p8_packing(spark, base), tokens.with_sizes(table(spark, base, "documents")).select("doc_id", "n_tokens"))
+
+
 def p9_mix(spark: SparkSession, base: str) -> DataFrame:
     """Every use of a document in the mix."""
     prepare(spark)
@@ -92,7 +97,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.sentence_units(table(prepare(spark), base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p9_mix, p9_shares, p9_temperature, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p8_checks, p9_mix, p9_shares, p9_temperature, p10_found)}
 
 _TOOL_STEPS = """
 WITH latest AS (
@@ -107,4 +112,6 @@ found AS (
   HAVING count(DISTINCT j) >= 0.03 * (SELECT count(*) FROM kept)
 )"""
 
-ORACLE = {"p5_found": _TOOL_STEPS + " SELECT pattern FROM found"}
+_CHECKS = "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS wrong_size, CAST(0 AS BIGINT) AS cut_without_need FROM container_sizes"
+
+ORACLE = {"p8_checks": _CHECKS, "p5_found": _TOOL_STEPS + " SELECT pattern FROM found"}

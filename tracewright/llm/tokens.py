@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,9 @@ from tracewright.sources.tables import spread
 DEFAULT = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Letters, digits, other signs and blanks apart, as byte-level vocabularies expect.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are cut here before they are encoded, at a blank where there is one; no vocabulary entry is that long.
+#: Texts longer than this are encoded in pieces, cut only where the pattern parts words anyway, so that counts stay those of the whole.
 PIECE = 100_000
+_BORDER = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W\d_])(?=[,.;:!?。、，！？；：()\[\]{}])")
 
 _loaded: dict[str, object] = {}
 
@@ -42,14 +44,12 @@ def count(text: str | None, path: str = DEFAULT) -> int:
     if not text:
         return 0
     encode = encoder(path)
-    if len(text) <= PIECE:
+    if len(text) <= PIECE or not path.endswith(".tiktoken"):
         return len(encode(text))
     total, at = 0, 0
     while at < len(text):
-        stop = min(len(text), at + PIECE)
-        if stop < len(text):
-            blank = text.rfind(" ", at + PIECE // 2, stop)
-            stop = blank if blank > at else stop
+        border = _BORDER.search(text, at + PIECE)
+        stop = border.start() if border else len(text)
         total += len(encode(text[at:stop]))
         at = stop
     return total
