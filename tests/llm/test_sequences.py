@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from itertools import product
 
+import pytest
+
 from tracewright.llm import sequences
 
 
@@ -42,6 +44,43 @@ def test_closed(spark):
     assert got == {"abc": True, "bcd": False, "abcd": True}
 
 
+def closed_brute(seqs, share, gap):
+    every = brute(seqs, share, gap, (1, 2, 3, 4, 5))
+    return {p for p, n in every.items() if len(p) in (3, 4) and not any(m == n and len(q) == len(p) + 1 and p in (q[1:], q[:-1]) for q, m in every.items())}
+
+
+def chained(r):
+    """What often stands behind what, so that prefixes are pruned: x before every a, y before every x in part of the cases."""
+    out = []
+    for _ in range(150):
+        s = []
+        for _ in range(r.randint(1, 3)):
+            s += [*(["y"] if r.random() < 0.9 else []), "x", *(["z"] if r.random() < 0.3 else []), "a", r.choice("bc"), *(["d"] if r.random() < 0.5 else [])]
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 20_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pruned_supports_are_recovered(spark, monkeypatch, block, seed):
+    monkeypatch.setattr(sequences, "BLOCK", block)
+    seqs = chained(random.Random(seed))
+    for gap in (0, 2):
+        got = {tuple(x["steps"]): x for x in sequences.frequent_patterns(frame(spark, seqs), 0.05, gap).collect()}
+        assert {p: x["support"] for p, x in got.items()} == brute(seqs, 0.05, gap)
+        assert {p for p, x in got.items() if x["closed"]} == closed_brute(seqs, 0.05, gap)
+
+
+def test_backscan_prunes():
+    code = {c: i for i, c in enumerate("xyzabcd")}
+    places = sequences._places([([code[c] for c in s], 1) for s in chained(random.Random(1))])
+    follows = dict.fromkeys(code.values(), frozenset(code.values()))
+    found = sequences.grow(places, code["a"], follows, 2, 6, True, {})
+    assert found == {(code["a"],): (150, code["x"])}  # every a has x before it, so nothing that begins with a is closed
+    free = sequences.grow(places, code["a"], follows, 2, 6, False, {})
+    assert len(free) > 50 and sequences.grow(places, code["x"], follows, 2, 6, True, {})
+
+
 def test_blocks_of_a_hot_item(spark, monkeypatch):
     monkeypatch.setattr(sequences, "BLOCK", 3)
     seqs = [["a", str(i % 11), "b", str(i % 7)] for i in range(60)]

@@ -99,19 +99,22 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p8_checks, p9_mix, p9_shares, p9_temperature, p10_found)}
 
-_TOOL_STEPS = """
+def _longer(n: int) -> str:
+    """Distinct patterns of n steps per journal from those of n - 1."""
+    return f"s{n} AS (SELECT DISTINCT t.j, t.p || '>' || s.name AS p, s.i FROM s{n - 1} t JOIN steps s ON t.j = s.j AND s.i - t.i BETWEEN 1 AND 3)"
+
+
+_TOOL_STEPS = f"""
 WITH latest AS (
   SELECT journal_id, arg_max(tool_calls, record_id) AS calls FROM decision_journals GROUP BY journal_id
 ), kept AS (SELECT row_number() OVER (ORDER BY journal_id) AS j, calls FROM latest WHERE len(calls) > 0),
-steps AS (SELECT j, unnest(range(len(calls))) AS i, unnest(calls).tool_name AS name FROM kept),
-two AS (SELECT a.j, a.name || '>' || b.name AS p, b.i FROM steps a JOIN steps b ON a.j = b.j AND b.i - a.i BETWEEN 1 AND 3),
-three AS (SELECT DISTINCT t.j, t.p || '>' || s.name AS p, s.i FROM two t JOIN steps s ON t.j = s.j AND s.i - t.i BETWEEN 1 AND 3),
-four AS (SELECT t.j, t.p || '>' || s.name AS p FROM three t JOIN steps s ON t.j = s.j AND s.i - t.i BETWEEN 1 AND 3),
-found AS (
-  SELECT p AS pattern, count(DISTINCT j) AS support FROM (SELECT j, p FROM three UNION ALL SELECT j, p FROM four) GROUP BY p
-  HAVING count(DISTINCT j) >= 0.03 * (SELECT count(*) FROM kept)
-)"""
+steps AS (SELECT j, i, name FROM (SELECT j, unnest(range(len(calls))) AS i, unnest(calls).tool_name AS name FROM kept) WHERE name IS NOT NULL),
+s1 AS (SELECT j, name AS p, i FROM steps), {", ".join(_longer(n) for n in (2, 3, 4, 5))},
+counted AS (SELECT n, p AS pattern, count(DISTINCT j) AS support FROM ({" UNION ALL ".join(f"SELECT {n} AS n, j, p FROM s{n}" for n in (3, 4, 5))}) GROUP BY n, p),
+found AS (SELECT * FROM counted WHERE n < 5 AND support >= 0.03 * (SELECT count(*) FROM kept))"""
 
 _CHECKS = "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS wrong_size, CAST(0 AS BIGINT) AS cut_without_need FROM container_sizes"
 
-ORACLE = {"p8_checks": _CHECKS, "p5_found": _TOOL_STEPS + " SELECT pattern FROM found"}
+ORACLE = {"p8_checks": _CHECKS, "p5_found": _TOOL_STEPS + " SELECT pattern FROM found", "p5_supports": _TOOL_STEPS
+  + """, ends AS (SELECT n - 1 AS n, unnest([regexp_replace(pattern, '^[^>]*>', ''), regexp_replace(pattern, '>[^>]*$', '')]) AS pattern, support FROM counted)
+SELECT pattern, support, NOT EXISTS (SELECT 1 FROM ends e WHERE e.pattern = f.pattern AND e.n = f.n AND e.support = f.support) AS closed FROM found f"""}
