@@ -1,9 +1,8 @@
 """Documents of several sources mixed to target shares of all tokens.
 
-The target shares are weights; a source that would need more repeats than it may have is held at its limit,
-and the scale of the rest is found by bisection so that the whole keeps its planned size. A temperature serves
-where no weights are given: token shares raised to an exponent, which is bisected to meet a target entropy or the
-limits on repeats (``temperature_weights``).
+The weights are either the target shares (``weights="targets"``) or a temperature (``"temperature"``): token shares raised
+to an exponent that is bisected to meet the entropy of the targets and the limits on repeats. A source that would need more repeats than it may have is held at its limit,
+and the scale of the rest is found by bisection so that the whole keeps its planned size.
 
 A budget is realised as whole epochs of the source and one part of an epoch, drawn in the order of keyed
 block permutations: documents fall into blocks by a keyed hash, each epoch orders the blocks and the documents within
@@ -130,14 +129,19 @@ def _sized(documents: DataFrame, tokenizer: str) -> tuple[DataFrame, dict[str, i
     return sizes, {r["source"]: r["t"] for r in per}, {r["source"]: r["n"] for r in per}
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = DEFAULT, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(the mix, the shares). total: tokens of the mix; by default as many as the targeted sources have.
+def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = DEFAULT, seed: str = "mix", weights: str = "targets") -> tuple[DataFrame, DataFrame]:
+    """(the mix, the shares). total: tokens of the mix; by default as many as the targeted sources have. weights: see above.
 
     Shares: source, target_share, available_tokens, max_repeats, mixed_tokens, actual_share, most_repeats, limited.
     """
     sizes, tokens, counts = _sized(documents, tokenizer)
     shares, repeats = _targets(targets)
     total = total or sum(tokens.get(s, 0) for s in shares)
+    if weights == "temperature":
+        own = {s: tokens.get(s, 0) for s in shares}
+        shares = temperature_weights(own, total, entropy({s: w for s, w in shares.items() if own[s]}), repeats)[1]
+    elif weights != "targets":
+        raise ValueError(weights)
     wanted = budgets(tokens, shares, repeats, total)
     mix = realise(sizes.where("n_tokens > 0 and source is not null"), wanted, tokens, counts, seed)
     facts = [(s, shares.get(s, 0.0), tokens.get(s, 0), repeats.get(s, 0), bool(s in wanted and wanted[s] >= tokens.get(s, 0) * repeats.get(s, 1) - 1e-6)) for s in sorted({*shares, *tokens} - {None})]
@@ -159,3 +163,12 @@ def temperatures(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFA
     held = temperature_weights(own, total, goal, repeats)
     rows = [(s, own[s] / total, shares[s], free[0], free[1][s], held[0], held[1][s]) for s in sorted(shares)]
     return documents.sparkSession.createDataFrame(rows or [("", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "source string, token_share double, target_share double, exponent double, weight double, limited_exponent double, limited_weight double")
+
+
+def checked(mix: DataFrame, targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per target source: its limit, the documents used more often than that, and those used that are none of its own."""
+    limits = targets.select(clean_key("source").alias("source"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))
+    used = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    own = documents.select("doc_id", clean_key("source").alias("own")).distinct()
+    seen = used.join(own, "doc_id", "left").join(F.broadcast(limits), "source").groupBy("source").agg(F.count_if(F.col("times") > F.col("max_repeats")).alias("over_repeated"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("foreign_documents"))
+    return limits.join(seen, "source", "left").na.fill(0, ["over_repeated", "foreign_documents"])

@@ -88,6 +88,17 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mixed(table(spark, base, "documents"), table(spark, base, "source_targets"))[1]
 
 
+def p9_tempered(spark: SparkSession, base: str) -> DataFrame:
+    """The shares reached where the weights come from a temperature instead of the targets."""
+    prepare(spark)
+    return mixing.mixed(table(spark, base, "documents"), table(spark, base, "source_targets"), weights="temperature")[1]
+
+
+def p9_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold for every source."""
+    return mixing.checked(p9_mix(spark, base), table(spark, base, "source_targets"), table(spark, base, "documents"))
+
+
 def p9_temperature(spark: SparkSession, base: str) -> DataFrame:
     prepare(spark)
     return mixing.temperatures(table(spark, base, "documents"), table(spark, base, "source_targets"))
@@ -97,7 +108,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.sentence_units(table(prepare(spark), base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p8_checks, p9_mix, p9_shares, p9_temperature, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_shares, p4_found, p4_rewritten, p5_found, p5_supports, p8_packing, p8_unused, p8_checks, p9_mix, p9_shares, p9_tempered, p9_temperature, p9_checks, p10_found)}
 
 def _longer(n: int) -> str:
     """Distinct patterns of n steps per journal from those of n - 1."""
@@ -115,6 +126,8 @@ found AS (SELECT * FROM counted WHERE n < 5 AND support >= 0.03 * (SELECT count(
 
 _CHECKS = "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS wrong_size, CAST(0 AS BIGINT) AS cut_without_need FROM container_sizes"
 
-ORACLE = {"p8_checks": _CHECKS, "p5_found": _TOOL_STEPS + " SELECT pattern FROM found", "p5_supports": _TOOL_STEPS
+_REPEATS = "SELECT lower(trim(source)) AS source, max(coalesce(max_repeats, 1)) AS max_repeats, CAST(0 AS BIGINT) AS over_repeated, CAST(0 AS BIGINT) AS foreign_documents FROM source_targets WHERE trim(source) <> '' GROUP BY 1"
+
+ORACLE = {"p9_checks": _REPEATS, "p8_checks": _CHECKS, "p5_found": _TOOL_STEPS + " SELECT pattern FROM found", "p5_supports": _TOOL_STEPS
   + """, ends AS (SELECT n - 1 AS n, unnest([regexp_replace(pattern, '^[^>]*>', ''), regexp_replace(pattern, '>[^>]*$', '')]) AS pattern, support FROM counted)
 SELECT pattern, support, NOT EXISTS (SELECT 1 FROM ends e WHERE e.pattern = f.pattern AND e.n = f.n AND e.support = f.support) AS closed FROM found f"""}
