@@ -32,7 +32,7 @@ _INDENT = re.compile(r"(?: {4}|\t)[ \t]*\S")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 _URL = re.compile(r"(?:https?://|www\.)[!-~]*?(?=[.,;:!?]*(?:[\s<>\"')\]]|[^!-~]|$))")
 _CODE = re.compile(r"`[^`\n]+`")
-_MARK = re.compile(r"(?:\.{2,}|[.!?…。！？।॥؟۔｡])(?:[.!?…。！？؟]|[  \xa0](?=[!?]))*")
+_MARK = re.compile(r"(?:\.{2,}|[.!?…。！？।॥؟۔｡])(?:[.!?…。！？؟]|[  \xa0](?=[!?]))*")
 _OPEN, _CLOSE = "“«„「『（(【〈《‘", "”»“」』）)】〉》’"
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "〈": "〉", "《": "》"}
 _CLOSERS = "\"”»“」』）)】〉》]'’"
@@ -41,10 +41,13 @@ _UNCASED = re.compile(r"[֐-ࣿऀ-᫿぀-ヿ㐀-鿿가-힯]")
 _THAI = re.compile(r"[฀-๿]")
 _KANA = re.compile(r"[぀-ヿ]")
 _PARTICLE = re.compile(r"[ぁ-ん]")
-#: Letters and digits with the signs that combine with them in Indic, Thai and Arabic writing.
-_LETTER = r"(?:[^\W_]|[ऀ-ःऺ-ॏ॑-ॗॢॣ\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u064b-\u065f\u0670])"
-_WORD = re.compile(rf"{_LETTER}+(?:[.'’-]{_LETTER}+)*")
-_BEFORE = re.compile(rf"(?:{_LETTER}|\.(?={_LETTER}))+$")
+#: Letters and digits with the signs that combine with them in Indic, Thai and Arabic writing; runs of them, read without a way back.
+_SIGNS = r"ऀ-ःऺ-ॏ॑-ॗॢॣ\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u064b-\u065f\u0670"
+_SIGN_SET = frozenset(chr(c) for a, b in ((0x900, 0x903), (0x93A, 0x93B), (0x93C, 0x94F), (0x951, 0x957), (0x962, 0x963), (0xE31, 0xE31), (0xE34, 0xE3A), (0xE47, 0xE4E), (0x64B, 0x65F), (0x670, 0x670)) for c in range(a, b + 1))
+_RUN = rf"(?:[^\W_]++|[{_SIGNS}]++)++"
+_WORD = re.compile(rf"{_RUN}(?:[.'’-]{_RUN})*+")
+#: A word and the sign right behind it that may end a sentence.
+_ENDED = re.compile(rf"(?<![^\W_])({_RUN}(?:[.'’-]{_RUN})*+)([.!?…。！？।॥؟])")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*$")
 
 
@@ -189,30 +192,31 @@ def language_of(code: str | None, text: str) -> str:
     return language.guess(prose, 0.5)[0] or "und"
 
 
-def observe(text: str, seen: Counter) -> None:
-    """Counts of one text: ``n`` words; ``w`` a word without, ``p`` with a period; ``i`` a period with a word after it that is no new
-    sentence by its case; ``s`` a word at a sure start; ``a`` a word anywhere, ``c`` with a capital; ``d`` a word behind a number with a period, ``m`` how many such places."""
+def observe(text: str, seen: Counter, words: Counter) -> None:
+    """Counts of one text. ``words``: every word as written. ``seen``: ``p`` a word with a period; ``i`` a period with a word after it that
+    is no new sentence by its case; ``f`` a capitalised word behind such a period; ``s`` a word at a sure start; ``d`` a word behind a number
+    with a period, ``m`` how many such places. Only words beside marks are looked at one by one."""
     for start, end, words_at, code in blocks(text):
         if code:
             continue
         part = _CODE.sub(lambda m: " " * len(m[0]), _URL.sub(lambda m: " " * len(m[0]), text[words_at:end]))
-        words = list(_WORD.finditer(part))
-        sure = True
-        for k, m in enumerate(words):
-            word = m[0]
+        words.update(_WORD.findall(part))
+        first = _WORD.search(part)
+        if first:
+            _begin(first[0], seen)
+        for m in _ENDED.finditer(part):
+            word, mark, at = m[1], m[2], m.end()
             low = word.lower()
-            tail = part[m.end() : words[k + 1].start()] if k + 1 < len(words) else part[m.end() :]
-            is_number = low[0].isdigit()
-            if not is_number:
-                seen["n", ""] += 1
-                seen["a", low] += 1
-                seen["c", low] += word[0].isupper()
-                if sure and (word[0].isupper() or _UNCASED.match(word)):
-                    seen["s", low] += 1
-            dot = tail[:1] == "." and tail[:2] != ".."
-            if dot and k + 1 < len(words) and tail[1:2].isspace():
-                after = words[k + 1][0]
-                if is_number:
+            following = _WORD.search(part, at)
+            after = following[0] if following else ""
+            # An end is sure after a word of some length, or after another mark.
+            if after and (mark != "." or len(word) >= 4 and word.islower() and low.isalpha() or len(word) > 3 and _UNCASED.search(word)):
+                _begin(after, seen)
+            if mark != "." or part[at : at + 1] == ".":
+                continue
+            number = low[0].isdigit()
+            if after and part[at : at + 1].isspace():
+                if number:
                     seen["d", after.lower()] += after[0].isupper()
                     seen["m", ""] += not after[0].isdigit()
                 else:
@@ -221,29 +225,41 @@ def observe(text: str, seen: Counter) -> None:
                         seen["i", low] += 1
                     elif after[0].isupper():
                         seen["f", f"{low}\t{after.lower()}"] += 1
-            elif dot and not is_number:
+            elif not number:
                 seen["p", low] += 1
-                seen["i", low] += tail[1:2] in (",", ";", ":")
-            elif not is_number:
-                seen["w", low] += 1
-            # An end is sure after a word of some length, or after another mark.
-            sure = bool(re.match(r"[.!?…。！？।؟]", tail)) and (len(word) >= 4 and word.islower() and low.isalpha() or tail[0] != "." or bool(_UNCASED.search(word)) and len(word) > 3)
+                seen["i", low] += part[at : at + 1] in (",", ";", ":") and at < len(part)
+
+
+def _begin(word: str, seen: Counter) -> None:
+    if not word[0].isdigit() and (word[0].isupper() or _UNCASED.match(word)):
+        seen["s", word.lower()] += 1
 
 
 SEEN = "lang string, kind string, key string, n bigint"
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(total: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, kind, key, n) for lang, seen in total.items() for (kind, key), n in seen.items() if n]
+    """Counts of all texts of a task: those of ``observe``, and of words ``n`` all, ``a`` a word anywhere, ``c`` with a capital."""
+
+    def out(total: dict[str, tuple[Counter, Counter]]) -> pa.RecordBatch:
+        rows = []
+        for lang, (seen, words) in total.items():
+            for word, n in words.items():
+                if not word[0].isdigit():
+                    low = word.lower()
+                    seen["a", low] += n
+                    seen["n", ""] += n
+                    if word[0].isupper():
+                        seen["c", low] += n
+            rows += [(lang, kind, key, n) for (kind, key), n in seen.items() if n]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "kind", "key", "n"])
 
-    total: dict[str, Counter] = {}
+    total: dict[str, tuple[Counter, Counter]] = {}
     for batch in batches:
         for code, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text:
-                observe(text, total.setdefault(language_of(code, text), Counter()))
-        if sum(map(len, total.values())) > 200_000:
+                observe(text, *total.setdefault(language_of(code, text), (Counter(), Counter())))
+        if sum(len(a) + len(b) for a, b in total.values()) > 200_000:
             yield out(total)
             total = {}
     yield out(total)
@@ -263,11 +279,12 @@ def _together(pair, left, right, total):
     return 2 * (_term(pair, left, pair / left) + _term(rest, other, rest / other) - _term(pair, left, p) - _term(rest, other, p))
 
 
-def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score: float = 0.3, collocation_ratio: float = 30.0, least: int = 5) -> Model:
+def learn(documents: DataFrame, starter_ratio: float = 30.0, capital_ratio: float = 10.83, abbreviation_score: float = 0.3, collocation_ratio: float = 30.0, least: int = 5) -> Model:
     """Statistics of every language from all texts. Every word seen ``least`` times is judged by its ratios in Spark, in a corpus of
     any size; the words that pass reach the driver."""
     seen = settled(spread(documents.select("lang", "text")).mapInArrow(_observed, SEEN).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    single = seen.where("kind != 'f'").groupBy("lang", "key").pivot("kind", ["n", "m", "w", "p", "i", "s", "a", "c", "d"]).sum("n").na.fill(0)
+    single = seen.where("kind != 'f'").groupBy("lang", "key").pivot("kind", ["n", "m", "p", "i", "s", "a", "c", "d"]).sum("n").na.fill(0)
+    single = single.withColumn("w", F.greatest(F.col("a") - F.col("p"), F.lit(0)))
     # Totals by aggregation, not over windows, so that no language's vocabulary meets in one task; a row for each two-letter code.
     words = single.where("key != ''")
     totals = single.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("s").alias("starts"), F.sum("p").alias("periods"))
@@ -279,8 +296,10 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, abbreviation_score:
     all_rate, at_start = F.col("starts") / F.col("total"), F.col("s") / F.greatest(F.col("a"), F.lit(1))
     starter = 2 * (_term(F.col("s"), F.col("a"), at_start) - _term(F.col("s"), F.col("a"), all_rate))
     is_starter = (F.col("s") >= least) & (at_start > all_rate) & (starter >= starter_ratio) & (at_start >= 0.05)
-    # A common word, seldom with a capital but at starts, begins sentences too.
-    is_starter = is_starter | ((F.col("s") >= least) & (F.col("a") - F.col("c") >= F.col("s")) & (F.col("c") - F.col("s") <= 0.25 * F.col("c")))
+    # A word that has its capital at starts, much more than its capitals explain, begins sentences too.
+    capitals, inner, inner_caps = F.col("c") / F.col("a"), F.col("a") - F.col("s"), F.least(F.col("c") - F.col("s"), F.col("a") - F.col("s"))
+    capital = 2 * (_term(inner_caps, inner, inner_caps / F.greatest(inner, F.lit(1))) - _term(F.col("s"), F.col("s"), capitals) - _term(inner_caps, inner, capitals))
+    is_starter = is_starter | ((F.col("s") >= least) & (F.col("c") >= F.col("s")) & (inner >= F.col("s")) & (inner_caps <= 0.25 * F.col("c")) & (capital >= capital_ratio))
     # Abbreviations: with a period nearly always, short, and what follows goes on.
     both = F.col("p") + F.col("w")
     bound = 2 * (_term(F.col("p"), both, F.lit(0.99)) - _term(F.col("p"), both, F.col("periods") / F.col("total")))
@@ -341,24 +360,40 @@ def boundaries(text: str, known: Statistics) -> list[int]:
     starts_of, links_end = {s[0] for s in spans}, {s[1] for s in spans if s[2] == "u"}
     cuts: list[int] = []
     active: list[tuple[int, int, str]] = []
-    upto = 0
+    upto, last_mark, last_start = 0, -1, 0
     for m in _MARK.finditer(text):
         at, end = m.start(), m.end()
         while upto < len(spans) and spans[upto][0] <= at:
             active.append(spans[upto])
             upto += 1
-        active = [s for s in active if s[1] > at]
+        active = [s for s in active if s[1] > at] if active else active
+        # The word before the mark, with its inner periods; what was read for the mark before isn't read again.
+        word_at = at
+        while word_at > 0:
+            c = text[word_at - 1]
+            if c.isalnum() or c in _SIGN_SET:
+                word_at -= 1
+            elif c == "." and word_at < at:
+                if word_at - 1 == last_mark:
+                    word_at = last_start
+                    break
+                word_at -= 1
+            else:
+                break
+        last_mark, last_start = at, word_at
         closers = end
         while closers < len(text) and text[closers] in _CLOSERS:
             closers += 1
         covering = active
-        if any(s[2] in "u`" for s in covering):
-            continue
-        # Quotes and brackets that end right behind the mark close with it; others hold it.
-        if any(s[1] > closers for s in covering) or any(s[0] < at < s[1] and s[1] <= end for s in covering):
-            continue
-        shut = [s for s in covering if end < s[1] <= closers]
-        if not shut and any(x in starts_of for x in range(end, closers)):
+        shut: list[tuple[int, int, str]] = []
+        if covering:
+            if any(s[2] in "u`" for s in covering):
+                continue
+            # Quotes and brackets that end right behind the mark close with it; others hold it.
+            if any(s[1] > closers for s in covering) or any(s[0] < at < s[1] and s[1] <= end for s in covering):
+                continue
+            shut = [s for s in covering if end < s[1] <= closers]
+        if closers > end and not shut and any(x in starts_of for x in range(end, closers)):
             closers = end  # what follows opens something new
         if closers >= len(text):
             continue
@@ -373,8 +408,8 @@ def boundaries(text: str, known: Statistics) -> list[int]:
         low = word.lower()
         last = mark.rstrip()[-1]
         uncased_next = bool(_UNCASED.match(sign)) if sign else False
-        quoted = any(s[2] in "\"”»“」』’" for s in shut)
-        if any(c in _FULL for c in mark):
+        quoted = bool(shut) and any(s[2] in "\"”»“」』’" for s in shut)
+        if mark not in ".?!" and any(c in _FULL for c in mark):
             if text[gap] in "，、,;；:：。":
                 continue
             if quoted and not spaced:
@@ -385,8 +420,7 @@ def boundaries(text: str, known: Statistics) -> list[int]:
                     continue
             cuts.append(closers)
             continue
-        before = _BEFORE.search(text, max(0, at - 64, cuts[-1] if cuts else 0), at)
-        prior = "link" if at in links_end else before[0] if before else ""
+        prior = "link" if at in links_end else text[max(word_at, cuts[-1] if cuts else 0) : at]
         if not spaced:
             # A missing blank: only where a word ends and a known starter begins.
             follows = text[gap + len(word) : gap + len(word) + 1]
