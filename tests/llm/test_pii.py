@@ -36,9 +36,12 @@ def test_the_cheap_test_lets_all_finds_through(spark):
 
 
 def test_rewritten(spark):
-    rows = [("f", "1", -1, "Write to a.b@mail.example or A.B@MAIL.EXAMPLE, not to c@mail.example."), ("f", "2", -1, "Again a.b@mail.example"), ("f", "3", -1, "nothing")]
+    rows = [("f", "1", -1, "Write to a.b@mail.example or A.B@MAIL.EXAMPLE, not to c@mail.example."), ("f", "2", -1, "Again a.b@mail.example"), ("f", "3", -1, "nothing"), ("f", "3", -1, "nothing"), ("f", "4", -1, None), ("f", "5", -1, ""), ("f", "6", -1, "Mail x@y.example"), ("f", "6", -1, "Mail to x@y.example twice")]
     got = {r["row_key"]: r for r in pii.rewritten(fields(spark, rows), KEY).collect()}
-    assert set(got) == {"1", "2"} and got["1"]["redacted"] == "Write to [EMAIL] or [EMAIL], not to [EMAIL]." == pii.redact(rows[0][3])
+    assert set(got) == set("123456") and got["3"]["redacted"] == got["3"]["surrogate_text"] == "nothing" and got["4"]["redacted"] is None
+    every = pii.rewritten(fields(spark, rows), KEY).collect()
+    assert len(every) == 7 and {r["redacted"] for r in every if r["row_key"] == "6"} == {"Mail [EMAIL]", "Mail to [EMAIL] twice"}
+    assert got["1"]["redacted"] == "Write to [EMAIL] or [EMAIL], not to [EMAIL]." == pii.redact(rows[0][3])
     first = got["2"]["surrogate_text"].removeprefix("Again ")
     assert first in got["1"]["surrogate_text"] and first != "a.b@mail.example" and first.lower() == pii.fold("email", got["1"]["surrogate_text"].split(" or ")[1].split(",")[0])
 
@@ -76,6 +79,31 @@ def test_no_name_of_an_address_stays(value, gone, kept):
         assert [c.isdigit() for c in made if c.isdigit() or c in ",'"] == [c.isdigit() for c in value if c.isdigit() or c in ",'"]
 
 
+def test_names_keep_script_gender_and_initials():
+    for n in range(30):
+        key = b"%d" % n
+        whole, short = pii.surrogate("person_name", "Ravik Kessbrook", key), pii.surrogate("person_name", "R. Kessbrook", key)
+        assert short.split(" ")[1] == whole.split(" ")[1] and short[0] == whole[0] and short[1] == "."
+        assert pii.surrogate("person_name", "Ravina Kessbrook", key).split(" ")[0][-1] in "ae" and not pii._alike("Kessbrook", whole.split(" ")[1])
+        assert all("Ѐ" <= c <= "ӿ" or c == " " for c in pii.surrogate("person_name", "Иван Петров", key)) and pii.surrogate("person_name", "Анна Петрова", key).split(" ")[0].endswith("а")
+        made = pii.surrogate("person_name", "山田 タロウ", key)
+        assert all("一" <= c <= "鿿" for c in made[:2]) and all("ァ" <= c <= "ヶ" for c in made[3:])
+        assert pii.surrogate("person_name", "सीमा राव", key).split(" ")[0][-1] in "ािी" and "é" not in pii.surrogate("email", "josé.ñandu@mail.example", key)
+
+
+def test_surrogates_are_no_real_values(spark):
+    rows = [("id_number", f"{i:02d}") for i in range(60)]
+    table = pii.surrogate_table(spark.createDataFrame(rows, "pii_type string, pii_value string"), KEY).collect()
+    assert not {r["surrogate"] for r in table} & {v for _, v in rows} and len({r["surrogate"] for r in table}) == 60
+
+
+def test_large_number_of_names(spark):
+    rows = [("person_name", f"{chr(65 + i % 26)}{'aeiou'[i % 5]}ranor Zib{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}m") for i in range(20_000)]
+    table = pii.surrogate_table(spark.createDataFrame(rows, "pii_type string, pii_value string"), KEY).collect()
+    names = {r["pii_value"]: r["surrogate"] for r in table}
+    assert len(set(names.values())) == len(names) and not [v for v in names.values() if any(c.isdigit() for c in v)]
+
+
 def test_surrogates_differ_from_their_values():
     assert all(pii.surrogate(k, v, b"%d" % n) != v for n in range(200) for k, v in (("street_address", "青路7号"), ("id_number", "7"), ("person_name", "Alva Aldacker"), ("person_name", "安安")))
 

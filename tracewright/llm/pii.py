@@ -140,7 +140,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         found += [(m.start("v"), m.end("v"), "person_name") for m in p.finditer(text) if _is_name(m["v"])]
     for a, _, kind in [x for x in found if x[2] in ("street_address", "phone")]:
         if text[max(0, a - 2) : a] in ("/ ", "| ") or text[max(0, a - 1) : a] == "\n":
-            before = max(0, a - 80)
+            # No name goes beyond these signs.
+            before = max(text.rfind(c, 0, max(0, a - 2)) for c in "\n:：。/|!?")
+            before = max(0, before)
             if (m := _RECORD.search(text[before:a])) and _is_name(m["v"]):
                 found.append((before + m.start("v"), before + m.end("v"), "person_name"))
     for a, b, kind in [x for x in found if x[2] == "email"]:
@@ -158,10 +160,12 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
 
 def redact(text: str | None) -> str | None:
     """``text`` with ``[TYPE]`` in the place of each value."""
-    if not text:
-        return text
+    return _around(text, find(text)) if text else text
+
+
+def _around(text: str, found: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for a, b, kind in find(text):
+    for a, b, kind in found:
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join([*out, text[at:]])
@@ -205,15 +209,20 @@ def values(fields: DataFrame) -> DataFrame:
 
 # --- surrogates ---------------------------------------------------------------------------------
 
-# Parts that invented names are put together from, with a usual gender.
-_GIVEN = {"f": "Alva Brisa Celin Dorea Elska Fenja Galia Hedda Isaura Jolan Katja Linnea Mirela Nuria Orsola Petra".split(), "m": "Arvid Bruno Cosmin Dorian Emeric Florin Goran Henrik Igor Joris Kasimir Lubos Milan Niklas Otmar Piotr".split()}
-_FAMILY = ("Ald Ber Cal Dorn Eck Fer Gal Holm Iver Jans Kel Lor Mer Nord Oken Pal".split(), "acker beck croft dorf eva fors gren hagen iano jord kova lund meier nes ová quist".split())
+# Syllables that invented names are put together from.
+_HEADS = "Al Ber Cal Dor El Fer Gal Hol Iv Jan Kel Lor Mer Nor Ok Pal Ral Sel Tor Ul Ver Wal Yor Zel".split()
+_MIDDLE = "an el in or ul ar en il om ur ad es ib ot uv ym".split()
+_TAILS = "acker beck croft dorf eva fors gren hagen iano jord kova lund meier nes ová quist".split()
+_VOWELS, _ENDINGS = "aeiou", {"f": "a ia ina ela ora une ille isa".split(), "m": "o an ek or us in el ir".split()}
 _HAN_PARTS = ("安柏岑戴艾方高何季康雷莫宁欧潘秦", "安波辰德恩帆歌涵佳凯岚明诺平清然", "思同文熙言一宇泽知子远青雨川禾光")
-_DEVA_PARTS = ("आरव कबीर मोहन रोहन सुरेश विवेक अनिल दीपक मीरा रेखा सीमा लता आशा गीता राधा नेहा".split(), "बंसल चोपड़ा देसाई गुप्ता जोशी कपूर मेहता नायर पटेल राव सेठी त्रिपाठी वर्मा यादव मिश्रा शर्मा".split())
+_DEVA_PARTS = {"m": "आरव कबीर मोहन रोहन सुरेश विवेक अनिल दीपक".split(), "f": "मीरा रेखा सीमा लता आशा गीता राधा नेहा".split()}
+_DEVA_FAMILY = "बंसल चोपड़ देसाई गुप्त जोश कपूर मेहत नायर पटेल राव सेठ त्रिपाठ वर्म यादव मिश्र शर्म".split()
+_DEVA_MORE = "पुर वाल कर नाथ दास मणि राज वीर देव सेन लाल चंद गढ़ भान जीत धर".split()
+#: Letters of other scripts that take each other's place: vowels, then the rest.
+_LETTERS = [("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), ("αεηιουω", "βγδζθκλμνξπρστφχψ"), ("アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロ", ""), ("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろ", ""), ("กขคงจชซญดตถทนบปผพฟมยรลวศสหอ", ""), ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "")]
+_SWAPS = {c: group for pair in _LETTERS for group in pair for c in group}
 
 
-_MIDDLE = "an el in or ul ar en il om ur ad es ib ot uv ym".split()
-_DEVA_MORE = "पुर वाल कर नाथ दास मणि राज वीर देव सेन लाल चंद गढ़ भान जीत धर".split()
 _ARTICLES = frozenset("de del la las los el le les des du d l aux au à et y".split())
 # The parts of an address: what stays before the name, the name, what stays behind it.
 _EN_STREET = re.compile(rf"(\d{{1,5}}[A-Za-z]? )(.+?)( (?:{_STREET})(?:{_UNIT}))", re.I)
@@ -229,6 +238,7 @@ class _Draw:
     """Numbers drawn from a keyed hash."""
 
     def __init__(self, key: bytes, what: str, salt: int):
+        self.key = key
         self.seed, self.n, self.pool = hmac.new(key, f"{salt}|{what}".encode(), hashlib.sha256).digest(), 0, 0
         self.left = 0
 
@@ -249,8 +259,8 @@ def _shape(text: str, draw: _Draw) -> str:
             out.append(chr(ord(c) - int(c) + draw.below(10)))
         elif "a" <= c <= "z":
             out.append(chr(97 + draw.below(26)))
-        elif "A" <= c <= "Z":
-            out.append(chr(65 + draw.below(26)))
+        elif c.isalpha():
+            out.append(chr((97 if c.islower() else 65) + draw.below(26)))
         else:
             out.append(c)
     return "".join(out)
@@ -263,14 +273,34 @@ def _checked(text: str) -> str:
     return next(t for d in range(10) if luhn(t := text[:at] + chr(zero + d) + text[at + 1 :]))
 
 
-def _word(old: str, draw: _Draw, more: int = 0) -> str:
-    """An invented word in the case of ``old``, never the same; ``more`` syllables in between."""
+def _alike(old: str, new: str) -> bool:
+    """Whether a run of three letters of the one is in the other, or they are the same."""
+    a, b = old.casefold(), new.casefold()
+    return a == b or any(a[i : i + 3] in b for i in range(len(a) - 2))
+
+
+def _word(old: str, draw: _Draw, more: int = 1) -> str:
+    """An invented word in the case of ``old`` without a run of its letters; ``more`` syllables in between."""
     new = old
-    while new.casefold() == old.casefold():
-        new = _FAMILY[0][draw.below(16)] + "".join(_MIDDLE[draw.below(16)] for _ in range(more)) + _FAMILY[1][draw.below(16)]
+    for _ in range(64):
+        new = _HEADS[draw.below(24)] + "".join(_MIDDLE[draw.below(16)] for _ in range(more)) + _TAILS[draw.below(16)]
+        if not _alike(old, new):
+            break
     return new.upper() if len(old) > 1 and old.isupper() else new.lower() if old.islower() else new
 
 
+def _swapped(text: str, draw: _Draw) -> str:
+    """Letters of other scripts for letters of the same script, kind and case; the ending of a first name tells its gender and stays."""
+    out = []
+    for c in text:
+        group = _SWAPS.get(c.lower(), "")
+        new = c.lower()
+        while len(group) > 1 and new == c.lower():
+            new = group[draw.below(len(group))]
+        out.append(new.upper() if c != c.lower() else new)
+    return "".join(out)
+
+
 def _sign(i: int, old: str, draw: _Draw) -> str:
     new = old
     while new == old:
@@ -284,27 +314,51 @@ def _signs(old: str, draw: _Draw, keep: str = "", more: int = 0) -> str:
     return "".join(out) + "".join(_HAN_PARTS[2][draw.below(16)] for _ in range(more))
 
 
+def _given(initial: str, gender: str, draw: _Draw, more: int) -> str:
+    inner = "".join(_MIDDLE[draw.below(16)] for _ in range(more))
+    if initial in "AEIOU":
+        return initial + "lrnsdmvk"[draw.below(8)] + inner + _ENDINGS[gender][draw.below(8)]
+    return initial + _VOWELS[draw.below(5)] + "lrnsdmvk"[draw.below(8)] + inner + _ENDINGS[gender][draw.below(8)]
+
+
 def _name(text: str, draw: _Draw, more: int = 0) -> str:
-    """Each of ``more`` adds a syllable or sign, so names never run out."""
+    """A name of the same script, case, order and likely gender; each of ``more`` adds a syllable or sign, so names never run out.
+
+    In the Latin script the family name depends on the family name alone, and the initial of the first name on both
+    initial and family, so that ``R. Kessbrook`` stays short for ``Ravik Kessbrook``.
+    """
     if any("一" <= c <= "鿿" for c in text):
-        return _signs(text, draw, " 　・", more)
+        made = "".join(c if c in " 　・" else _swapped(c, draw) if c in _SWAPS else _sign(i, c, draw) for i, c in enumerate(text))
+        return made + "".join(_HAN_PARTS[2][draw.below(16)] for _ in range(more))
     if any("ऀ" <= c <= "ॿ" for c in text):
-        return _DEVA_PARTS[0][draw.below(16)] + " " + _DEVA_PARTS[1][draw.below(16)] + "".join(_DEVA_MORE[draw.below(16)] for _ in range(more))
+        gender = "f" if text.split(" ")[0][-1:] in "ािीइईआ" else "m"
+        return _DEVA_PARTS[gender][draw.below(8)] + " " + _DEVA_FAMILY[draw.below(16)] + "".join(_DEVA_MORE[draw.below(16)] for _ in range(more + 1))
+    if text.casefold()[0] in _SWAPS or text[0] > "ɏ":
+        gendered = re.compile(r"(?<=\w)[аяιηα](?= |$)")
+        made = list(_swapped(text, draw))
+        for m in gendered.finditer(text):
+            made[m.start()] = text[m.start()]
+        extra = _LETTERS[0] if "Ѐ" <= text[0] <= "ӿ" else _LETTERS[1] if "Ͱ" <= text[0] <= "Ͽ" else None
+        return "".join(made) + ("".join(extra[1][draw.below(len(extra[1]))] + extra[0][draw.below(len(extra[0]))] for _ in range(more)) if extra else "")
     swapped = ", " in text
     words = text.split(", ")[::-1] if swapped else text.split(" ")
     first = re.split(r"[ .]", words[0])[0].lower()
     gender = "f" if first[-1:] in "aeiy" else "m"
     initial = [re.fullmatch(r"[A-Za-z]\.", w) is not None for w in words]
-    longer = max((i for i, x in enumerate(initial) if not x), default=-1)
+    family = words[-1].casefold()
     out = []
     for i, w in enumerate(words):
-        extra = more if i == longer else 0
-        if initial[i]:
+        if i == 0 and len(words) > 1:
+            letter = chr(65 + _Draw(draw.key, f"initial|{w[0].lower()}|{family}", 0).below(26))
+            new = letter + "."
+            while not initial[i] and _alike(w, new := _given(letter, gender, draw, 1 + more)):
+                pass
+            out.append(new)
+        elif initial[i]:
             out.append(chr(65 + draw.below(26)) + ".")
-        elif i == 0:
-            out.append(_GIVEN[gender][draw.below(16)] + "".join(_MIDDLE[draw.below(16)] for _ in range(extra)))
         else:
-            out.append("-".join(_word(x.title(), draw, extra) for x in w.split("-")))
+            own = _Draw(draw.key, f"family|{w.casefold()}", 0) if i == len(words) - 1 else draw
+            out.append("-".join(_word(x.title(), own, 2) for x in w.split("-")))
     if text.isupper():
         out = [w.upper() for w in out]
     elif text.islower():
@@ -332,7 +386,7 @@ def _address(text: str, draw: _Draw, more: int = 0) -> str:
     def other(w: re.Match) -> str:
         if w[0].lower() in _ARTICLES and (w[0].islower() or w[0][0] in "dDlL" and name[w.end() : w.end() + 1] in ("'", "’")):
             return w[0]
-        return _word(w[0], draw, left.pop() if left else 0)
+        return _word(w[0], draw, 1 + (left.pop() if left else 0))
 
     made = re.sub(r"(?:[dl](?=['’])|[^\W\d_]+(?:['’][^\W\d_]+)*)", other, name, flags=re.I)
     return _digits(head, draw) + _digits(made, draw) + _digits(tail, draw)
@@ -391,28 +445,40 @@ def _drawn(key: bytes):
 
 
 def surrogate_table(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
-    """(pii_type, pii_value, entity, surrogate) with one surrogate entity per entity and none shared by two.
+    """(pii_type, pii_value, entity, surrogate) with one surrogate entity per entity, none shared by two and none that is real.
 
-    Entities that would share one are drawn again with the next salt, the smallest entity keeps its draw. Names and
-    addresses grow with the salt and are drawn until all are distinct; of the types with a fixed number of digits, what
-    still collides after ``rounds`` gets a hash behind it, so that distinctness always holds.
+    Entities that would share one are drawn again with the next salt, the smallest entity keeps its draw; so are those whose draw is
+    a value that occurs. Only these are drawn again. Names and addresses grow with the salt and are drawn until all are
+    distinct; of the types with a fixed number of digits, what still collides after ``rounds`` gets a hash behind it, so that
+    distinctness always holds.
     """
     schema = "pii_type string, pii_value string, entity string, surrogate string, folded string, salt int"
-    values = settled(found.select("pii_type", "pii_value").distinct().withColumn("salt", F.lit(0)))
-    table = values.mapInArrow(_drawn(key), schema)
+    columns = ["pii_type", "pii_value", "entity", "surrogate", "folded"]
+    values = settled(found.select("pii_type", "pii_value").distinct())
     clash = Window.partitionBy("pii_type", "folded")
-    i = 0
-    while True:
-        table = settled(table.withColumn("owner", F.min("entity").over(clash)))
-        again = table.where("entity != owner").select("pii_type", "pii_value", F.lit(i + 1).alias("salt"))
+    drawn = settled(values.withColumn("salt", F.lit(0)).mapInArrow(_drawn(key), schema))
+    real = drawn.select("pii_type", F.col("entity").alias("folded")).distinct()
+    kept: list[DataFrame] = []
+    for i in range(64):
+        taken = real
+        for k in kept:
+            taken = taken.unionByName(k.select("pii_type", "folded"))
+        there = taken.distinct().withColumn("there", F.lit(True))
+        judged = drawn.withColumn("owner", F.min("entity").over(clash)).join(there, ["pii_type", "folded"], "left")
+        lost = judged.where("there or entity != owner").select("pii_type", "entity").distinct()
+        again = settled(drawn.join(lost, ["pii_type", "entity"], "left_semi").select(*columns))
+        kept.append(settled(drawn.join(lost, ["pii_type", "entity"], "left_anti").select(*columns)))
         if i >= rounds:
-            again = again.where(F.col("pii_type").isin(*_OPEN_ENDED))
-        if i >= 64 or again.isEmpty():
+            open_ended = F.col("pii_type").isin(*_OPEN_ENDED) if i < 63 else F.lit(False)
+            kept.append(again.where(~open_ended).withColumn("surrogate", F.concat("surrogate", F.lit(" "), F.left(F.sha2("entity", 256), F.lit(12)))))
+            again = again.where(open_ended)
+        if again.isEmpty():
             break
-        fixed = (F.col("entity") != F.col("owner")) & ~F.col("pii_type").isin(*_OPEN_ENDED) if i >= rounds else F.lit(False)
-        table = table.where((F.col("entity") == F.col("owner")) | fixed).drop("owner").unionByName(again.mapInArrow(_drawn(key), schema))
-        i += 1
-    return table.select("pii_type", "pii_value", "entity", F.when(F.col("entity") == F.col("owner"), F.col("surrogate")).otherwise(F.concat("surrogate", F.lit(" "), F.left(F.sha2("entity", 256), F.lit(12)))).alias("surrogate"))
+        drawn = settled(again.select("pii_type", "pii_value", F.lit(i + 1).alias("salt")).mapInArrow(_drawn(key), schema))
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out.select("pii_type", "pii_value", "entity", "surrogate")
 
 
 def _rebuilt(column: str):
@@ -426,12 +492,32 @@ def _rebuilt(column: str):
     return F.concat(step["out"], F.substring(F.col("text"), step["at"], F.length("text")))
 
 
+PLACED = "source_field string, row_key string, call_no long, text string, redacted string, places array<struct<start:int,stop:int,pii_type:string,pii_value:string>>"
+_PLACE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("pii_type", pa.string()), ("pii_value", pa.string())]))
+
+
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        redacted, places = [], []
+        for text, suspect in zip(batch.column("text").to_pylist(), batch.column("suspect").to_pylist(), strict=True):
+            found = find(text) if suspect else []
+            places.append([{"start": a, "stop": b, "pii_type": kind, "pii_value": text[a:b]} for a, b, kind in found])
+            redacted.append(_around(text, found) if found else text)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source_field", "row_key", "call_no", "text")), pa.array(redacted, pa.string()), pa.array(places, _PLACE)], ["source_field", "row_key", "call_no", "text", "redacted", "places"])
+
+
 def rewritten(fields: DataFrame, key: bytes) -> DataFrame:
-    """(source_field, row_key, call_no, redacted, surrogate_text) of the texts that hold personal data."""
+    """(source_field, row_key, call_no, redacted, surrogate_text) of every text; the same where nothing is found. Copies of a row that are alike come once.
+
+    Texts are read and searched once; only those with values are shuffled, by a hash of place and text.
+    """
     by = ["source_field", "row_key", "call_no"]
-    found = settled(occurrences(fields))
-    table = surrogate_table(found, key).select("pii_type", "pii_value", "surrogate")
-    placed = found.join(table, ["pii_type", "pii_value"]).select(*by, F.struct("start", "stop", F.concat(F.lit("["), F.upper("pii_type"), F.lit("]")).alias("placeholder"), "surrogate").alias("p"))
-    places = placed.groupBy(*by).agg(F.array_sort(F.collect_set("p")).alias("places"))
-    once = fields.where(F.col("text").rlike(MAY_HOLD)).groupBy(*by).agg(F.min("text").alias("text"))
-    return places.join(once, by).select(*by, _rebuilt("placeholder").alias("redacted"), _rebuilt("surrogate").alias("surrogate_text"))
+    suspect = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False)).alias("suspect")
+    read = settled(fields.select(*by, "text", suspect).mapInArrow(_replaced, PLACED))
+    plain = read.where(F.size("places") == 0).select(*by, "redacted", F.col("text").alias("surrogate_text"))
+    held = read.where(F.size("places") > 0).dropDuplicates([*by, "text"]).withColumn("id", F.xxhash64(*by, "text"))
+    each = held.select("id", *by, F.posexplode("places").alias("n", "p")).select("id", *by, "n", "p.*")
+    table = surrogate_table(each, key).select("pii_type", "pii_value", "surrogate")
+    placed = each.join(table, ["pii_type", "pii_value"]).groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "surrogate"))).alias("new"))
+    changed = held.drop("places").join(placed.withColumnRenamed("new", "places"), ["id", *by]).select(*by, "redacted", _rebuilt("surrogate").alias("surrogate_text"))
+    return plain.dropDuplicates().unionByName(changed)
