@@ -47,3 +47,14 @@ def test_partial_cells_flush(spark, monkeypatch):
     monkeypatch.setattr(features, "FLUSH", 100)
     out = features.event_features(spark.createDataFrame(rows, SCHEMA))
     assert sum(sum(r[f"t{k}_n"] for k in range(7)) for r in out.collect()) == 3000
+
+
+def test_clashing_names_huge_values_and_many_types(spark, monkeypatch):
+    rows = [("1", T0, T0, "a", "x.y", '{"latency_ms": 5e13}', "n", 1), ("2", T0, T0, "a", "x_y", '{"latency_ms": 1.5}', "n", 1), ("3", T0, T0, "a", "X.Y", '{"latency_ms": 2.5}', "n", 1), ("4", T0, T0, None, "z", '{"latency_ms": 1e400}', "n", 1)]
+    monkeypatch.setattr(features, "BUCKET_CELLS", 2)
+    events = spark.createDataFrame(rows, SCHEMA)
+    row = features.event_features(events).where("agent_id = 'a'").first()
+    assert (row["x_y_n"], row["x_y__2_n"], row["x_y_total_ms"], row["x_y__2_total_ms"]) == (2, 1, 5e13 + 2.5, 1.5)
+    got = {(r["agent_id"], r["event_type"]): (r["n"], r["recency_s"], r["total_ms"]) for r in features.event_features(events, long=True).collect()}
+    assert got == {("a", "x.y"): (2, 0, 5e13 + 2.5), ("a", "x_y"): (1, 0, 1.5), (None, "z"): (1, 0, 0.0)}
+    assert features.event_features(spark.createDataFrame([], SCHEMA), long=True).count() == 0

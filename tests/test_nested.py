@@ -52,7 +52,10 @@ def test_labels_cut_to_the_parent(spark):
     rows = [(1, None, [("t", '{"a":[{"b":{}}]}', "r", 1.0)], None)]
     nodes = {r["node_path"]: r for r in nested.flatten(spark.createDataFrame(rows, SCHEMA)).collect()}
     child, parent = nodes["tool_calls[0].tool_args.a[0].b"], nodes["tool_calls[0].tool_args.a[0]"]
-    assert child["parent_path"] == parent["node_path"] and child["dewey"][: len(parent["dewey"])] == parent["dewey"]
+    assert child["parent_path"] == parent["node_path"] and child["parent_dewey"] == parent["dewey"] == child["dewey"][: len(parent["dewey"])]
+    for n in nodes.values():  # every parent is a node or the journal, and no node lies between
+        above = [m["dewey"] for m in nodes.values() if n["dewey"][: len(m["dewey"])] == m["dewey"] and m is not n]
+        assert n["parent_dewey"] == max(above, key=len, default=[])
     assert child["table_path"] == "tool_calls[].tool_args.a[].b"
 
 
@@ -65,7 +68,7 @@ def test_repeated_rows_and_empty_table(spark):
 @pytest.mark.parametrize("depth", [10, 5000])
 def test_any_depth(depth):
     text = '{"a":' * depth + "{}" + "}" * depth
-    assert sum(1 for _ in nested.walk(nested.read_json(text), [1, 0], "tool_calls[0]", "tool_calls[]")) == depth + 1
+    assert sum(1 for _ in nested.walk(nested.read_json(text), (1, 0), "tool_calls[0]", "tool_calls[]")) == depth + 1
 
 
 def test_own_parser_agrees():
@@ -95,3 +98,14 @@ def test_flat_rows_lose_nothing(spark):
     assert held[a] == {"o": []} and held[""] == {"node_path": "clash"} and got[""]["parent_path"] is None and got[""]["table_path"] == "journals"
     assert [held[f"tool_calls[{i}]"].get("tool_args") for i in range(9)] == [None, None, "[]", '{"broken":', "5", None, "null", "", None]
     assert len(got) == 1 + 2 + 9 + len(elements) + 4
+
+
+def test_typed_tables(spark, tmp_path):
+    rows = [(1, [("m", "p", "c", {"in": 1}, 1.0)], [("t", '{"a":1,"node_path":"x","d":{"v":[1.5]}}', "r", 1.0), ("u", '{"a":2}', None, None)], "clash")]
+    flat = nested.flat_rows(spark.createDataFrame(rows, SCHEMA))
+    args = {r["node_path"]: r for r in nested.typed(flat, "tool_calls[].tool_args").collect()}
+    assert args["tool_calls[1].tool_args"]["a"] == 2 and args["tool_calls[0].tool_args"]["node_path_"] == "x" and args["tool_calls[0].tool_args"]["parent_path"] == "tool_calls[0]"
+    assert [r["value"] for r in nested.typed(flat, "tool_calls[].tool_args.d.v[]", {"ordinal": "int", "value": "double"}).collect()] == [1.5]
+    assert nested.typed(flat, "nowhere").count() == 0
+    nested.write_tables(flat, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("table_path = 'tool_calls[]'").count() == 2

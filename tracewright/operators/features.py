@@ -7,10 +7,10 @@ all events sends a few cells per task. Entities are hash-bucketed so that a buck
 (entities x types) has a planned size; a bucket's partial cells are combined the same way and leave as Arrow columns.
 
 The event types are read first (distinct, so their number is that of the vocabulary, hundreds); each gets
-three columns. All types get columns, none are capped.
+three columns. All types get columns, none are capped; the more types there are, the fewer entities a bucket has.
 
-Defined results: types are compared without case and outer blanks, dots become underscores in column
-names, types that are null or blank count as ``untyped``; agents that are null or blank share the row with a null
+Defined results: types are compared without case and outer blanks, types that are null or blank count as ``untyped``; dots
+become underscores in column names, and names that then clash get a number behind them in the order of their types; agents that are null or blank share the row with a null
 ``agent_id``; a null, broken or non-numeric latency adds nothing; an event whose clock is implausible
 counts but doesn't move the recency; recency is null where an agent has no plausible event of a type.
 """
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from tracewright.sources.tables import clean_key
 
 NEVER = np.iinfo(np.int64).min
-#: Agents planned for one bucket; its block takes this many rows of 3 x 8 bytes a type.
-BUCKET_AGENTS = 2048
+#: Cells planned for the dense block of one bucket, agents x types, of 4 x 8 bytes each.
+BUCKET_CELLS = 500_000
+#: Latencies of more milliseconds are summed as floating numbers, the others in whole thousandths.
+EXACT = 1e12
 #: Cells kept in a task before they are sent on.
 FLUSH = 200_000
 
@@ -45,18 +47,23 @@ def distinct_events(events: DataFrame, future_minutes: int = 60, past_days: int
     ms = F.from_json("payload", "latency_ms double, duration_ms double")
     # An unreadable payload keeps no partial value.
     value = F.when(F.col("payload").rlike(r"\}\s*$"), F.coalesce(ms["latency_ms"], ms["duration_ms"]))
-    value = F.when(~F.isnan(value) & (F.abs(value) < 1e12), F.round(value * 1000).cast("bigint"))
-    kind = F.coalesce(F.regexp_replace(clean_key("event_type"), r"\.", "_"), F.lit("untyped"))
+    value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    exact = F.abs(value) < EXACT
+    micros, huge = F.when(exact, F.round(F.when(exact, value) * 1000).cast("bigint")), F.when(~exact, value)
+    kind = F.coalesce(clean_key("event_type"), F.lit("untyped"))
     narrow = events.select(
-        "event_id", F.coalesce(got, F.lit(NEVER + 1)).alias("got"), clean_key("agent_id").alias("agent_id"), kind.alias("event_type"), F.when(plausible, F.floor(was / F.lit(1_000_000))).alias("at"), value.alias("micros")
+        "event_id", F.coalesce(got, F.lit(NEVER + 1)).alias("got"), clean_key("agent_id").alias("agent_id"), kind.alias("event_type"), F.when(plausible, F.floor(was / F.lit(1_000_000))).alias("at"), micros.alias("micros"), huge.alias("huge")
     )
-    first = F.min(F.struct("got", "agent_id", "event_type", "at", "micros"))
-    named = narrow.where("event_id is not null").groupBy("event_id").agg(first.alias("e")).select("e.agent_id", "e.event_type", "e.at", "e.micros")
-    return named.unionByName(narrow.where("event_id is null").select("agent_id", "event_type", "at", "micros"))
+    first = F.min(F.struct("got", "agent_id", "event_type", "at", "micros", "huge"))
+    named = narrow.where("event_id is not null").groupBy("event_id").agg(first.alias("e")).select("e.agent_id", "e.event_type", "e.at", "e.micros", "e.huge")
+    return named.unionByName(narrow.where("event_id is null").select("agent_id", "event_type", "at", "micros", "huge"))
 
 
-def cells(agents: np.ndarray, kinds: np.ndarray, width: int, counts: np.ndarray, micros: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, count, micros, last) of the cells that occur; whole numbers stay exact beyond 2**53."""
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def cells(agents: np.ndarray, kinds: np.ndarray, width: int, counts: np.ndarray, micros: np.ndarray, at: np.ndarray, huge: np.ndarray) -> Cells:
+    """(cell, count, micros, last, huge) of the cells that occur; whole numbers stay exact beyond 2**53."""
     used, cell = np.unique(agents * width + kinds, return_inverse=True)
     n = np.zeros(len(used), np.int64)
     total = np.zeros(len(used), np.int64)
@@ -67,10 +74,18 @@ def cells(agents: np.ndarray, kinds: np.ndarray, width: int, counts: np.ndarray,
         np.add.at(n, cell, counts)
     np.add.at(total, cell, micros)
     np.maximum.at(last, cell, at)
-    return used, n, total, last
+    return used, n, total, last, np.bincount(cell, weights=huge, minlength=len(used))
+
+
+PARTIAL = "agent_id string, kind int, n bigint, micros bigint, last bigint, huge double"
+_VALUES = ("n", "micros", "last", "huge")
 
 
-PARTIAL = "agent_id string, kind int, n bigint, micros bigint, last bigint"
+def _encoded(table: pa.Table, width: int) -> tuple[pa.Array, Cells]:
+    """The distinct agents and the cells of a table of partial cells."""
+    words = pc.dictionary_encode(table["agent_id"], null_encoding="encode").combine_chunks()
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return words.dictionary, cells(codes, table["kind"].to_numpy().astype(np.int64), width, *(table[c].to_numpy() for c in _VALUES))
 
 
 def _partials(kinds: dict[str, int]):
@@ -81,20 +96,14 @@ def _partials(kinds: dict[str, int]):
         held: list[pa.Table] = []
 
         def merged() -> pa.Table:
-            table = pa.concat_tables(held)
-            words = pc.dictionary_encode(table["agent_id"], null_encoding="encode").combine_chunks()
-            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            kind, n, micros, last = (table[c].to_numpy() for c in ("kind", "n", "micros", "last"))
-            used, n, micros, last = cells(codes, kind.astype(np.int64), width, n, micros, last)
-            agents = words.dictionary.take(pa.array(used // width))
-            return pa.table({"agent_id": agents, "kind": pa.array((used % width).astype(np.int32)), "n": n, "micros": micros, "last": last})
+            agents, (used, *values) = _encoded(pa.concat_tables(held), width)
+            return pa.table({"agent_id": agents.take(pa.array(used // width)), "kind": pa.array((used % width).astype(np.int32)), **dict(zip(_VALUES, values, strict=True))})
 
         rows = 0
         for batch in batches:
             kind = pc.index_in(batch.column("event_type"), value_set=names).to_numpy(zero_copy_only=False).astype(np.int32)
-            at = pc.fill_null(batch.column("at"), int(NEVER)).to_numpy(zero_copy_only=False)
-            micros = pc.fill_null(batch.column("micros"), 0).to_numpy(zero_copy_only=False)
-            held.append(pa.table({"agent_id": batch.column("agent_id"), "kind": kind, "n": np.ones(len(kind), np.int64), "micros": micros, "last": at}))
+            filled = {c: pc.fill_null(batch.column(c), v).to_numpy(zero_copy_only=False) for c, v in (("micros", 0), ("at", int(NEVER)), ("huge", 0.0))}
+            held.append(pa.table({"agent_id": batch.column("agent_id"), "kind": kind, "n": np.ones(len(kind), np.int64), "micros": filled["micros"], "last": filled["at"], "huge": filled["huge"]}))
             rows += len(kind)
             if rows > FLUSH:
                 held = [merged()]
@@ -108,44 +117,72 @@ def _partials(kinds: dict[str, int]):
     return run
 
 
-def _blocks(names: list[str], now: int):
-    width = len(names)
+def _columns(names: list[str]) -> list[str]:
+    """A column name for each type: dots become underscores, later ones that clash get a number."""
+    out: list[str] = []
+    for name in names:
+        bare = base = name.replace(".", "_")
+        k = 2
+        while bare in out:
+            bare, k = f"{base}__{k}", k + 1
+        out.append(bare)
+    return out
+
+
+def _recency(last: np.ndarray, now: int) -> pa.Array:
+    seen = last != NEVER
+    return pa.array(np.where(seen, now - np.where(seen, last, 0), 0), pa.int64(), mask=~seen)
+
+
+def _blocks(columns: list[str], now: int):
+    width = len(columns)
 
     def run(group: pa.Table) -> pa.Table:
-        words = pc.dictionary_encode(group["agent_id"], null_encoding="encode").combine_chunks()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        height = len(words.dictionary)
-        used, n, micros, last = cells(codes, group["kind"].to_numpy().astype(np.int64), width, group["n"].to_numpy(), group["micros"].to_numpy(), group["last"].to_numpy())
-        block = {k: np.zeros(height * width, np.int64) for k in ("n", "micros")} | {"last": np.full(height * width, NEVER, np.int64)}
-        block["n"][used], block["micros"][used], block["last"][used] = n, micros, last
-        n, micros, last = (block[k].reshape(height, width) for k in ("n", "micros", "last"))
-        out = {"agent_id": words.dictionary}
-        for i, name in enumerate(names):
-            seen = last[:, i] != NEVER
+        agents, (used, *values) = _encoded(group, width)
+        block = {c: np.full(len(agents) * width, NEVER if c == "last" else 0, v.dtype) for c, v in zip(_VALUES, values, strict=True)}
+        for c, v in zip(_VALUES, values, strict=True):
+            block[c][used] = v
+        n, micros, last, huge = (block[c].reshape(len(agents), width) for c in _VALUES)
+        out = {"agent_id": agents}
+        for i, name in enumerate(columns):
             out[f"{name}_n"] = pa.array(n[:, i])
-            out[f"{name}_recency_s"] = pa.array(np.where(seen, now - np.where(seen, last[:, i], 0), 0), pa.int64(), mask=~seen)
-            out[f"{name}_total_ms"] = pa.array(micros[:, i] / 1000.0)
+            out[f"{name}_recency_s"] = _recency(last[:, i], now)
+            out[f"{name}_total_ms"] = pa.array(micros[:, i] / 1000.0 + huge[:, i])
         return pa.table(out)
 
     return run
 
 
-def event_features(events: DataFrame, buckets: int | None = None) -> DataFrame:
+def _rows(names: list[str], now: int):
+    words = pa.array(names, pa.string())
+
+    def run(group: pa.Table) -> pa.Table:
+        agents, (used, n, micros, last, huge) = _encoded(group, len(names))
+        who, what = agents.take(pa.array(used // len(names))), words.take(pa.array(used % len(names)))
+        return pa.table({"agent_id": who, "event_type": what, "n": n, "recency_s": _recency(last, now), "total_ms": micros / 1000.0 + huge})
+
+    return run
+
+
+def event_features(events: DataFrame, buckets: int | None = None, long: bool = False) -> DataFrame:
     """One row per ``agent_id`` with ``<type>_n``, ``<type>_recency_s`` and ``<type>_total_ms`` for each type.
 
-    Recency is counted from the latest arrival in the table. buckets: by default from a count of the agents.
+    Recency is counted from the latest arrival in the table. buckets: by default from a count of the agents. long: a row for each
+    agent and type that occur together instead.
     """
-    kind = F.coalesce(F.regexp_replace(clean_key("event_type"), r"\.", "_"), F.lit("untyped"))
-    facts = events.agg(
-        F.collect_set(kind).alias("kinds"), F.floor(F.unix_micros(F.max("ingested_at")) / F.lit(1_000_000)).alias("now"), F.approx_count_distinct(clean_key("agent_id"), 0.05).alias("agents")
-    ).first()
-    names = sorted(facts["kinds"])
+    kind = F.coalesce(clean_key("event_type"), F.lit("untyped"))
+    facts = events.agg(F.floor(F.unix_micros(F.max("ingested_at")) / F.lit(1_000_000)).alias("now"), F.approx_count_distinct(clean_key("agent_id"), 0.05).alias("agents")).first()
+    names = sorted(r["kind"] for r in events.select(kind.alias("kind")).distinct().collect())
     if not names:
-        return events.select(clean_key("agent_id").alias("agent_id")).limit(0)
+        none = events.select(clean_key("agent_id").alias("agent_id")).limit(0)
+        return none.selectExpr("agent_id", "'' AS event_type", "0L AS n", "0L AS recency_s", "0D AS total_ms") if long else none
     now = facts["now"] if facts["now"] is not None else 0
     # Small tables still give every executor a bucket.
-    buckets = buckets or max(12, 1 + int(facts["agents"] * 1.2 / BUCKET_AGENTS))
+    buckets = buckets or max(12, 1 + int(facts["agents"] * 1.2 * len(names) / BUCKET_CELLS))
     partial = distinct_events(events).mapInArrow(_partials({k: i for i, k in enumerate(names)}), PARTIAL)
-    schema = "agent_id string, " + ", ".join(f"`{k}_n` bigint, `{k}_recency_s` bigint, `{k}_total_ms` double" for k in names)
+    columns = _columns(names)
+    schema = "agent_id string, " + ", ".join(f"`{k}_n` bigint, `{k}_recency_s` bigint, `{k}_total_ms` double" for k in columns)
+    if long:
+        schema = "agent_id string, event_type string, n bigint, recency_s bigint, total_ms double"
     bucket = F.pmod(F.xxhash64("agent_id"), F.lit(buckets))
-    return partial.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_blocks(names, now), schema)
+    return partial.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_rows(names, now) if long else _blocks(columns, now), schema)

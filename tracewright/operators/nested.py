@@ -2,8 +2,8 @@
 
 Every node (a call, a usage map, a JSON object inside the arguments) carries a Dewey label: the ordinals
 on the way down from the journal, e.g. ``[1, 2, 0, 3]`` for the fourth member of the arguments of tool
-call 2. Arrays take a place in the label but are no nodes, so a node's parent is found by cutting the
-label back to the nearest prefix that is a node; the length of that prefix is known while walking.
+call 2. Arrays take a place in the label but are no nodes, so a node's parent is found by cutting its
+label back until it is that of a node; what the parent is called is looked up by its label.
 Nodes with the same schema path (the path without array positions) form one table.
 
 The flat tables (``flat_rows``) hold all of it: besides the nodes, a row for each journal and for each array element that is no
@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-NODE = "record_id long, dewey array<int>, table_path string, node_path string, parent_path string, attributes string"
+NODE = "record_id long, dewey array<int>, parent_dewey array<int>, table_path string, node_path string, parent_path string, attributes string"
 _SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)")
 _BLANK = re.compile(r"[ \t\r\n]*")
 
@@ -109,38 +110,48 @@ def _attributes(value: dict, whole: bool = False) -> str:
     return json.dumps({k: v for k, v in value.items() if not isinstance(v, (dict, list)) or whole and v == []}, ensure_ascii=False)
 
 
-def walk(value, label: list[int], path: str, table: str, whole: bool = False) -> Iterator[tuple[list[int], str, str, int, int, str]]:
-    """(label, table, path, length of the parent's label, length of the parent's path, attributes) of each object in ``value``, with ``whole`` also of each array element that is no object.
+def walk(value, label: tuple[int, ...], path: str, table: str, whole: bool = False) -> Iterator[tuple[tuple[int, ...], str, str, str]]:
+    """(label, table, path, attributes) of each object in ``value``, with ``whole`` also of each array element that is no object; parents come first.
 
     ``label`` and ``path`` are those of the enclosing call; the value itself hangs below it as one step.
     """
-    todo = [(value, [*label, 0], path + ".tool_args", table + ".tool_args", len(label), len(path))]
+    todo = [(value, (*label, 0), path + ".tool_args", table + ".tool_args")]
     while todo:
-        value, label, path, table, above, cut = todo.pop()
+        value, label, path, table = todo.pop()
         if isinstance(value, dict):
-            yield label, table, path, above, cut, _attributes(value, whole)
-            below = [(v, [*label, i], f"{path}.{k}", f"{table}.{k}", len(label), len(path)) for i, (k, v) in enumerate(value.items())]
+            yield label, table, path, _attributes(value, whole)
+            below = [(v, (*label, i), f"{path}.{k}", f"{table}.{k}") for i, (k, v) in enumerate(value.items())]
         elif isinstance(value, list) and value:
-            below = [(v, [*label, i], f"{path}[{i}]", f"{table}[]", above, cut) for i, v in enumerate(value)]
+            below = [(v, (*label, i), f"{path}[{i}]", f"{table}[]") for i, v in enumerate(value)]
             if whole:
                 todo.extend(reversed(below))
                 continue
         else:  # an element, or an empty array in one
             if whole:
-                yield label, table, path, above, cut, json.dumps({"ordinal": label[-1], "value": value}, ensure_ascii=False)
+                yield label, table, path, json.dumps({"ordinal": label[-1], "value": value}, ensure_ascii=False)
             continue
         below = [x for x in below if not (whole and x[0] == [])]
         todo.extend(x for x in reversed(below) if isinstance(x[0], (dict, list)))
 
 
+def parent(label: tuple[int, ...], nodes: dict[tuple[int, ...], str]) -> tuple[int, ...]:
+    """The nearest label above that is a node's."""
+    above = label[:-1]
+    while above not in nodes:
+        above = above[:-1]
+    return above
+
+
+_COLUMNS = (("record_id", pa.int64()), ("dewey", pa.list_(pa.int32())), ("parent_dewey", pa.list_(pa.int32())), ("table_path", pa.string()), ("node_path", pa.string()), ("parent_path", pa.string()), ("attributes", pa.string()))
+
+
 def _argument_nodes(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
-    ids, labels, tables, paths, parents, attributes = ([] for _ in range(6))
+    rows: list[tuple] = []
 
     def out() -> pa.RecordBatch:
-        columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.list_(pa.int32())), *(pa.array(x, pa.string()) for x in (tables, paths, parents, attributes))]
-        for x in (ids, labels, tables, paths, parents, attributes):
-            x.clear()
-        return pa.RecordBatch.from_arrays(columns, ["record_id", "dewey", "table_path", "node_path", "parent_path", "attributes"])
+        columns = list(zip(*rows, strict=True))
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS, strict=True)], [n for n, _ in _COLUMNS])
 
     for batch in batches:
         for record, call, text in zip(*(batch.column(c).to_pylist() for c in ("record_id", "call_no", "tool_args")), strict=True):
@@ -149,21 +160,21 @@ def _argument_nodes(batches: Iterator[pa.RecordBatch], whole: bool = False) -> I
                 continue  # on the row of its call
             if not isinstance(value, (dict, list)):
                 continue
-            for label, table, path, _, cut, held in walk(value, [1, call], f"tool_calls[{call}]", "tool_calls[]", whole):
-                ids.append(record)
-                labels.append(label)
-                tables.append(table)
-                paths.append(path)
-                parents.append(path[:cut])
-                attributes.append(held)
-            if len(ids) >= 20_000:
+            known = {(1, call): f"tool_calls[{call}]"}
+            for label, table, path, held in walk(value, (1, call), known[1, call], "tool_calls[]", whole):
+                above = parent(label, known)
+                rows.append((record, label, above, table, path, known[above], held))
+                known[label] = path  # an element has nothing below it
+            if len(rows) >= 20_000:
                 yield out()
-    if ids:
+    if rows:
         yield out()
 
 
 def _node(*columns) -> F.Column:
-    return F.struct(*(c.alias(n) for n, c in zip(("dewey", "table_path", "node_path", "parent_path", "attributes"), columns, strict=True)))
+    """dewey, steps of the parent's label, table_path, node_path, parent_path, attributes."""
+    label, steps, *rest = columns
+    return F.struct(label.alias("dewey"), F.slice(label, 1, steps).alias("parent_dewey"), *(c.alias(n) for n, c in zip(("table_path", "node_path", "parent_path", "attributes"), rest, strict=True)))
 
 
 def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +187,8 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = f'"tool_args":{json.dumps(text, ensure_ascii=False)}' if bare else ""
             held.append(own[:-1] + ("," if more and own != "{}" else "") + more + "}")
         call_no = batch.column("call_no").to_pylist()
-        columns = [batch.column("record_id"), pa.array([[1, c] for c in call_no], pa.list_(pa.int32())), pa.array(["tool_calls[]"] * len(call_no)), pa.array([f"tool_calls[{c}]" for c in call_no]), pa.array([""] * len(call_no)), pa.array(held, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["record_id", "dewey", "table_path", "node_path", "parent_path", "attributes"])
+        columns = [batch.column("record_id"), pa.array([[1, c] for c in call_no], pa.list_(pa.int32())), pa.array([[]] * len(call_no), pa.list_(pa.int32())), pa.array(["tool_calls[]"] * len(call_no)), pa.array([f"tool_calls[{c}]" for c in call_no]), pa.array([""] * len(call_no)), pa.array(held, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [n for n, _ in _COLUMNS])
         yield from _argument_nodes(iter([batch]), True)
 
 
@@ -185,7 +196,7 @@ def flat_rows(journals: DataFrame) -> DataFrame:
     """All rows of all flat tables (see ``NODE``), with nothing left out: journals (``journals``, the path ''), nodes and elements; map-only."""
     plain = [c for c in journals.columns if c not in ("record_id", "model_calls", "tool_calls")]
     held = F.to_json(F.struct(*plain)) if plain else F.lit("{}")
-    own = journals.select("record_id", F.array().cast("array<int>").alias("dewey"), F.lit("journals").alias("table_path"), F.lit("").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), held.alias("attributes"))
+    own = journals.select("record_id", F.array().cast("array<int>").alias("dewey"), F.lit(None).cast("array<int>").alias("parent_dewey"), F.lit("journals").alias("table_path"), F.lit("").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), held.alias("attributes"))
     calls = journals.select("record_id", F.posexplode("tool_calls").alias("call_no", "call"))
     given = calls.select("record_id", "call_no", "call.tool_args", F.to_json(F.struct("call.tool_name", "call.result", "call.duration_ms")).alias("own"))
     models = flatten(journals.withColumn("tool_calls", F.lit(None).cast(journals.schema["tool_calls"].dataType)))
@@ -201,19 +212,37 @@ def flatten(journals: DataFrame) -> DataFrame:
         path = F.concat(F.lit("model_calls["), i.cast("string"), F.lit("]"))
         held = F.to_json(F.struct(*(call[c].alias(c) for c in ("model_id", "prompt_preview", "cot_reasoning", "latency_ms"))))
         usage = call["token_usage"]
-        own = _node(F.array(zero, i), F.lit("model_calls[]"), path, F.lit(""), held)
-        used = _node(F.array(zero, i, zero), F.lit("model_calls[].token_usage"), F.concat(path, F.lit(".token_usage")), path, F.to_json(usage))
+        own = _node(F.array(zero, i), 0, F.lit("model_calls[]"), path, F.lit(""), held)
+        used = _node(F.array(zero, i, zero), 2, F.lit("model_calls[].token_usage"), F.concat(path, F.lit(".token_usage")), path, F.to_json(usage))
         return F.when(F.size(usage) > 0, F.array(own, used)).otherwise(F.array(own))
 
     models = journals.select("record_id", F.explode(F.flatten(F.transform("model_calls", of_model_call))).alias("n")).select("record_id", "n.*")
     calls = journals.select("record_id", F.posexplode("tool_calls").alias("call_no", "call"))
     path = F.concat(F.lit("tool_calls["), F.col("call_no").cast("string"), F.lit("]"))
     held = F.to_json(F.struct("call.tool_name", "call.result", "call.duration_ms"))
-    own = calls.select("record_id", _node(F.array(one, F.col("call_no")), F.lit("tool_calls[]"), path, F.lit(""), held).alias("n")).select("record_id", "n.*")
+    own = calls.select("record_id", _node(F.array(one, F.col("call_no")), 0, F.lit("tool_calls[]"), path, F.lit(""), held).alias("n")).select("record_id", "n.*")
     inside = calls.where("call.tool_args is not null").select("record_id", "call_no", "call.tool_args").mapInArrow(_argument_nodes, NODE)
     return models.unionByName(own).unionByName(inside)
 
 
-def flat_tables(nodes: DataFrame, paths: list[str]) -> dict[str, DataFrame]:
-    """One table for each schema path asked for, with the child's and the parent's path as keys."""
-    return {p: nodes.where(F.col("table_path") == p).drop("table_path") for p in paths}
+def typed(rows: DataFrame, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """One flat table: record_id, dewey, parent_dewey, node_path, parent_path and the attributes as typed columns.
+
+    columns: names and types; by default as Spark infers them from all rows. Attributes named like a key column get an underscore.
+    """
+    keys = ["record_id", "dewey", "parent_dewey", "node_path", "parent_path"]
+    own = rows.where(F.col("table_path") == path)
+    if columns is None:
+        # One row: the schema that all rows have in common.
+        seen = own.agg(F.schema_of_variant_agg(F.parse_json("attributes")).alias("s")).first()["s"] or "VOID"
+        read = DataType.fromDDL(re.sub(r"\bVOID\b", "STRING", seen.replace("OBJECT<", "STRUCT<"))) if seen.startswith("OBJECT<") else StructType()
+        columns = {f.name: f.dataType.simpleString() for f in read.fields}
+    if not columns:
+        return own.select(*keys)
+    held = F.from_json("attributes", ", ".join(f"`{n}` {t}" for n, t in columns.items()))
+    return own.select(*keys, held.alias("held")).select(*keys, *(F.col("held")[n].alias(n + "_" * (n in keys)) for n in columns))
+
+
+def write_tables(rows: DataFrame, folder: str) -> None:
+    """All flat tables at once, laid out by schema path; a reader of one path reads only its files."""
+    rows.write.mode("overwrite").partitionBy("table_path").parquet(folder)

@@ -8,7 +8,7 @@ which are decoded. A reference has an hour's grace, so a journal that is there b
 reference's own hour can't be late; what is left is judged exactly against the rows.
 
 Hot keys: a journal named by a third of all references is one key in each hour after the map-side distinct,
-and the last join is left to adaptive skew handling. No side is broadcast by force.
+and the last join, with the few suspects, is left to adaptive skew handling. No side is broadcast by force.
 
 Defined results: null and blank references are no case; ids are compared without case and outer blanks; a
 row delivered again counts once, by its earliest arrival (ties: the smallest key); null arrival times of a
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.sources.tables import clean_key
+from tracewright.sources.tables import clean_key, settled
 
 HOUR = 3600
 #: Codes of a range fit 16 bits; ranges are planned at half of that.
@@ -67,7 +67,11 @@ def range_suspects(keys: pa.ChunkedArray, hours: np.ndarray, parent: np.ndarray)
         words = words.combine_chunks()
     codes, size = words.indices.to_numpy(zero_copy_only=False), len(words.dictionary)
     there, found, when = np.zeros(size, bool), [], []
-    refs = {h: Bitmap(codes[~parent & (hours == h)], size) for h in np.unique(hours[~parent])}
+    # Sorted by hour once and cut where the hour changes.
+    order = np.argsort(hours[~parent], kind="stable")
+    ref_hours, ref_codes = hours[~parent][order], codes[~parent][order]
+    each, begin = np.unique(ref_hours, return_index=True)
+    refs = {int(h): Bitmap(c, size) for h, c in zip(each, np.split(ref_codes, begin[1:]), strict=False)}
     born = np.argsort(hours[parent], kind="stable")
     born_hours, born_codes = hours[parent][born], codes[parent][born]
     done = 0
@@ -102,12 +106,12 @@ def _hour(column: str) -> F.Column:
 def orphans(refs: DataFrame, journals: DataFrame, deletions: DataFrame, grace_minutes: int = 60, ranges: int | None = None) -> DataFrame:
     """(table_name, row_key, key, at, orphan_kind) of the dangling references.
 
-    refs: as ``references`` gives them, of any number of tables. ranges: the number of key ranges; by
+    refs: as ``references`` gives them, of any number of tables, settled, as they are read three times. ranges: the number of key ranges; by
     default from a count of the distinct keys.
     """
     if grace_minutes < 60:
         raise ValueError("hours as periods need a grace of an hour at least")
-    born = journals.select(clean_key("journal_id").alias("key"), F.col("ingested_at").alias("at")).where("key is not null").groupBy("key").agg(F.min("at").alias("born"))
+    born = settled(journals.select(clean_key("journal_id").alias("key"), F.col("ingested_at").alias("at")).where("key is not null").groupBy("key").agg(F.min("at").alias("born")))
     gone = deletions.select(clean_key("journal_id").alias("key")).where("key is not null").distinct()
     if ranges is None:
         # Keys of both sides: references may name more journals than there are.
@@ -118,7 +122,8 @@ def orphans(refs: DataFrame, journals: DataFrame, deletions: DataFrame, grace_mi
     present = born.join(gone, "key", "left_anti").select("key", _hour("born").alias("hour"), F.lit(True).alias("parent"))
     keyed = used.unionByName(present).withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
     suspects = keyed.groupBy("range").applyInArrow(_suspects, "key string, hour bigint")
-    known = suspects.join(born, "key", "left").join(gone.withColumn("deleted", F.lit(True)), "key", "left")
+    # Settled, so that the last join knows how few they are and sends them around only if their size allows it.
+    known = settled(suspects.join(born, "key", "left").join(gone.withColumn("deleted", F.lit(True)), "key", "left"))
     rows = refs.withColumn("hour", _hour("at")).join(known, ["key", "hour"])
     late = F.unix_micros("born") > F.unix_micros("at") + F.lit(grace_minutes * 60_000_000)
     kind = F.when(F.col("deleted"), "deleted").when(F.col("born").isNull(), "missing").when(late, "late")

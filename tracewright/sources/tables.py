@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,29 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """UTC sessions, and a checkpoint folder where the cluster names none.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between stages: the one the session names in ``spark.checkpoint.dir``.
 
-    A cluster sets ``spark.checkpoint.dir`` to a shared folder, which Spark then uses by itself; only
-    where it is unset (tests, a laptop) a local folder takes its place.
+    Where it is unset a local master gets a temporary folder; on a cluster that would lose data, so it is an error.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    set_before = context._jsc.sc().getCheckpointDir()
+    if not named and set_before.isDefined():
+        named = set_before.get()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
+    return named
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """A session in UTC that knows this package and the shared folder."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tracewright-checkpoints"))
+        context.setCheckpointDir(shared_folder(spark))
     if not getattr(context, "_tracewright_sent", False):
         # Python workers need this package; it travels with the job like any other dependency.
         package = Path(__file__).resolve().parents[1]
@@ -36,10 +49,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh name in the shared folder; all of an application's are deleted when its driver ends."""
+    context = spark.sparkContext
+    own = f"{shared_folder(spark)}/tracewright-{context.applicationId}"
+    if not getattr(context, "_tracewright_folder", False):
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._tracewright_folder = True
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that its lineage isn't run twice and a lost executor costs nothing."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the shared folder, so that its lineage isn't run twice and a lost executor costs nothing.
+
+    Parquet, so that later reads take only their columns and joins know its size.
+    """
+    spark = prepare(df.sparkSession)
+    folder = new_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ backfills. Event-time timers, not processing-time ones, so that a replay decides
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.schemas import AGENT_EVENT
-from tracewright.sources.tables import prepare
+from tracewright.sources.tables import new_folder, prepare
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -93,7 +92,7 @@ def subscribed(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], Non
 def drained(stream: DataFrame) -> DataFrame:
     """Runs ``stream`` over what is there now and gives its rows as a table in the shared checkpoint folder."""
     spark = prepare(stream.sparkSession)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
