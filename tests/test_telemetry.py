@@ -1,6 +1,11 @@
 import datetime as dt
+import json
 
+from pyspark.sql import functions as F
+
+from tracewright.functions import scalars
 from tracewright.operators import journals, policy, spans
+from tracewright.schemas import AGENT_EVENT
 from tracewright.sources import sinks
 
 T0 = dt.datetime(2026, 1, 1)
@@ -23,7 +28,7 @@ def test_decisions_fail_open(spark):
 
 def test_verdicts_are_used_once(spark):
     tools = spark.createDataFrame([("j", 1, "sql", ""), ("j", 2, "sql", ""), ("j", 3, "sql", "id7")], "journal_id string, seq int, tool_name string, tool_use_id string")
-    verdicts = spark.createDataFrame([("j", 1, "sql", "", "BLOCK"), ("j", 9, "sql", "id7", "GATE")], "journal_id string, seq int, tool_name string, tool_use_id string, decision string")
+    verdicts = spark.createDataFrame([("j", 1, "sql", "", "BLOCK"), ("j", 9, "sql", "id7", "GATE")], "journal_id string, seq int, tool_name string, tool_use_id string, mark string")
     assert {r["seq"]: r["enforced_decision"] for r in policy.marked(tools, verdicts).collect()} == {1: "BLOCK", 2: None, 3: "GATE"}
 
 
@@ -38,12 +43,56 @@ def test_once_keeps_the_earliest(spark):
     assert [r["v"] for r in journals.once(df).collect()] == ["early"]
 
 
+SPAN = "span_id string, trace_id string, parent_span_id string, span_name string, span_kind string, start_time timestamp, end_time timestamp, agent_id string, agent_name string, journal_id string, session_id string, input_value string, output_value string, invocation_status string, integrity_hash string, token_count_total bigint, tool_count bigint, llm_model_name string, token_count_prompt bigint, token_count_completion bigint, tool_name string, latency_ms double, enforcement_decision string"
+
+
 def test_sinks(spark, tmp_path):
-    s = spark.createDataFrame([("1", "a@b.co", "x")], "span_id string, input_value string, output_value string")
-    sinks.export_spans(s, str(tmp_path / "o"))
-    assert spark.read.json(str(tmp_path / "o")).first()["input_value"] == "[EMAIL]"
-    sinks.export_spans(s, str(tmp_path / "none"), enabled=False)
-    assert not (tmp_path / "none").exists()
+    row = ("1", "t", None, "governance.invocation", "AGENT", T0, T0, "a", "n", "j", "j", "a@b.co", "x", "ok", "h", 7, 2, None, None, None, None, None, None)
+    s = spark.createDataFrame([row], SPAN)
+    assert sinks.export_spans(s, str(tmp_path / "o")).count() == 1
+    line = json.loads(spark.read.text(str(tmp_path / "o")).first()[0])
+    span = line["resourceSpans"][0]["scopeSpans"][0]["spans"][0]
+    held = {a["key"]: a["value"] for a in span["attributes"]}
+    assert held["input.value"] == {"stringValue": "[EMAIL]"} and held["llm.token_count.total"] == {"intValue": "7"} and held["source"] == {"stringValue": spans.SOURCE} and "tool.name" not in held
+    assert span["startTimeUnixNano"] == str(int(T0.replace(tzinfo=dt.UTC).timestamp()) * 10**9) and "parentSpanId" not in span and line["resourceSpans"][0]["resource"]["attributes"][0]["value"]["stringValue"] == "agent"
+    none = sinks.export_spans(s, str(tmp_path / "none"), enabled=False)
+    assert not (tmp_path / "none").exists() and none.count() == 0 and none.columns == ["span_id", "line"]
+    sinks.append_events(spark.createDataFrame([("e", T0, T0, "a", "n", "Tool_Call", "T4", "a@b.co", "j", None)], AGENT_EVENT), str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    assert stored.first()["payload"] == "[EMAIL]" and stored.first()["type"] == "tool_call" and len(stored.first()["integrity_hash"]) == 64
+    sinks.clear(stored, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 0
+
+
+def test_enforcement(spark):
+    s = lambda n: T0 + dt.timedelta(seconds=n)
+    calls = spark.createDataFrame([("1", "sql", 50.0, T0), ("2", "mail", 1.0, T0), ("3", "mail", 1.0, T0), ("4", "mail", 1.0, T0), ("5", "other", None, T0), ("6", "odd", 1.0, None), ("7", None, 1.0, T0)], "call_id string, tool_name string, amount double, proposed_at timestamp")
+    rules = spark.createDataFrame([("big", 1, "sql", 10.0, "BLOCK", "too big"), ("ask", 2, "mail", 0.0, "GATE", None), ("never", 3, "mail", 0.0, "BLOCK", None), ("what", 1, "odd", 0.0, "MAYBE", None)], "rule string, priority int, tool_name string, min_amount double, decision string, message string")
+    answers = spark.createDataFrame([("2", s(3), "approved"), ("2", s(9), "denied"), ("3", s(1), "pending"), ("3", s(4), "denied"), ("4", s(130), "approved")], "hold_id string, at timestamp, status string")
+    got = {r["call_id"]: r for r in policy.enforce(calls, rules, answers).collect()}
+    assert {k: (r["cancelled"], r["mark"], r["approval"]) for k, r in got.items()} == {"1": (True, "BLOCK", None), "2": (False, None, "approved"), "3": (True, "GATE", "denied"), "4": (True, "GATE", "timeout"), "5": (False, None, None), "6": (False, None, None), "7": (False, None, None)}
+    assert got["1"]["cancel_message"] == "too big" and got["3"]["cancel_message"] == "GATE by policy ask (approval denied)" and [got[k]["gate_wait_ms"] for k in "1234"] == [0.0, 3000.0, 4000.0, 120000.0]
+    assert not any(r["cancelled"] for r in policy.enforce(calls, None).collect()) and {r["approval"] for r in policy.enforce(calls, rules).collect()} == {None, "timeout"}
+
+
+def test_blocks_carry_over(spark):
+    """The same in blocks of an hour as in one."""
+    rows = [(f"e{i:03d}", T0 + dt.timedelta(minutes=17 * i), ("invocation_start", "tool_call", "tool_result", "other")[i * 7 % 4], "hot", "j") for i in range(60)] + [("n", None, "tool_call", "hot", "j"), ("o", T0, "tool_call", None, None)]
+    events = spark.createDataFrame(rows, "event_id string, event_timestamp timestamp, event_type string, agent_id string, decision_journal_id string")
+    for f in (journals.paired, journals.islands):
+        assert sorted(map(str, f(events, block="hour").collect())) == sorted(map(str, f(events, block="year").collect()))
+    kids, roots = (events.where(c).select(F.col("event_id").alias("span_id"), "agent_id", F.col("event_timestamp").alias("start_time")) for c in ("event_type = 'tool_call'", "event_type = 'invocation_start'"))
+    assert sorted(map(str, spans.attached(kids, roots, "hour").collect())) == sorted(map(str, spans.attached(kids, roots, "year").collect()))
+
+
+def test_conversations(spark):
+    text = "array<struct<role:string,content:string,blocks:array<struct<text:string>>>>"
+    cases = [
+        ([("user", "a", None), ("user", "b", None)], "b"), ([("user", "a", None), ("user", None, [("",), (None,)])], "a"), ([("user", "a", None), ("user", "", None)], ""), ([("user", None, [("",), ("x",), ("y",)])], "x"),
+        ([("user", "a", None), ("assistant", "b", None)], "a"), ([], ""), ([("assistant", "b", None)], ""),
+    ]
+    for turns, want in cases:
+        assert spark.createDataFrame([(turns,)], f"m {text}").select(scalars.user_message(F.col("m"))).first()[0] == want, turns
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
@@ -53,7 +102,7 @@ def test_streams_agree_with_batch(spark, tmp_path):
     spark.createDataFrame(rows, jobs.AGENT_EVENT).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.event_stream(spark, str(tmp_path / "in"))
     assert jobs.drained(jobs.deduplicated(stream)).count() == 3
-    assert [tuple(r) for r in jobs.drained(jobs.folded(stream)).collect()] == [("j", 2, 7)]
+    assert [tuple(r) for r in jobs.drained(jobs.folded(stream)).collect()] == [("j", 1, 0, 7, [None])]
     seen, errors = [], []
 
     def bad(batch, n):
@@ -69,11 +118,11 @@ def test_gate_stream(spark, tmp_path):
 
     s = lambda n: T0 + dt.timedelta(seconds=n)
     holds = [("a", s(0)), ("b", s(0)), ("c", s(10))]
-    answers = [("a", s(5), "approved"), ("a", s(6), "pending"), ("b", s(300), "approved"), ("z", s(90_000), "late enough")]
+    answers = [("a", s(5), "approved"), ("a", s(6), "pending"), ("a", s(7), "denied"), ("a", s(-5), "early"), ("b", s(300), "approved"), ("z", s(90_000), "late enough")]
     requests = "hold_id string, requested_at timestamp"
     replies = "hold_id string, at timestamp, status string"
     spark.createDataFrame(holds, requests).write.parquet(str(tmp_path / "r"))
     spark.createDataFrame([("end", s(90_000))], requests).write.mode("append").parquet(str(tmp_path / "r"))
     spark.createDataFrame(answers, replies).write.parquet(str(tmp_path / "a"))
     out = jobs.drained(jobs.gates(spark.readStream.schema(requests).parquet(str(tmp_path / "r")), spark.readStream.schema(replies).parquet(str(tmp_path / "a"))))
-    assert {(r["hold_id"], r["outcome"]) for r in out.collect()} == {("a", "approved"), ("b", "timeout"), ("c", "timeout")}
+    assert sorted((r["hold_id"], r["outcome"]) for r in out.where("hold_id <> 'end'").collect()) == [("a", "approved"), ("b", "timeout"), ("c", "timeout")]

@@ -41,5 +41,6 @@ def event_hash() -> Column:
 def journal_hash() -> Column:
     """The hash of a journal row: its own fields, then its calls in order. Sealing twice gives the same hash."""
     calls = F.array_join(F.transform(F.col("tool_calls"), lambda c: canonical(c["tool_name"], c["tool_args"], c["result"], millis(c["duration_ms"]))), "/")
-    models = F.array_join(F.transform(F.col("model_calls"), lambda c: canonical(c["model_id"], c["prompt_preview"], c["cot_reasoning"], millis(c["latency_ms"]))), "/")
+    usage = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    models = F.array_join(F.transform(F.col("model_calls"), lambda c: canonical(c["model_id"], c["prompt_preview"], c["cot_reasoning"], usage(c["token_usage"]), millis(c["latency_ms"]))), "/")
     return integrity(F.col("journal_id"), F.col("agent_id"), F.col("agent_name"), time(F.col("started_at")), time(F.col("completed_at")), F.col("user_message"), F.col("final_response"), models, calls, F.col("total_tokens").cast("string"))

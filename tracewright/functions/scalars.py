@@ -46,6 +46,19 @@ def object_json(c: Column) -> Column:
     return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c).otherwise("{}")
 
 
+def user_message(messages: Column) -> Column:
+    """The user's text of a conversation, an array of (role, content string, blocks array of (text)).
+
+    The last user message that has one wins: its first block with text, or its content if it has no blocks, an empty content
+    too; blocks without text keep what was said before. Nothing said is ''.
+    """
+    def first_text(blocks: Column) -> Column:
+        return F.get(F.filter(blocks, lambda b: F.coalesce(b["text"], F.lit("")) != ""), F.lit(0))["text"]
+
+    said = F.filter(messages, lambda m: m["role"] == "user")
+    return F.aggregate(said, F.lit(""), lambda kept, m: F.when(m["blocks"].isNotNull(), F.coalesce(first_text(m["blocks"]), kept)).otherwise(F.coalesce(m["content"], kept)))
+
+
 def block_text(blocks: Column) -> Column:
     """The texts of content blocks in order, blocks without text left out."""
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"]), "")

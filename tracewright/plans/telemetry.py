@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import endpoints, hashing, redact, scalars
-from tracewright.operators import journals, lookups, policy, spans
+from tracewright.operators import journals, lifecycle, lookups, policy, spans
 from tracewright.schemas import CAPS, EVENT_TYPES
-from tracewright.sources.tables import prepare, table
+from tracewright.sources.tables import prepare, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,7 +83,7 @@ def _p(key: str, kind: str = "VARCHAR") -> str:
 
 @query(f"SELECT doc_id, {sql_redact('text')} AS redacted FROM documents")
 def redact_documents(t):
-    return t("documents").select("doc_id", redact.redact_pii(F.col("text")).alias("redacted"))
+    return spread(t("documents").select("doc_id", "text")).select("doc_id", redact.redact_pii(F.col("text")).alias("redacted"))
 
 
 @query(f"SELECT record_id, {sql_redact('user_message')} AS user_message, {sql_redact('final_response')} AS final_response FROM decision_journals")
@@ -139,16 +139,48 @@ def clip_codepoints(t):
     return t("decision_journals").select("record_id", redact.safe_value(F.col("user_message"), CAPS["event.user_message"]).alias("clipped"), redact.clip(F.col("final_response"), 0).alias("none_left"))
 
 
-@query(
-    f"""SELECT span_id, list_sort(list_filter(['openinference.span.kind=' || span_kind, 'agent.name=' || agent_name, 'session.id=' || session_id,
-  'input.value=' || {sql_redact("input_value")}, 'output.value=' || {sql_redact("output_value")}, 'llm.model_name=' || llm_model_name,
-  'llm.token_count.prompt=' || token_count_prompt, 'llm.token_count.completion=' || token_count_completion, 'tool.name=' || tool_name], lambda x: x IS NOT NULL)) AS attributes FROM spans"""
-)
+_BAG = ", ".join(f"'{k}=' || " + (sql_redact(c) if c in ("input_value", "output_value") else f"CAST({c} AS VARCHAR)") for k, c in spans.attribute_names().items())
+
+
+@query(f"SELECT span_id, list_sort(list_filter([{_BAG}, CASE WHEN span_kind = 'AGENT' THEN 'source={spans.SOURCE}' END], lambda x: x IS NOT NULL)) AS attributes FROM spans")
 def attribute_bags(t):
     bag = spans.attribute_bag(t("spans"))
     return bag.select("span_id", F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("attributes"))
 
 
+@query(
+    f"""SELECT span_id, trace_id, parent_span_id, span_name AS name, epoch_us(start_time) || '000' AS started, len(list_filter([{_BAG}, CASE WHEN span_kind = 'AGENT' THEN 'source' END], lambda x: x IS NOT NULL)) AS n_attributes,
+  CAST(token_count_prompt AS VARCHAR) AS prompt_tokens, latency_ms, left({sql_redact("input_value")}, 50) AS input_value FROM spans"""
+)
+def otlp_lines(t):
+    """What stands in the exported lines, read back from them."""
+    value = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double>>>"
+    schema = f"resourceSpans array<struct<scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,startTimeUnixNano:string,attributes:{value}>>>>>>"
+    x = spans.otlp(t("spans")).select("span_id", F.from_json("line", schema)["resourceSpans"][0]["scopeSpans"][0]["spans"][0].alias("s"))
+    held = lambda k: F.get(F.filter("s.attributes", lambda a: a["key"] == k), F.lit(0))["value"]
+    return x.select(
+        "span_id", F.col("s.traceId").alias("trace_id"), F.col("s.parentSpanId").alias("parent_span_id"), F.col("s.name").alias("name"), F.col("s.startTimeUnixNano").alias("started"), F.size("s.attributes").cast("bigint").alias("n_attributes"),
+        held("llm.token_count.prompt")["intValue"].alias("prompt_tokens"), held(f"{spans.NAMESPACE}.latency_ms")["doubleValue"].alias("latency_ms"), F.left(held("input.value")["stringValue"], F.lit(50)).alias("input_value"),
+    )
+
+
+@query(
+    """WITH m AS (SELECT record_id, user_message, list_filter(list_transform(coalesce(model_calls, []), lambda c: c.prompt_preview), lambda x: coalesce(x, '') <> '') AS said, list_filter(list_transform(coalesce(tool_calls, []), lambda c: c.result), lambda x: coalesce(x, '') <> '') AS got FROM decision_journals)
+SELECT record_id, CASE WHEN record_id % 3 = 0 THEN coalesce(user_message, '') WHEN len(said) > 0 THEN said[1] ELSE coalesce(user_message, '') END AS message, CASE WHEN len(got) > 0 THEN got[1] ELSE '' END AS only_blocks FROM m"""
+)
+def conversation_user_message(t):
+    """Conversations put together of a journal's texts: what the user said as text or as blocks, and what others said in between."""
+    block = lambda texts: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text")))
+    none, no_text = F.lit(None).cast("array<struct<text:string>>"), F.lit(None).cast("string")
+    message = lambda role, text, blocks: F.struct(F.lit(role).alias("role"), text.alias("content"), blocks.alias("blocks"))
+    said, got = block(F.transform("model_calls", lambda c: c["prompt_preview"])), block(F.transform("tool_calls", lambda c: c["result"]))
+    text, other = message("user", F.coalesce("user_message", F.lit("")), none), message("assistant", F.col("final_response"), none)
+    first = F.array(text, other, message("user", no_text, said), message("assistant", F.lit("later"), none))
+    last = F.array(message("user", no_text, said), other, text)
+    turns = F.when(F.col("record_id") % 3 == 0, last).otherwise(first)
+    return t("decision_journals").select("record_id", scalars.user_message(turns).alias("message"), scalars.user_message(F.array(message("user", no_text, got), other)).alias("only_blocks"))
+
+
 _ENDPOINTS = ("https://a.example", "https://a.example:4318/", "http://b.example/base/", "c.example:4318", "c.example", "", "https://d.example/x//")
 
 
@@ -283,7 +315,8 @@ def event_envelope_hash(t):
 
 
 _CALLS = f"array_to_string(list_transform(tool_calls, lambda c: {sql_canonical('c.tool_name', 'c.tool_args', 'c.result', sql_millis('c.duration_ms'))}), '/')"
-_MODELS = f"array_to_string(list_transform(model_calls, lambda c: {sql_canonical('c.model_id', 'c.prompt_preview', 'c.cot_reasoning', sql_millis('c.latency_ms'))}), '/')"
+_USAGE = "CASE WHEN c.token_usage IS NULL THEN NULL ELSE array_to_string(list_transform(list_sort(map_entries(c.token_usage)), lambda e: e.key || '=' || e.value), ',') END"
+_MODELS = f"array_to_string(list_transform(model_calls, lambda c: {sql_canonical('c.model_id', 'c.prompt_preview', 'c.cot_reasoning', f'({_USAGE})', sql_millis('c.latency_ms'))}), '/')"
 _SEAL = sql_canonical("journal_id", "agent_id", "agent_name", sql_time("started_at"), sql_time("completed_at"), "user_message", "final_response", f"({_MODELS})", f"({_CALLS})", "CAST(total_tokens AS VARCHAR)")
 
 
@@ -292,6 +325,16 @@ def journal_seal(t):
     return journals.sealed(t("decision_journals")).select("record_id", "integrity_hash")
 
 
+@query(
+    f"""WITH ids AS (SELECT journal_id FROM journal_deletions UNION SELECT journal_id FROM decision_journals WHERE record_id % 5 = 0)
+SELECT i.journal_id, (SELECT arg_max(sha256({_SEAL}), record_id) FROM decision_journals d WHERE d.journal_id = i.journal_id) AS integrity_hash FROM ids i"""
+)
+def seal_ids(t):
+    """Seals of journals asked for by id, deleted ones among them."""
+    ids = t("journal_deletions").select("journal_id").unionByName(t("decision_journals").where("record_id % 5 = 0").select("journal_id"))
+    return journals.seal_ids(t("decision_journals"), ids)
+
+
 _FOLD = f"""WITH {_ONCE}
 SELECT decision_journal_id AS journal_id, min(agent_id) AS agent_id, epoch_us(min(event_timestamp)) AS started_us, epoch_us(max(event_timestamp)) AS completed_us,
   count(*) FILTER ({_KIND} = 'tool_call') AS tool_count, count(*) FILTER ({_KIND} = 'tool_result') AS tool_results, count(*) FILTER ({_KIND} = 'cot_reasoning') AS model_count,
@@ -307,8 +350,11 @@ def journal_fold(t):
     return f.select("journal_id", "agent_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("completed_at").alias("completed_us"), "tool_count", "tool_results", "model_count", "total_tokens", "sealed", names.alias("tool_names"))
 
 
+_FOLD_HASH = f"sha256({sql_canonical('journal_id', 'agent_id', 'CAST(started_us AS VARCHAR)', 'CAST(completed_us AS VARCHAR)', 'CAST(total_tokens AS VARCHAR)', 'CAST(tool_count AS VARCHAR)')})"
+
+
 @query(
-    f"""WITH f AS ({_FOLD}) SELECT sha256('seal|' || journal_id) AS event_id, completed_us, '{{"journal_id":"' || journal_id || '","total_tokens":' || total_tokens || ',"tool_calls":' || tool_count || '}}' AS payload FROM f"""
+    f"""WITH f AS ({_FOLD}) SELECT sha256('seal|' || journal_id) AS event_id, completed_us, '{{"journal_id":"' || journal_id || '","total_tokens":' || total_tokens || ',"tool_calls":' || tool_count || ',"integrity_hash":"' || {_FOLD_HASH} || '"}}' AS payload FROM f"""
 )
 def evidence_seal_events(t):
     e = journals.seal_events(journals.fold(journals.once(t("agent_events"))))
@@ -323,19 +369,19 @@ def last_user_message(t):
     return journals.last_user_message(journals.once(t("agent_events")))
 
 
-_LLM = """llm AS (SELECT DISTINCT ON (span_id) span_id, llm_model_name, start_time, token_count_prompt + token_count_completion AS tokens FROM spans
+_LLM = """llm AS (SELECT DISTINCT ON (span_id) span_id, trace_id, start_time, token_count_prompt + token_count_completion AS tokens FROM spans
   WHERE span_kind = 'LLM' AND token_count_prompt IS NOT NULL AND token_count_completion IS NOT NULL ORDER BY span_id, ingested_at),
-run AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY llm_model_name ORDER BY start_time, span_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM llm)"""
+run AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY trace_id ORDER BY start_time, span_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM llm)"""
 
 
-@query(f"WITH {_LLM} SELECT span_id, total, total - coalesce(lag(total) OVER (PARTITION BY llm_model_name ORDER BY start_time, span_id), 0) AS delta FROM run")
+@query(f"WITH {_LLM} SELECT span_id, total, total - coalesce(lag(total) OVER (PARTITION BY trace_id ORDER BY start_time, span_id), 0) AS delta FROM run")
 def token_delta(t):
     from pyspark.sql import Window
 
-    s = journals.once(t("spans").where("span_kind = 'LLM' and token_count_prompt is not null and token_count_completion is not null").select("span_id", "ingested_at", "llm_model_name", "start_time", (F.col("token_count_prompt") + F.col("token_count_completion")).alias("tokens")), "span_id")
-    w = Window.partitionBy("llm_model_name").orderBy("start_time", "span_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = journals.once(t("spans").where("span_kind = 'LLM' and token_count_prompt is not null and token_count_completion is not null").select("span_id", "ingested_at", "trace_id", "start_time", (F.col("token_count_prompt") + F.col("token_count_completion")).alias("tokens")), "span_id")
+    w = Window.partitionBy("trace_id").orderBy("start_time", "span_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = s.withColumn("total", F.sum("tokens").over(w))
-    return journals.deltas(running, ["llm_model_name"], ["start_time", "span_id"], "total", "delta").select("span_id", "total", "delta")
+    return journals.deltas(running, ["trace_id"], ["start_time", "span_id"], "total", "delta").select("span_id", "total", "delta")
 
 
 @query(
@@ -347,6 +393,31 @@ def tool_call_results(t):
     return journals.paired(journals.once(t("agent_events"))).select("event_id", "result_event_id", "elapsed_ms")
 
 
+@query(
+    f"""WITH {_ONCE}, c AS (SELECT event_id, decision_journal_id, {_KIND} AS kind, event_timestamp FROM once WHERE decision_journal_id IS NOT NULL AND {_KIND} IN ('prompt_capture', 'cot_reasoning')),
+n AS (SELECT *, lead(kind) OVER w AS k, lead(event_timestamp) OVER w AS at2 FROM c WINDOW w AS (PARTITION BY decision_journal_id ORDER BY event_timestamp, event_id))
+SELECT event_id, CASE WHEN k = 'cot_reasoning' THEN (epoch_us(at2) - epoch_us(event_timestamp)) / 1000.0 END AS latency_ms FROM n WHERE kind = 'prompt_capture'"""
+)
+def model_call_latency(t):
+    return journals.paired(journals.once(t("agent_events")), "prompt_capture", "cot_reasoning").select("event_id", F.col("elapsed_ms").alias("latency_ms"))
+
+
+@query(
+    """SELECT record_id, list_transform(model_calls, lambda c: coalesce(c.model_id, '?') || '/' || coalesce(CAST(c.latency_ms AS VARCHAR), '?') || '/' || coalesce(c.token_usage['input_tokens'], -1) || '/' || coalesce(md5(c.cot_reasoning), '?')) AS models,
+  list_transform(tool_calls, lambda c: coalesce(c.tool_name, '?') || '/' || coalesce(md5(c.tool_args), '?') || '/' || coalesce(c.result, '?')) AS tools,
+  CAST(coalesce(list_sum(list_transform(model_calls, lambda c: coalesce(c.token_usage['input_tokens'], 0) + coalesce(c.token_usage['output_tokens'], 0))), 0) AS BIGINT) AS total_tokens,
+  coalesce(CAST(len(tool_calls) AS BIGINT), 0) AS tool_count, sealed FROM decision_journals WHERE len(model_calls) > 0 AND len(tool_calls) > 0"""
+)
+def journal_roundtrip(t):
+    """Journals folded back from the lifecycle events made of them."""
+    events = lifecycle.journal_events(t("decision_journals").where("size(model_calls) > 0 and size(tool_calls) > 0"), records=True)
+    f = journals.fold_records(events, by="record_id", order=("seq",))
+    part = lambda c: F.coalesce(c, F.lit("?"))
+    models = F.transform("model_calls", lambda c: F.concat_ws("/", part(c["model_id"]), part(c["latency_ms"].cast("string")), F.coalesce(c["token_usage"]["input_tokens"], F.lit(-1)).cast("string"), part(F.md5(c["cot_reasoning"]))))
+    tools = F.transform("tool_calls", lambda c: F.concat_ws("/", part(c["tool_name"]), part(F.md5(c["tool_args"])), part(c["result"])))
+    return f.select(F.col("journal_id").alias("record_id"), models.alias("models"), tools.alias("tools"), "total_tokens", "tool_count", "sealed")
+
+
 @query(
     f"""WITH {_ONCE} SELECT event_id, CAST(sum(CASE WHEN {_KIND} = 'invocation_start' THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY event_timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS invocation_no FROM once WHERE agent_id IS NOT NULL"""
 )
@@ -366,24 +437,26 @@ _RID = "CAST(record_id AS VARCHAR)"
 
 @query(
     f"""SELECT {_sid(_RID, "'agent'")} AS span_id, journal_id, agent_name, left({sql_redact("user_message")}, 4000) AS input_value, left({sql_redact("final_response")}, 4000) AS output_value,
-  total_tokens, coalesce(CAST(len(tool_calls) AS BIGINT), 0) AS tool_count, CASE WHEN NOT sealed THEN 'open' ELSE 'ok' END AS status FROM decision_journals"""
+  total_tokens, coalesce(CAST(len(tool_calls) AS BIGINT), 0) AS tool_count, 'ok' AS status, journal_id AS session_id, integrity_hash, 'tracewright' AS source FROM decision_journals"""
 )
 def agent_spans(t):
-    return spans.agent_spans(t("decision_journals")).select("span_id", "journal_id", "agent_name", "input_value", "output_value", "total_tokens", "tool_count", "status")
+    return spans.agent_spans(t("decision_journals")).select("span_id", "journal_id", "agent_name", "input_value", "output_value", "total_tokens", "tool_count", "status", "session_id", "integrity_hash", "source")
 
 
 @query(
-    f"""WITH c AS (SELECT record_id, journal_id, unnest(range(len(model_calls))) AS i, unnest(model_calls) AS c FROM decision_journals)
-SELECT {_sid(_RID, "'llm'", "CAST(i AS VARCHAR)")} AS span_id, {_sid(_RID, "'agent'")} AS parent_span_id, c.model_id AS model_name, left({sql_redact("c.cot_reasoning")}, 1000) AS output_value,
+    f"""WITH p AS (SELECT journal_id, min(input_value) AS prompt FROM spans WHERE span_kind = 'LLM' GROUP BY journal_id),
+c AS (SELECT record_id, journal_id, coalesce(prompt, '') AS prompt, unnest(range(len(model_calls))) AS i, unnest(model_calls) AS c FROM decision_journals LEFT JOIN p USING (journal_id))
+SELECT {_sid(_RID, "'llm'", "CAST(i AS VARCHAR)")} AS span_id, {_sid(_RID, "'agent'")} AS parent_span_id, c.model_id AS model_name, left({sql_redact("left(prompt, 500)")}, 4000) AS input_value, left({sql_redact("c.cot_reasoning")}, 1000) AS output_value,
   c.token_usage['input_tokens'] AS prompt_tokens, c.token_usage['output_tokens'] AS completion_tokens, c.latency_ms AS latency_ms FROM c"""
 )
 def llm_spans(t):
-    return spans.llm_spans(t("decision_journals")).select("span_id", "parent_span_id", "model_name", "output_value", "prompt_tokens", "completion_tokens", "latency_ms")
+    prompts = t("spans").where("span_kind = 'LLM'").groupBy("journal_id").agg(F.min("input_value").alias("system_prompt"))
+    return spans.llm_spans(t("decision_journals").join(prompts, "journal_id", "left")).select("span_id", "parent_span_id", "model_name", "input_value", "output_value", "prompt_tokens", "completion_tokens", "latency_ms")
 
 
 @query(
     f"""WITH c AS (SELECT record_id, agent_id, unnest(range(len(tool_calls))) AS i, unnest(tool_calls) AS c FROM decision_journals)
-SELECT {_sid(_RID, "'tool'", "CAST(i AS VARCHAR)")} AS span_id, {_sid(_RID, "'agent'")} AS parent_span_id, agent_id, c.tool_name AS tool_name, left({sql_redact("c.tool_args")}, 500) AS input_value,
+SELECT {_sid(_RID, "'tool'", "CAST(i AS VARCHAR)")} AS span_id, {_sid(_RID, "'agent'")} AS parent_span_id, agent_id, c.tool_name AS tool_name, left({sql_redact("CASE WHEN json_valid(c.tool_args) AND json_type(c.tool_args) = 'OBJECT' THEN c.tool_args ELSE '{}' END")}, 500) AS input_value,
   left({sql_redact("c.result")}, 500) AS output_value, CASE WHEN c.duration_ms > 0 THEN c.duration_ms END AS latency_ms FROM c"""
 )
 def tool_spans(t):
@@ -457,35 +530,78 @@ def gate_resolve(t):
     holds = e.where("event_type = 'purchase'").select(F.col("event_id").alias("hold_id"), "user_id", F.col("at").alias("requested_at"))
     answers = e.where("event_type in ('signup', 'error')").select("user_id", "at", F.when(F.col("event_type") == "signup", "approved").otherwise("denied").alias("status"))
     approvals = holds.select("hold_id", "user_id").join(answers, "user_id").select("hold_id", "at", "status")
-    return policy.resolve_gates(holds.select("hold_id", "requested_at"), approvals, timeout_s=7200)
+    return policy.resolve_gates(holds.select("hold_id", "requested_at"), approvals, timeout_s=7200).select("hold_id", "outcome")
+
+
+# Answers to gates by the place of the call: approved in time, denied, never, approved too late.
+_ANSWERED = f"""{_DECIDED}, timed AS (SELECT d.*, j.started_at + to_seconds(d.i) AS proposed_at FROM decided d JOIN decision_journals j USING (record_id)),
+chain AS (SELECT *, CASE WHEN decision <> 'GATE' THEN NULL WHEN proposed_at IS NULL THEN 'timeout' ELSE CASE i % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'denied' ELSE 'timeout' END END AS approval FROM timed),
+done AS (SELECT *, CAST(CASE WHEN approval IS NULL THEN 0 WHEN approval = 'timeout' THEN 120000 WHEN approval = 'approved' THEN 30000 ELSE 10000 END AS DOUBLE) AS gate_wait_ms,
+  decision = 'BLOCK' OR (decision = 'GATE' AND approval <> 'approved') AS cancelled FROM chain)"""
+
+
+def _enforced(t) -> DataFrame:
+    at = t("decision_journals").select("record_id", "started_at")
+    calls = _calls(t).join(at, "record_id").withColumn("proposed_at", F.col("started_at") + F.make_interval(secs=F.col("i"))).drop("started_at")
+    status = F.element_at(F.array(*(F.lit(x) for x in ("approved", "denied", "pending", "approved"))), F.col("i") % 4 + 1)
+    wait = F.element_at(F.array(*(F.lit(x) for x in (30, 10, 5, 200))), F.col("i") % 4 + 1)
+    answers = calls.select(F.col("call_id").alias("hold_id"), (F.col("proposed_at") + F.make_interval(secs=wait)).alias("at"), status.alias("status"))
+    return policy.enforce(calls, _policies(t), answers)
 
 
 @query(
-    f"""WITH {_DECIDED}, k AS (SELECT *, row_number() OVER (PARTITION BY record_id, tool_name ORDER BY i) AS turn FROM decided)
-SELECT CAST(record_id AS VARCHAR) AS journal_id, i AS seq, tool_name, CASE WHEN decision <> 'ALLOW' THEN decision END AS enforced_decision FROM k WHERE tool_name IS NOT NULL"""
+    f"""WITH {_ANSWERED} SELECT call_id, decision, rule, approval, gate_wait_ms, cancelled, CASE WHEN cancelled THEN decision || ' by policy ' || rule || CASE WHEN approval IS NULL THEN '' ELSE ' (approval ' || approval || ')' END END AS cancel_message,
+  CASE WHEN cancelled THEN decision END AS mark FROM done"""
 )
+def enforcement_chain(t):
+    return _enforced(t).select("call_id", "decision", "rule", "approval", "gate_wait_ms", "cancelled", "cancel_message", "mark")
+
+
+@query(f"WITH {_ANSWERED} SELECT CAST(record_id AS VARCHAR) AS journal_id, i AS seq, tool_name, CASE WHEN cancelled THEN decision END AS enforced_decision FROM done WHERE tool_name IS NOT NULL")
 def enforced_tool_spans(t):
     shape = [F.col("record_id").cast("string").alias("journal_id"), F.col("i").cast("bigint").alias("seq"), "tool_name", F.lit("").alias("tool_use_id")]
-    d = policy.decide(_calls(t), _policies(t)).where("tool_name is not null")
-    return policy.marked(d.select(*shape), d.select(*shape, "decision")).select("journal_id", "seq", "tool_name", "enforced_decision")
+    d = _enforced(t).where("tool_name is not null")
+    return policy.marked(d.select(*shape), d.select(*shape, "mark")).select("journal_id", "seq", "tool_name", "enforced_decision")
+
+
+@query(
+    f"""WITH {_ANSWERED}, c AS (SELECT record_id, unnest(range(len(tool_calls))) AS i, unnest(tool_calls).duration_ms AS duration_ms FROM decision_journals)
+SELECT call_id, gate_wait_ms + coalesce(c.duration_ms, 0) AS duration_ms, gate_wait_ms, coalesce(c.duration_ms, 0) AS work_ms FROM done JOIN c USING (record_id, i)"""
+)
+def tool_durations(t):
+    """Durations as captured, which begin before the verdict, apart from what the gate took."""
+    e = _enforced(t)
+    work = F.coalesce("amount", F.lit(0.0))
+    return e.select("call_id", (F.col("gate_wait_ms") + work).alias("duration_ms"), "gate_wait_ms", work.alias("work_ms"))
 
 
 # --- lifecycle and streams ------------------------------------------------------------------------
 
 
 @query(
-    """WITH m AS (SELECT unnest(model_calls) AS m FROM decision_journals), c AS (SELECT unnest(tool_calls) AS c FROM decision_journals), e AS (
-  SELECT 'invocation_start' AS event_type, coalesce(length(left(user_message, 300)), 0) AS chars FROM decision_journals
-  UNION ALL SELECT 'prompt_capture', 0 FROM m UNION ALL SELECT 'cot_reasoning', coalesce(length(left(m.cot_reasoning, 300)), 0) FROM m
-  UNION ALL SELECT 'tool_call', 0 FROM c UNION ALL SELECT 'tool_result', coalesce(length(left(c.result, 200)), 0) FROM c UNION ALL SELECT 'evidence_seal', 0 FROM decision_journals WHERE sealed)
-SELECT event_type, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM e GROUP BY event_type"""
+    """WITH j AS (SELECT *, coalesce(CAST(len(model_calls) AS BIGINT), 0) AS nm, coalesce(CAST(len(tool_calls) AS BIGINT), 0) AS nt FROM decision_journals),
+m AS (SELECT record_id, unnest(range(nm)) AS i, unnest(model_calls) AS c FROM j), c AS (SELECT record_id, nm, unnest(range(nt)) AS i, unnest(tool_calls) AS c FROM j)
+SELECT record_id, CAST(0 AS BIGINT) AS seq, 'invocation_start' AS event_type, 'user_message' AS keys, left(user_message, 300) AS text, CAST(NULL AS DOUBLE) AS number FROM j
+UNION ALL SELECT record_id, 1 + 2 * i, 'prompt_capture', 'invocation_state_keys', '[]', NULL FROM m
+UNION ALL SELECT record_id, 2 + 2 * i, 'cot_reasoning', 'cot_preview,stop_reason,latency_ms', left(c.cot_reasoning, 300), c.latency_ms FROM m
+UNION ALL SELECT record_id, 1 + 2 * nm + 2 * i, 'tool_call', 'tool_name', c.tool_name, NULL FROM c
+UNION ALL SELECT record_id, 2 + 2 * nm + 2 * i, 'tool_result', 'tool_name,result_preview,duration_ms', left(c.result, 200), c.duration_ms FROM c
+UNION ALL SELECT record_id, 1 + 2 * nm + 2 * nt, 'evidence_seal', 'journal_id,total_tokens,tool_calls,integrity_hash', integrity_hash, total_tokens FROM j WHERE sealed"""
 )
 def journal_events(t):
-    from tracewright.operators import lifecycle
-
+    """Every event of every journal, with the keys of its payload and what they hold."""
     e = lifecycle.journal_events(t("decision_journals"))
-    text = F.coalesce(*(F.get_json_object("payload", f"$.{k}") for k in ("user_message", "cot_preview", "result_preview")), F.lit(""))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).cast("bigint").alias("chars"))
+    # One key a type, so a missing or null one doesn't fall through to another type's.
+    texts = {"invocation_start": "user_message", "prompt_capture": "invocation_state_keys", "cot_reasoning": "cot_preview", "tool_call": "tool_name", "tool_result": "result_preview", "evidence_seal": "integrity_hash"}
+    numbers = {"cot_reasoning": "latency_ms", "tool_result": "duration_ms", "evidence_seal": "total_tokens"}
+
+    def held(keys: dict[str, str]):
+        out = F.lit(None).cast("string")
+        for kind, key in keys.items():
+            out = F.when(F.col("event_type") == kind, F.get_json_object("payload", f"$.{key}")).otherwise(out)
+        return out
+
+    return e.select("record_id", F.col("seq").cast("bigint").alias("seq"), "event_type", F.array_join(F.json_object_keys("payload"), ",").alias("keys"), held(texts).alias("text"), held(numbers).cast("double").alias("number"))
 
 
 def _stream(name: str, sql: str, job):
@@ -503,13 +619,76 @@ def _stream(name: str, sql: str, job):
 _stream("stream_deduplicated", "SELECT event_type, count(DISTINCT event_id) AS n FROM agent_events GROUP BY event_type", lambda jobs, s: jobs.drained(jobs.deduplicated(s)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
 _stream(
     "stream_journal_fold",
-    f"""SELECT decision_journal_id AS journal_id, count(*) FILTER ({_KIND} = 'tool_call') AS tool_count, max(CASE WHEN {_KIND} = 'evidence_seal' THEN coalesce({_p("total_tokens", "BIGINT")}, 0) END) AS total_tokens
-FROM agent_events WHERE decision_journal_id IS NOT NULL GROUP BY decision_journal_id HAVING bool_or(coalesce({_KIND} = 'evidence_seal', false))""",
-    lambda jobs, s: jobs.drained(jobs.folded(s)),
+    f"""SELECT decision_journal_id AS journal_id, count(DISTINCT event_id) FILTER ({_KIND} = 'tool_call') AS tool_count, count(DISTINCT event_id) FILTER ({_KIND} = 'cot_reasoning') AS model_count,
+  max(CASE WHEN {_KIND} = 'evidence_seal' THEN coalesce({_p("total_tokens", "BIGINT")}, 0) END) AS total_tokens,
+  coalesce((SELECT string_agg(coalesce(name, '?'), '>' ORDER BY event_timestamp, event_id) FROM (SELECT DISTINCT ON (event_id) event_id, event_timestamp, {_p("tool_name")} AS name FROM agent_events b
+    WHERE b.decision_journal_id = a.decision_journal_id AND {_KIND} = 'tool_call' ORDER BY event_id, ingested_at)), '') AS tool_names
+FROM agent_events a WHERE decision_journal_id IS NOT NULL GROUP BY decision_journal_id HAVING bool_or(coalesce({_KIND} = 'evidence_seal', false))""",
+    lambda jobs, s: jobs.drained(jobs.folded(s)).select("journal_id", "tool_count", "model_count", "total_tokens", F.array_join(F.transform("tool_names", lambda x: F.coalesce(x, F.lit("?"))), ">").alias("tool_names")),
 )
 _stream(
     "stream_window_counts",
-    """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ingested_at) AS start_at, event_type FROM agent_events)
-SELECT epoch_us(start_at) AS window_us, event_type, count(*) AS n FROM w WHERE start_at + INTERVAL 1 HOUR <= (SELECT max(ingested_at) - INTERVAL 7 DAY FROM agent_events) GROUP BY start_at, event_type""",
-    lambda jobs, s: jobs.drained(jobs.counts(s)).select(F.unix_micros("window.start").alias("window_us"), "event_type", "n"),
+    "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ingested_at)) AS window_us, event_type, count(*) AS n FROM agent_events GROUP BY ALL",
+    lambda jobs, s: jobs.drained(jobs.counts(s), mode="complete").select(F.unix_micros("window.start").alias("window_us"), "event_type", "n"),
 )
+
+
+def _span_stream(jobs, spark: SparkSession, base: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{base}/spans.parquet").schema).parquet(f"{base}/spans.parque[t]")
+
+
+def stream_span_nesting(spark: SparkSession, base: str) -> DataFrame:
+    """Children with their parents, whichever arrives first."""
+    from tracewright.streaming import jobs
+
+    return jobs.drained(jobs.nested(_span_stream(jobs, prepare(spark), base)))
+
+
+def stream_token_delta(spark: SparkSession, base: str) -> DataFrame:
+    """Usage of each model call from snapshots of what its trace has used so far."""
+    from tracewright.streaming import jobs
+
+    prepare(spark)
+    rows = _span_stream(jobs, spark, base).where("span_kind = 'LLM' and token_count_prompt is not null and token_count_completion is not null and trace_id is not null")
+    snapshots = rows.select("trace_id", "span_id", F.col("ingested_at").alias("seen_at"), F.col("start_time").alias("at"), (F.col("token_count_prompt") + F.col("token_count_completion")).alias("total"))
+    return jobs.drained(jobs.usage(snapshots))
+
+
+def stream_gate_outcomes(spark: SparkSession, base: str) -> DataFrame:
+    """One outcome for each hold: the first answer in time, else a timeout."""
+    from tracewright.streaming import jobs
+
+    prepare(spark)
+    e = spark.readStream.schema(spark.read.parquet(f"{base}/events.parquet").schema).parquet(f"{base}/events.parque[t]").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    holds = e.where("event_type = 'purchase'").select(F.col("event_id").alias("hold_id"), F.col("at").alias("requested_at"))
+    after = lambda n: F.col("at") + F.make_interval(secs=F.lit(n))
+    made = F.explode(F.array(*(F.struct(after(n).alias("at"), s.alias("status")) for n, s in ((60, F.lit("pending")), (100, F.when(F.col("event_id") % 3 == 0, "approved")), (110, F.when(F.col("event_id") % 3 != 2, "denied")), (500, F.lit("approved"))))))
+    answers = e.where("event_type = 'purchase'").select(F.col("event_id").alias("hold_id"), made.alias("a")).select("hold_id", "a.at", "a.status")
+    return jobs.drained(jobs.gates(holds, answers)).select("hold_id", "outcome")
+
+
+def stream_consumed_decisions(spark: SparkSession, base: str) -> DataFrame:
+    """Verdicts on tool calls, each used by the first result of its key."""
+    from tracewright.streaming import jobs
+
+    prepare(spark)
+    j = spark.readStream.schema(spark.read.parquet(f"{base}/decision_journals.parquet").schema).parquet(f"{base}/decision_journals.parque[t]")
+    c = j.select("record_id", "ingested_at", F.posexplode("tool_calls").alias("i", "c")).select(F.col("record_id").cast("string").alias("journal_id"), F.col("i").cast("bigint").alias("seq"), F.coalesce("c.tool_name", F.lit("unknown")).alias("key"), "ingested_at")
+    verdicts = c.select("*", F.lit("verdict").alias("what"), F.when(F.col("seq") % 3 == 0, "BLOCK").when(F.col("seq") % 3 == 1, "GATE").alias("mark"))
+    results = c.select("*", F.lit("result").alias("what"), F.lit(None).cast("string").alias("mark"))
+    return jobs.drained(jobs.consumed(verdicts.unionByName(results)))
+
+
+for _f in (stream_span_nesting, stream_token_delta, stream_gate_outcomes, stream_consumed_decisions):
+    QUERIES[_f.__name__] = _f
+ORACLE |= {
+    "stream_span_nesting": f"WITH {_SPAN} SELECT DISTINCT c.span_id, c.parent_span_id, c.span_name, p.span_name AS parent_name FROM s c JOIN s p ON c.parent_span_id = p.span_id",
+    "stream_token_delta": """WITH x AS (SELECT DISTINCT ON (span_id) span_id, trace_id, start_time, token_count_prompt + token_count_completion AS total FROM spans
+  WHERE span_kind = 'LLM' AND token_count_prompt IS NOT NULL AND token_count_completion IS NOT NULL AND trace_id IS NOT NULL ORDER BY span_id, ingested_at)
+SELECT span_id, total - coalesce(lag(total) OVER (PARTITION BY trace_id ORDER BY start_time, span_id), 0) AS delta FROM x""",
+    "stream_gate_outcomes": "SELECT event_id AS hold_id, CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'denied' ELSE 'timeout' END AS outcome FROM events WHERE event_type = 'purchase'"
+    # Holds of the last minutes stay open until the watermark passes them.
+    " AND epoch_us(CAST(ts AS TIMESTAMP)) // 1000 + 120001 < (SELECT epoch_us(CAST(max(ts) AS TIMESTAMP)) // 1000 - 100000 FROM events WHERE event_type = 'purchase')",
+    "stream_consumed_decisions": """WITH c AS (SELECT record_id, unnest(range(len(tool_calls))) AS i, unnest(tool_calls).tool_name AS name FROM decision_journals)
+SELECT CAST(record_id AS VARCHAR) AS journal_id, i AS seq, coalesce(name, 'unknown') AS key, CASE i % 3 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'GATE' END AS enforced_decision FROM c""",
+}

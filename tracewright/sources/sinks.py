@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import hashing, redact
+from tracewright.operators.spans import otlp
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Events with their hash, appended and laid out by type and day, which lookups prune on."""
-    rows = events.withColumn("integrity_hash", hashing.event_hash()).withColumn("event_day", F.to_date("event_timestamp")).withColumn("type", F.lower(F.trim("event_type")))
+def append_events(events: DataFrame, path: str, redacted: bool = True) -> None:
+    """Events with their hash, appended and laid out by type and day, which lookups prune on; payloads redacted before they are hashed."""
+    rows = events.withColumn("payload", redact.redact_pii(F.col("payload"))) if redacted else events
+    rows = rows.withColumn("integrity_hash", hashing.event_hash()).withColumn("event_day", F.to_date("event_timestamp")).withColumn("type", F.lower(F.trim("event_type")))
     rows.write.mode("append").partitionBy("type", "event_day").parquet(path)
 
 
-def export_spans(spans: DataFrame, path: str, enabled: bool = True, columns: tuple[str, ...] = ("input_value", "output_value")) -> None:
-    """Spans as JSON lines in the export shape, free text redacted; nothing where export is off."""
-    if enabled:
-        spans.select(*(redact.redact_pii(F.col(c)).alias(c) if c in columns else F.col(c) for c in spans.columns)).write.mode("append").json(path)
+def export_spans(spans: DataFrame, path: str, enabled: bool = True, service_name: str = "agent") -> DataFrame:
+    """Spans as lines of the OTLP JSON mapping, free text redacted, appended to ``path``; returns what was written.
+
+    Where export is off nothing is written and the frame, of the same columns, is empty.
+    """
+    lines = otlp(spans, service_name)
+    if not enabled:
+        return lines.limit(0)
+    lines.select("line").write.mode("append").text(path)
+    return lines
 
 
 def clear(df: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ backfills. Event-time timers, not processing-time ones, so that a replay decides
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -32,43 +33,186 @@ def counts(events: DataFrame, window: str = "1 hour", late: str = "7 days") -> D
     return events.withWatermark("ingested_at", late).groupBy(F.window("ingested_at", window), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stateful(df: DataFrame, by: str, function, out: str, state: str) -> DataFrame:
+    return df.groupBy(by).applyInPandasWithState(function, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _later(state: GroupState, hours: int = 24) -> None:
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + hours * 3_600_000)
+
+
 def _folded(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
+    """State: what is known of the journal so far, as JSON: its tool calls by event (order and name), its model calls' events, its seal."""
     if state.hasTimedOut:
         state.remove()
         return
-    calls, tokens, sealed = state.get if state.exists else (0, 0, False)
+    held = json.loads(state.get[0]) if state.exists else {"tools": {}, "models": [], "tokens": None}
+    models = set(held["models"])
     for b in batches:
-        kind = b["event_type"].str.strip().str.lower()
-        calls += int((kind == "tool_call").sum())
-        seal = b[kind == "evidence_seal"]
-        if len(seal):
-            sealed, tokens = True, max(tokens, int(pd.to_numeric(seal["total_tokens"], errors="coerce").fillna(0).max()))
-    if sealed:
+        for kind, event, at, tool, tokens in zip(b["kind"], b["event_id"], b["at"], b["tool_name"], b["total_tokens"], strict=True):
+            if kind == "tool_call":
+                held["tools"].setdefault(event, [int(at), tool])
+            elif kind == "cot_reasoning":
+                models.add(event)
+            elif kind == "evidence_seal":
+                held["tokens"] = max(held["tokens"] or 0, int(tokens) if pd.notna(tokens) else 0)
+    if held["tokens"] is not None:
         # A seal closes the journal; a state that is kept would count a repeat twice.
         if state.exists:
             state.remove()
-        yield pd.DataFrame({"journal_id": [key[0]], "tool_count": [calls], "total_tokens": [tokens]})
+        names = [name for _, _, name in sorted((at, event, name) for event, (at, name) in held["tools"].items())] if held["tools"] else []
+        yield pd.DataFrame({"journal_id": [key[0]], "tool_count": [len(names)], "model_count": [len(models)], "total_tokens": [held["tokens"]], "tool_names": [names]})
     else:
-        state.update((calls, tokens, sealed))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 24 * 3_600_000)
+        held["models"] = sorted(models)
+        state.update((json.dumps(held),))
+        _later(state)
 
 
 def folded(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """(journal_id, tool_count, total_tokens) as soon as a journal's seal is seen; open ones are let go a day behind the watermark."""
-    rows = events.withWatermark("ingested_at", late).where("decision_journal_id is not null").select("decision_journal_id", "event_type", "ingested_at", F.get_json_object("payload", "$.total_tokens").alias("total_tokens"))
-    return rows.groupBy("decision_journal_id").applyInPandasWithState(_folded, "journal_id string, tool_count bigint, total_tokens bigint", "calls bigint, tokens bigint, sealed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    """(journal_id, tool_count, model_count, total_tokens, tool_names) as soon as a journal's seal is seen, repeats of an event once and names in the order of their
+    times; open journals are let go a day behind the watermark."""
+    kind = F.lower(F.trim("event_type"))
+    payload = F.from_json("payload", "total_tokens bigint, tool_name string")
+    rows = events.withWatermark("ingested_at", late).where("decision_journal_id is not null").where(kind.isin("tool_call", "cot_reasoning", "evidence_seal"))
+    rows = rows.select("decision_journal_id", kind.alias("kind"), "event_id", "ingested_at", F.coalesce(F.unix_micros("event_timestamp"), F.lit(0)).alias("at"), payload["tool_name"].alias("tool_name"), payload["total_tokens"].alias("total_tokens"))
+    return _stateful(rows, "decision_journal_id", _folded, "journal_id string, tool_count bigint, model_count bigint, total_tokens bigint, tool_names array<string>", "held string")
+
+
+def _first_answer(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
+    """State: when it was asked, until when, and the first answer so far."""
+    if state.hasTimedOut:
+        asked, end, at, status = state.get
+        state.remove()
+        if asked is not None:
+            yield pd.DataFrame({"hold_id": [key[0]], "requested_at": [pd.Timestamp(asked, unit="us", tz="UTC").tz_localize(None)], "outcome": [status if at is not None and asked <= at <= end else "timeout"]})
+        return
+    asked, end, at, status = state.get if state.exists else (None, None, None, None)
+    answers = [] if at is None else [(at, status)]
+    for b in batches:
+        for requested, until, when, said in zip(b["requested_us"], b["until_us"], b["at_us"], b["status"], strict=True):
+            if pd.notna(requested):
+                asked, end = int(requested), int(until)
+            elif pd.notna(when):
+                answers.append((int(when), said))
+    # Answers before the question or after its end are none; as long as it isn't known, the first is kept.
+    answers = sorted(x for x in answers if asked is None or asked <= x[0] <= end)
+    at, status = answers[0] if answers else (None, None)
+    state.update((asked, end, at, status))
+    if end is not None:
+        state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    else:
+        _later(state)
+
+
+def gates(requests: DataFrame, answers: DataFrame, timeout_s: int = 120, late: str = "10 minutes") -> DataFrame:
+    """(hold_id, requested_at, outcome), one for each hold: its first answer within the time, else ``timeout``, when the watermark has passed the deadline.
+
+    requests: (hold_id, requested_at); answers: (hold_id, at, status), pending and null ones count as none. Answers may come in any order
+    and before their question by up to ``late``; which was first is decided by ``at``.
+    """
+    none = F.lit(None).cast("bigint")
+    at = F.unix_micros("requested_at")
+    r = requests.select("hold_id", F.col("requested_at").alias("seen"), at.alias("requested_us"), (at + timeout_s * 1_000_000).alias("until_us"), none.alias("at_us"), F.lit(None).cast("string").alias("status"))
+    a = answers.where("coalesce(status, 'pending') <> 'pending'").select("hold_id", F.col("at").alias("seen"), none.alias("requested_us"), none.alias("until_us"), F.unix_micros("at").alias("at_us"), "status")
+    return _stateful(r.unionByName(a).withWatermark("seen", late), "hold_id", _first_answer, "hold_id " + dict(requests.dtypes)["hold_id"] + ", requested_at timestamp, outcome string", "asked bigint, until bigint, at bigint, status string")
+
+
+def _used(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
+    """State: the last snapshot and the calls already given out."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last, seen = (state.get[0], set(json.loads(state.get[1]))) if state.exists else (0, set())
+    rows = pd.concat(list(batches)).sort_values("seen_at", kind="stable").drop_duplicates("span_id")
+    ids, deltas = [], []
+    for span, total in zip(*(rows.sort_values(["at", "span_id"])[c] for c in ("span_id", "total")), strict=True):
+        if span not in seen:
+            seen.add(span)
+            ids.append(span)
+            deltas.append(int(total) - last)
+            last = int(total)
+    state.update((last, json.dumps(sorted(seen))))
+    _later(state)
+    yield pd.DataFrame({"span_id": ids, "delta": deltas})
+
+
+def usage(snapshots: DataFrame, late: str = "7 days") -> DataFrame:
+    """(span_id, delta) of snapshots (trace_id, span_id, seen_at, at, total): what each call adds to what its trace had used before; the first is kept whole.
+
+    Within a batch snapshots are put in order of ``at``; over batches arrival decides.
+    """
+    return _stateful(snapshots.withWatermark("seen_at", late), "trace_id", _used, "span_id string, delta bigint", "last bigint, seen string")
+
+
+def _consumed(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
+    """State: verdicts without a result and results without a verdict, in order."""
+    if state.hasTimedOut:
+        _, results = (json.loads(x) for x in state.get)
+        state.remove()
+    else:
+        verdicts, results = ([json.loads(x) for x in state.get]) if state.exists else ([], [])
+        for b in batches:
+            for what, seq, mark in zip(b["what"], b["seq"], b["mark"], strict=True):
+                (verdicts if what == "verdict" else results).append([int(seq), mark if isinstance(mark, str) else None])
+        verdicts.sort(key=lambda x: x[0])
+        results.sort(key=lambda x: x[0])
+        n = min(len(verdicts), len(results))
+        done = [(results[i][0], verdicts[i][1]) for i in range(n)]
+        if n < max(len(verdicts), len(results)):
+            state.update((json.dumps(verdicts[n:]), json.dumps(results[n:])))
+            _later(state)
+        elif state.exists:
+            state.remove()
+        results = []
+        if done:
+            yield _marks(key, done)
+    if results:
+        yield _marks(key, [(seq, None) for seq, _ in results])
+
+
+def _marks(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    journal, name = key[0].split("\x1f", 1)
+    return pd.DataFrame({"journal_id": journal, "seq": [r[0] for r in rows], "key": name, "enforced_decision": pd.Series([r[1] for r in rows], dtype="object")})
 
 
-def gates(requests: DataFrame, answers: DataFrame, timeout: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
-    """(hold_id, outcome, requested_at): the answer within the time, else ``timeout`` when the watermark has passed it.
+def consumed(calls: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(journal_id, seq, key, enforced_decision) of every result; each verdict is used once, by the next result of its journal and key.
 
-    requests: (hold_id, requested_at); answers: (hold_id, at, status), pending ones left out. A stream-stream outer join
-    bounded in time, so state is dropped as the watermark moves; of several answers each comes out, the first by ``at`` counts.
+    calls: verdicts and results in one stream, (journal_id, key, seq, what ``verdict`` or ``result``, mark, ingested_at). A result waits for its
+    verdict, at most a day behind the watermark, and comes out without one then.
     """
-    r = requests.withWatermark("requested_at", late)
-    a = answers.where("coalesce(status, 'pending') <> 'pending'").select(F.col("hold_id").alias("for_hold"), "at", "status").withWatermark("at", late)
-    on = F.expr(f"hold_id = for_hold AND at >= requested_at AND at <= requested_at + INTERVAL {timeout}")
-    return r.join(a, on, "leftOuter").select("hold_id", "requested_at", "at", F.coalesce("status", F.lit("timeout")).alias("outcome"))
+    one = F.concat_ws("\x1f", "journal_id", "key").alias("slot")
+    rows = calls.withWatermark("ingested_at", late).select(one, "seq", "what", "mark", "ingested_at")
+    return _stateful(rows, "slot", _consumed, "journal_id string, seq bigint, key string, enforced_decision string", "verdicts string, results string")
+
+
+def _met(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
+    """State: the parent's name once it is there, until then the children that wait, and which children came out."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    there, name, waiting, out = (state.get[0], state.get[1], json.loads(state.get[2]), set(json.loads(state.get[3]))) if state.exists else (False, None, {}, set())
+    for b in batches:
+        for role, span, own in zip(b["role"], b["span_id"], b["span_name"], strict=True):
+            if role == "parent":
+                there, name = True, own if not there else name
+            elif span not in out:
+                waiting.setdefault(span, own)
+    ready = waiting if there else {}
+    if there:
+        out.update(ready)
+        waiting = {}
+    state.update((there, name, json.dumps(waiting), json.dumps(sorted(out))))
+    _later(state)
+    if ready:
+        yield pd.DataFrame({"span_id": list(ready), "parent_span_id": key[0], "span_name": pd.Series(list(ready.values()), dtype="object"), "parent_name": pd.Series([name] * len(ready), dtype="object")})
+
+
+def nested(spans: DataFrame, late: str = "7 days") -> DataFrame:
+    """(span_id, parent_span_id, span_name, parent_name), whichever of the two arrives first; children wait for their parent a day behind the watermark, repeats come once."""
+    roles = F.explode(F.array(F.struct(F.lit("parent").alias("role"), F.col("span_id").alias("meets")), F.struct(F.lit("child").alias("role"), F.col("parent_span_id").alias("meets"))))
+    rows = spans.withWatermark("ingested_at", late).select("span_id", "span_name", "ingested_at", roles.alias("r")).select("span_id", "span_name", "ingested_at", "r.role", "r.meets").where("meets is not null")
+    return _stateful(rows, "meets", _met, "span_id string, parent_span_id string, span_name string, parent_name string", "there boolean, name string, waiting string, done string")
 
 
 def subscribed(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], None]], on_error: Callable[[Exception], None] | None = None):
@@ -89,10 +233,17 @@ def subscribed(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], Non
     return stream.writeStream.foreachBatch(each)
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Runs ``stream`` over what is there now and gives its rows as a table in the shared checkpoint folder."""
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs ``stream`` over what is there now and gives its rows as a table in the shared folder.
+
+    ``complete`` gives aggregates whose windows are still open too.
+    """
     spark = prepare(stream.sparkSession)
     folder = new_folder(spark)
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    if mode == "complete":
+        writer = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
+    else:
+        writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
+    query = writer.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
