@@ -36,11 +36,11 @@ def test_the_cheap_test_lets_all_finds_through(spark):
 
 
 def test_rewritten(spark):
-    rows = [("f", "1", -1, "Write to a.b@mail.example or A.B@MAIL.EXAMPLE, not to c@mail.example."), ("f", "2", -1, "Again a.b@mail.example"), ("f", "3", -1, "nothing"), ("f", "3", -1, "nothing"), ("f", "4", -1, None), ("f", "5", -1, ""), ("f", "6", -1, "Mail x@y.example"), ("f", "6", -1, "Mail to x@y.example twice")]
+    rows = [("f", "1", -1, "Write to a.b@mail.example or A.B@MAIL.EXAMPLE, not to c@mail.example."), ("f", "2", -1, "Again a.b@mail.example"), ("f", "3", -1, "nothing"), ("f", "3", -1, "nothing"), ("f", "4", -1, None), ("f", "5", -1, ""), ("f", "6", -1, "Mail x@y.example"), (None, None, None, "Mail x@y.example"), ("f", "6", -1, "Mail to x@y.example twice")]
     got = {r["row_key"]: r for r in pii.rewritten(fields(spark, rows), KEY).collect()}
-    assert set(got) == set("123456") and got["3"]["redacted"] == got["3"]["surrogate_text"] == "nothing" and got["4"]["redacted"] is None
+    assert set(got) == {*"123456", None} and got[None]["redacted"] == "Mail [EMAIL]" and got["3"]["redacted"] == got["3"]["surrogate_text"] == "nothing" and got["4"]["redacted"] is None
     every = pii.rewritten(fields(spark, rows), KEY).collect()
-    assert len(every) == 7 and {r["redacted"] for r in every if r["row_key"] == "6"} == {"Mail [EMAIL]", "Mail to [EMAIL] twice"}
+    assert len(every) == 9 and {r["redacted"] for r in every if r["row_key"] == "6"} == {"Mail [EMAIL]", "Mail to [EMAIL] twice"}
     assert got["1"]["redacted"] == "Write to [EMAIL] or [EMAIL], not to [EMAIL]." == pii.redact(rows[0][3])
     first = got["2"]["surrogate_text"].removeprefix("Again ")
     assert first in got["1"]["surrogate_text"] and first != "a.b@mail.example" and first.lower() == pii.fold("email", got["1"]["surrogate_text"].split(" or ")[1].split(",")[0])

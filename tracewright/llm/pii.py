@@ -507,7 +507,7 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rewritten(fields: DataFrame, key: bytes) -> DataFrame:
-    """(source_field, row_key, call_no, redacted, surrogate_text) of every text; the same where nothing is found. Copies of a row that are alike come once.
+    """(source_field, row_key, call_no, redacted, surrogate_text) of every text as often as it is stored; the same where nothing is found.
 
     Texts are read and searched once; only those with values are shuffled, by a hash of place and text.
     """
@@ -515,9 +515,9 @@ def rewritten(fields: DataFrame, key: bytes) -> DataFrame:
     suspect = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False)).alias("suspect")
     read = settled(fields.select(*by, "text", suspect).mapInArrow(_replaced, PLACED))
     plain = read.where(F.size("places") == 0).select(*by, "redacted", F.col("text").alias("surrogate_text"))
-    held = read.where(F.size("places") > 0).dropDuplicates([*by, "text"]).withColumn("id", F.xxhash64(*by, "text"))
-    each = held.select("id", *by, F.posexplode("places").alias("n", "p")).select("id", *by, "n", "p.*")
+    held = read.where(F.size("places") > 0).withColumn("id", F.sha2(F.to_json(F.struct(*by, "text")), 256))
+    each = held.select("id", F.explode("places").alias("p")).select("id", "p.*").distinct()
     table = surrogate_table(each, key).select("pii_type", "pii_value", "surrogate")
-    placed = each.join(table, ["pii_type", "pii_value"]).groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "surrogate"))).alias("new"))
-    changed = held.drop("places").join(placed.withColumnRenamed("new", "places"), ["id", *by]).select(*by, "redacted", _rebuilt("surrogate").alias("surrogate_text"))
-    return plain.dropDuplicates().unionByName(changed)
+    placed = each.join(table, ["pii_type", "pii_value"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "surrogate"))).alias("places"))
+    changed = held.drop("places").join(placed, "id").select(*by, "redacted", _rebuilt("surrogate").alias("surrogate_text"))
+    return plain.unionByName(changed)
