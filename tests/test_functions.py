@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +28,13 @@ def test_redaction_of_null_and_long(spark):
     assert one(spark, "x " * 200_000 + "a@b.co", redact.redact_pii).endswith("x [EMAIL]")
 
 
+def test_each_run_is_tried_once_with_the_same_result(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b.", "@", "co", ".", "-", "_", " ", "é", "1", "a@b.co"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", redact._EMAIL_ONCE, "<>")).collect()]
+    assert got == [re.sub(redact.EMAIL, "<>", t) for t in texts]
+
+
 def test_sql_function(spark):
     redact.register(spark, "r")
     df = spark.createDataFrame([(c,) for c in _CASES], "v string")

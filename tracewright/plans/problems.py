@@ -83,12 +83,14 @@ judged AS (
   FROM refs r LEFT JOIN born b ON r.key = b.key LEFT JOIN gone g ON r.key = g.key
 )"""
 
-_NODES = """
-WITH m AS (SELECT record_id, unnest(range(len(model_calls))) AS i, unnest(model_calls) AS c FROM decision_journals),
+_ROOTS = """
+m AS (SELECT record_id, unnest(range(len(model_calls))) AS i, unnest(model_calls) AS c FROM decision_journals),
 t AS (SELECT record_id, 'tool_calls[' || unnest(range(len(tool_calls))) || ']' AS call, unnest(tool_calls).tool_args AS args FROM decision_journals),
 once AS (SELECT record_id, call, CASE WHEN json_valid(args) THEN CASE WHEN json_type(args) = 'VARCHAR' THEN args ->> '$' ELSE args END END AS held FROM t),
-r AS (SELECT record_id, call, CASE WHEN json_valid(held) THEN CAST(held AS JSON) END AS root FROM once),
-n AS (SELECT r.record_id, r.call, j.fullkey AS k FROM r, json_tree(r.root) AS j WHERE j.type = 'OBJECT')
+r AS (SELECT record_id, call, CASE WHEN json_valid(held) THEN CAST(held AS JSON) END AS root FROM once)"""
+
+_NODES = f"""
+WITH {_ROOTS}, n AS (SELECT r.record_id, r.call, j.fullkey AS k FROM r, json_tree(r.root) AS j WHERE j.type = 'OBJECT')
 SELECT record_id, '' AS parent_path, 'model_calls[' || i || ']' AS node_path FROM m
 UNION ALL SELECT record_id, 'model_calls[' || i || ']', 'model_calls[' || i || '].token_usage' FROM m WHERE cardinality(c.token_usage) > 0
 UNION ALL SELECT record_id, '', call FROM t
@@ -96,8 +98,18 @@ UNION ALL SELECT record_id, CASE WHEN regexp_matches(k, '^\\$(\\[[0-9]+\\])*$')
   WHEN regexp_replace(k, '\\.[^.\\[\\]]+(\\[[0-9]+\\])*$', '') = '$' THEN call || '.tool_args'
   ELSE call || '.tool_args' || substr(regexp_replace(k, '\\.[^.\\[\\]]+(\\[[0-9]+\\])*$', ''), 2) END, call || '.tool_args' || substr(k, 2) FROM n"""
 
+# Objects, and elements of arrays that are no object and no array with something in it.
+_TABLES = f"""
+WITH {_ROOTS}, n AS (SELECT j.fullkey AS k FROM r, json_tree(r.root) AS j WHERE j.type = 'OBJECT' OR (regexp_matches(j.fullkey, '\\]$') AND (j.type <> 'ARRAY' OR CAST(j.value AS VARCHAR) = '[]'))),
+p AS (
+  SELECT 'journals' AS table_path, 0 AS depth FROM decision_journals UNION ALL SELECT 'model_calls[]', 2 FROM m UNION ALL SELECT 'model_calls[].token_usage', 3 FROM m WHERE cardinality(c.token_usage) > 0
+  UNION ALL SELECT 'tool_calls[]', 2 FROM t UNION ALL SELECT 'tool_calls[].tool_args' || regexp_replace(substr(k, 2), '\\[[0-9]+\\]', '[]', 'g'), 3 + len(regexp_extract_all(k, '\\.[^.\\[\\]]+|\\[[0-9]+\\]')) FROM n
+)
+SELECT table_path, count(*) AS n_rows, CAST(max(depth) AS INTEGER) AS depth FROM p GROUP BY table_path"""
+
 ORACLE = {
     "p3_found": _NODES,
+    "p3_tables": _TABLES,
     "p3_tool_calls": """WITH t AS (SELECT record_id, unnest(range(len(tool_calls))) AS i, unnest(tool_calls) AS c FROM decision_journals)
 SELECT record_id, 'tool_calls[' || i || ']' AS node_path, '' AS parent_path, c.tool_name, c.result, c.duration_ms FROM t""",
     "p3_usages": """WITH m AS (SELECT record_id, unnest(range(len(model_calls))) AS i, unnest(model_calls) AS c FROM decision_journals)
