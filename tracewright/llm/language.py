@@ -34,15 +34,14 @@ _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _OTHER = re.compile(r"[Ѐ-ۿݐ-ݿऀ-ॿ฀-๿぀-ヿ㐀-鿿가-힯ｦ-ﾟ]")
 
 
-def scores(text: str) -> dict[str, float]:
-    """Evidence for each language: its own letters, or its function words (shared ones count in part)."""
-    found: dict[str, float] = {}
+Evidence = dict[str, float]
+
+
+def evidence(text: str) -> Evidence:
+    """Letters of each script's language, and function words (shared ones count in part); sums up over the parts of a text."""
+    found: Evidence = {}
     if _OTHER.search(text):
-        own = {lang: len(r.findall(text)) for lang, r in _SCRIPTS}
-        if own["ja"]:
-            own["ja"] += own["zh"]
-            own["zh"] = 0
-        found = {lang: n / 2 for lang, n in own.items() if n}
+        found = {lang: n / 2 for lang, r in _SCRIPTS if (n := len(r.findall(text)))}
     for w in _WORD.findall(text.lower()):
         owners = _OWNER.get(w)
         if owners:
@@ -51,13 +50,35 @@ def scores(text: str) -> dict[str, float]:
     return found
 
 
-def guess(text: str, margin: float = 1.0) -> tuple[str | None, float]:
-    """(language, lead over the next); None where there is too little to go by."""
-    found = sorted(scores(text).items(), key=lambda x: (-x[1], x[0]))
-    if not found:
+def judged(found: Evidence, margin: float = 1.0) -> tuple[str | None, float]:
+    """(language, lead over the next); None where there is too little to go by. Han signs beside kana are Japanese."""
+    if "ja" in found and "zh" in found:
+        found = {k: v for k, v in found.items() if k != "zh"} | {"ja": found["ja"] + found["zh"]}
+    order = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+    if not order:
         return None, 0.0
-    lead = found[0][1] - (found[1][1] if len(found) > 1 else 0.0)
-    return (found[0][0] if lead >= margin else None), lead
+    lead = order[0][1] - (order[1][1] if len(order) > 1 else 0.0)
+    return (order[0][0] if lead >= margin else None), lead
+
+
+def added(parts: list[Evidence]) -> Evidence:
+    out: Evidence = {}
+    for p in parts:
+        for lang, n in p.items():
+            out[lang] = out.get(lang, 0) + n
+    return out
+
+
+def scores(text: str) -> Evidence:
+    """Evidence for each language, Han signs beside kana as Japanese."""
+    found = evidence(text)
+    if "ja" in found and "zh" in found:
+        found["ja"] += found.pop("zh")
+    return found
+
+
+def guess(text: str, margin: float = 1.0) -> tuple[str | None, float]:
+    return judged(evidence(text), margin)
 
 
 # Names of languages, each in the languages above.
@@ -89,7 +110,8 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？।])\s*|\n+")
 
 def asked_for(question: str) -> str | None:
     """The language a question asks its answer to be in, if it does."""
-    if not _NAME.search(question):
+    low = question.lower()
+    if not any(n in low for n in _NAMED) or not _NAME.search(question):
         return None
     for s in _SENTENCE.split(question):
         if (m := _NAME.search(s)) and _ASKS.search(s):

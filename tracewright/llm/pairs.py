@@ -35,18 +35,22 @@ from tracewright.sources.tables import settled, spread
 _WORDS = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _HAS = re.compile(r"[^\W_]")
-# How speakers of these languages decline.
+# How speakers of these languages decline, in lower case.
 _DECLINES = re.compile(
-    r"(?:\b(?:can(?:'|’)?t|cannot|can not|could not|couldn't|unable to|not able to|(?:won(?:'|’)?t|will not)(?: be able to)?|not (?:permitted|allowed) to|not going to) (?:to )?(?:help|assist|answer|respond|provide|share|discuss|comply|do (?:that|this)|support|fulfil\w*|engage|go into|give|comment)"
-    r"|\b(?:must|have to|need to|will) (?:decline|refuse)\b|\bi (?:decline|refuse)\b|\brather not\b|something i (?:won(?:'|’)?t|can(?:'|’)?t|cannot|will not) (?:do|help)|not be appropriate for me|beyond what i am (?:permitted|allowed|able)|against my (?:rules|guidelines|policy)"
-    r"|\bno puedo (?:ayudar|responder|asistir|hacer|dar|facilitar|compartir)|\bno me está permitido|\bdebo (?:rechazar|declinar)|\bno estoy autorizad|\bprefiero no|\bme niego"
-    r"|\bmuss ich (?:leider )?(?:ablehnen|verweigern|absagen)|ablehnen müssen|\bkann ich (?:leider )?nicht (?:helfen|beantworten|weiterhelfen|dienen)|\bkeine auskunft|\bdarf ich (?:leider )?(?:nicht|keine)|(?:anfrage|bitte) (?:leider )?(?:muss ich )?ablehnen|kann (?:ihnen|dir) (?:dabei |hierbei )?nicht helfen|möchte ich (?:lieber )?nicht"
-    r"|\bne (?:peux|puis) pas (?:vous |t'|te )?(?:aider|répondre|fournir|donner|faire)|\bdois (?:refuser|décliner)|\bne suis pas (?:autorisée?|en mesure)|\bpréfère ne pas|\brefuser cette demande|il ne m'est pas permis|m'est impossible de"
-    r"|不能(?:回答|帮|协助|提供|处理)|无法(?:回答|帮|协助|提供|处理|满足)|必须拒绝|不便(?:回答|透露)|不允许(?:我)?(?:回答|讨论)|恕难|拒绝(?:回答|这|该|此)"
+    r"\b(?:"
+    r"(?:can(?:'|’)?t|cannot|can not|could not|couldn't|unable to|not able to|(?:won(?:'|’)?t|will not)(?: be able to)?|not (?:permitted|allowed) to|not going to) (?:to )?(?:help|assist|answer|respond|provide|share|discuss|comply|do (?:that|this)|support|fulfil\w*|engage|go into|give|comment)"
+    r"|(?:must|have to|need to|will) (?:decline|refuse)\b|i (?:decline|refuse)\b|rather not\b|something i (?:won(?:'|’)?t|can(?:'|’)?t|cannot|will not) (?:do|help)|not be appropriate for me|beyond what i am (?:permitted|allowed|able)|against my (?:rules|guidelines|policy)"
+    r"|no puedo (?:ayudar|responder|asistir|hacer|dar|facilitar|compartir)|no me está permitido|debo (?:rechazar|declinar)|no estoy autorizad|prefiero no|me niego"
+    r"|muss ich (?:leider )?(?:ablehnen|verweigern|absagen)|ablehnen müssen|kann ich (?:leider )?nicht (?:helfen|beantworten|weiterhelfen|dienen)|keine auskunft|darf ich (?:leider )?(?:nicht|keine)|(?:anfrage|bitte) (?:leider )?(?:muss ich )?ablehnen|kann (?:ihnen|dir) (?:dabei |hierbei )?nicht helfen|möchte ich (?:lieber )?nicht"
+    r"|ne (?:peux|puis) pas (?:vous |t'|te )?(?:aider|répondre|fournir|donner|faire)|dois (?:refuser|décliner)|ne suis pas (?:autorisée?|en mesure)|préfère ne pas|refuser cette demande|il ne m'est pas permis|m'est impossible de"
+    r")"
+)
+_DECLINES_CJK = re.compile(
+    r"不能(?:回答|帮|协助|提供|处理)|无法(?:回答|帮|协助|提供|处理|满足)|必须拒绝|不便(?:回答|透露)|不允许(?:我)?(?:回答|讨论)|恕难|拒绝(?:回答|这|该|此)"
     r"|(?:お応え|お答え|お手伝い|対応|回答|ご案内|お受け)(?:は|を|が)?(?:いたしかね|でき(?:ません|ない|かね)|しかね|することができません|控え|できません)|お断り|お答えを控え|差し控え|お応えできません|応じられません"
-    r"|अस्वीकार करना|मदद नहीं कर|सहायता नहीं कर|उत्तर नहीं दे|जवाब नहीं दे|जानकारी नहीं दे|अनुमति नहीं|मना करना|इनकार करन)",
-    re.I,
 )
+_DECLINES_DEVA = re.compile(r"अस्वीकार करना|मदद नहीं कर|सहायता नहीं कर|उत्तर नहीं दे|जवाब नहीं दे|जानकारी नहीं दे|अनुमति नहीं|मना करना|इनकार करन")
+_DEVA = re.compile(r"[ऀ-ॿ]")
 _APOLOGY = re.compile(
     r"\b(?:sorry|apologi[sz]e|unfortunately|regret|afraid|thanks for asking|lo siento|lamentablemente|lamento|disculpa|perdón|desafortunadamente|tut mir leid|leider|bedauer\w*|entschuldig\w*|désolée?|malheureusement|regrette|navrée?)\b|抱歉|遗憾|对不起|申し訳|恐れ入り|残念|あいにく|क्षमा|माफ़|माफ|खेद|दुर्भाग्य",
     re.I,
@@ -72,8 +76,11 @@ _LONG = re.compile(r"[^\W\d_]{4,}|\d{2,}")
 
 def _grams(text: str) -> list[str]:
     """Words, and single characters where a script has no blanks."""
+    words = _WORDS.findall(text.lower())
+    if not _CJK.search(text):
+        return words
     out: list[str] = []
-    for w in _WORDS.findall(text.lower()):
+    for w in words:
         out.extend(w) if _CJK.search(w) else out.append(w)
     return out
 
@@ -84,8 +91,11 @@ def _shingles(grams: list[str], n: int) -> list[tuple[str, ...]]:
 
 def _topics(text: str) -> set[str]:
     """Longer words that aren't everyday ones, and numbers; pairs of signs where a script has no blanks."""
+    words = _LONG.findall(text.lower())
+    if not _CJK.search(text):
+        return {w for w in words if w not in language.EVERYDAY}
     out: set[str] = set()
-    for w in _LONG.findall(text.lower()):
+    for w in words:
         if _CJK.search(w):
             out.update(w[i : i + 2] for i in range(len(w) - 1))
         elif w not in language.EVERYDAY:
@@ -108,6 +118,11 @@ def _overlap(question: list[str], answer: str) -> list[int]:
     return [sum(there) >= 0.9 * len(own), len(asked.intersection(own)) >= 0.6 * len(asked), all(there[-3:]), longest >= 0.8 * len(own)]
 
 
+def _declines(text: str) -> bool:
+    low = text.lower()
+    return bool(_DECLINES.search(low) or _CJK.search(low) and _DECLINES_CJK.search(low) or _DEVA.search(low) and _DECLINES_DEVA.search(low))
+
+
 class Question:
     """What is read of a question once for all its answers."""
 
@@ -128,7 +143,7 @@ def votes(question: Question, answer: str | None, cap: int, profiles: Profiles)
     if held:
         first = text.lstrip()
         start = _FIRST.search(first)
-        out["refusal"] = [bool(_DECLINES.search(text)), bool(_APOLOGY.search(first[: start.start()] if start else first)), not _SOLID.search(text), question.topics.isdisjoint(_topics(text)) if question.text else ABSTAIN]
+        out["refusal"] = [_declines(text), bool(_APOLOGY.search(first[: start.start()] if start else first)), not _SOLID.search(text), question.topics.isdisjoint(_topics(text)) if question.text else ABSTAIN]
     else:
         out["refusal"] = [NO, NO, ABSTAIN, ABSTAIN]
     end = endings.ending(text)
@@ -136,8 +151,9 @@ def votes(question: Question, answer: str | None, cap: int, profiles: Profiles)
     out["truncated"] = [ABSTAIN] * 4 if end == endings.NOTHING else [end in (endings.OPEN, endings.MARKED), end == endings.MARKED, len(text) >= cap, last in ",;、，" or unicodedata.category(last)[0] in "LMN"]
     if held and question.language:
         expected = question.language
-        found, lead = language.guess(text, 0.5)
-        parts = [p for s in language._SENTENCE.split(text) if (p := language.guess(s, 0.5)[0])]
+        each = [language.evidence(s) for s in language._SENTENCE.split(text)]
+        found, lead = language.judged(language.added(each), 0.5)
+        parts = [p for e in each if (p := language.judged(e, 0.5)[0])]
         letters, sure = profiles.guess(text)
         out["wrong_language"] = [
             ABSTAIN if found is None else _SCRIPT.get(found) != _SCRIPT.get(expected),

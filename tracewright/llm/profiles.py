@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents to fit on, per language; runs of letters kept per language; documents a language needs.
 PER_LANGUAGE, RUNS, LEAST = 2000, 3000, 5
+#: Words whose score is kept, and how long they may be.
+WORDS, WORD = 100_000, 24
 _OTHER = re.compile(r"```.*?(?:```|$)|`[^`\n]+`|https?://\S+|[\W\d_]+", re.S)
 
 
@@ -36,15 +38,34 @@ class Profiles:
     rows: dict[str, int] = field(default_factory=dict)
     chances: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    #: Scores of words seen before, and the last text with its result; both only save time.
+    words: dict[str, np.ndarray] = field(default_factory=dict)
+    last: tuple[str, tuple[str | None, float]] = ("", (None, 0.0))
+
+    def _word(self, word: str) -> np.ndarray:
+        bare = f" {word} "
+        rows = [i for a, b, c in zip(bare, bare[1:], bare[2:], strict=False) if (i := self.rows.get(a + b + c)) is not None]
+        return self.chances[rows].sum(0)
+
     def guess(self, text: str) -> tuple[str | None, float]:
-        """(language, lead of its log probability over the next)."""
-        got = [(self.rows[r], n) for r, n in runs(text).items() if r in self.rows]
-        if not got or len(self.languages) < 2:
-            return None, 0.0
-        at, times = zip(*got, strict=True)
-        score = np.array(times, float) @ self.chances[list(at)]
-        order = np.argsort(score)[::-1]
-        return self.languages[order[0]], float(score[order[0]] - score[order[1]])
+        """(language, lead of its log probability over the next). Runs never go beyond a word, so words are scored once."""
+        if text == self.last[0]:
+            return self.last[1]
+        result: tuple[str | None, float] = (None, 0.0)
+        if len(self.languages) > 1:
+            total = np.zeros(len(self.languages))
+            for w in _OTHER.sub(" ", text.lower()).split():
+                score = self.words.get(w)
+                if score is None:
+                    score = self._word(w)
+                    if len(w) <= WORD and len(self.words) < WORDS:
+                        self.words[w] = score
+                total += score
+            if total.any():
+                order = np.argsort(total)[::-1]
+                result = self.languages[order[0]], float(total[order[0]] - total[order[1]])
+        self.last = text, result
+        return result
 
 
 def fitted(counts: list[tuple[str, str, int]]) -> Profiles:
