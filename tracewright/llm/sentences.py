@@ -36,6 +36,7 @@ _MARK = re.compile(r"(?:\.{2,}|[.!?…。！？।॥؟۔｡])(?:[.!?…。！
 _OPEN, _CLOSE = "“«„「『（(【〈《‘", "”»“」』）)】〉》’"
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "〈": "〉", "《": "》"}
 _CLOSERS = "\"”»“」』）)】〉》]'’"
+_BRACKET = re.compile(r"[\"“”«»„「」『』（）()【】〈〉《》]")
 _FULL = "。！？｡"
 _UNCASED = re.compile(r"[֐-ࣿऀ-᫿぀-ヿ㐀-鿿가-힯]")
 _THAI = re.compile(r"[฀-๿]")
@@ -134,12 +135,13 @@ def _blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def protected(text: str) -> list[tuple[int, int, str]]:
     """(start, end, closing sign) of quotes and brackets, of links and of code within a block."""
-    out = [(m.start(), m.end(), "u") for m in _URL.finditer(text)]
-    out += [(m.start(), m.end(), "`") for m in _CODE.finditer(_blanked(text, out))]
-    free = _blanked(text, out)
+    out = [(m.start(), m.end(), "u") for m in _URL.finditer(text)] if "://" in text or "www." in text else []
+    if "`" in text:
+        out += [(m.start(), m.end(), "`") for m in _CODE.finditer(_blanked(text, out))]
+    free = _blanked(text, out) if out else text
     stack: list[tuple[int, str]] = []
     straight = -1
-    for m in re.finditer(r"[\"“”«»„「」『』（）()【】〈〉《》]", free):
+    for m in _BRACKET.finditer(free):
         c, i = m[0], m.start()
         if c == '"':
             if straight >= 0:
@@ -199,7 +201,11 @@ def observe(text: str, seen: Counter, words: Counter) -> None:
     for start, end, words_at, code in blocks(text):
         if code:
             continue
-        part = _CODE.sub(lambda m: " " * len(m[0]), _URL.sub(lambda m: " " * len(m[0]), text[words_at:end]))
+        part = text[words_at:end]
+        if "://" in part or "www." in part:
+            part = _URL.sub(lambda m: " " * len(m[0]), part)
+        if "`" in part:
+            part = _CODE.sub(lambda m: " " * len(m[0]), part)
         words.update(_WORD.findall(part))
         first = _WORD.search(part)
         if first:
@@ -284,7 +290,7 @@ def learn(documents: DataFrame, starter_ratio: float = 30.0, capital_ratio: floa
     any size; the words that pass reach the driver."""
     seen = settled(spread(documents.select("lang", "text")).mapInArrow(_observed, SEEN).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     single = seen.where("kind != 'f'").groupBy("lang", "key").pivot("kind", ["n", "m", "p", "i", "s", "a", "c", "d"]).sum("n").na.fill(0)
-    single = single.withColumn("w", F.greatest(F.col("a") - F.col("p"), F.lit(0)))
+    single = settled(single.withColumn("w", F.greatest(F.col("a") - F.col("p"), F.lit(0))))
     # Totals by aggregation, not over windows, so that no language's vocabulary meets in one task; a row for each two-letter code.
     words = single.where("key != ''")
     totals = single.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("s").alias("starts"), F.sum("p").alias("periods"))
@@ -488,7 +494,7 @@ def _thai_break(text: str, a: int, b: int) -> bool:
     if a == 0 or b >= len(text):
         return False
     left, right = text[a - 1], text[b]
-    if not _THAI.search(text[max(0, a - 60) : b + 60]) or left.isdigit() or right.isdigit():
+    if left.isdigit() or right.isdigit():
         return False
     return (left.isalpha() or _THAI.match(left) is not None) and (_THAI.match(right) is not None or right.isalpha() and _THAI.match(left) is not None)
 
