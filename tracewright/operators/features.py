@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.sources.tables import clean_key
+from tracewright.sources.tables import clean_key, settled
 
 NEVER = np.iinfo(np.int64).min
 #: Cells planned for the dense block of one bucket, agents x types, of 4 x 8 bytes each.
@@ -171,8 +171,11 @@ def event_features(events: DataFrame, buckets: int | None = None, long: bool = F
     agent and type that occur together instead.
     """
     kind = F.coalesce(clean_key("event_type"), F.lit("untyped"))
-    facts = events.agg(F.floor(F.unix_micros(F.max("ingested_at")) / F.lit(1_000_000)).alias("now"), F.approx_count_distinct(clean_key("agent_id"), 0.05).alias("agents")).first()
-    names = sorted(r["kind"] for r in events.select(kind.alias("kind")).distinct().collect())
+    # One pass: a row for each type, from which the rest is read.
+    sketch = F.hll_sketch_agg(F.coalesce(clean_key("agent_id"), F.lit("")))
+    seen = settled(events.groupBy(kind.alias("kind")).agg(F.max("ingested_at").alias("latest"), sketch.alias("agents")))
+    names = sorted(r["kind"] for r in seen.select("kind").collect())
+    facts = seen.agg(F.floor(F.unix_micros(F.max("latest")) / F.lit(1_000_000)).alias("now"), F.hll_sketch_estimate(F.hll_union_agg("agents")).alias("agents")).first()
     if not names:
         none = events.select(clean_key("agent_id").alias("agent_id")).limit(0)
         return none.selectExpr("agent_id", "'' AS event_type", "0L AS n", "0L AS recency_s", "0D AS total_ms") if long else none

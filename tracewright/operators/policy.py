@@ -5,7 +5,7 @@ A missing or broken rule allows (fail open); an approval without an answer in ti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
@@ -63,6 +63,24 @@ def enforce(calls: DataFrame, policies: DataFrame | None, approvals: DataFrame |
     return out.withColumn("cancel_message", F.when(F.col("cancelled"), said)).withColumn("mark", F.when(F.col("cancelled"), F.col("decision"))).withColumn("gate_wait_ms", F.coalesce("gate_wait_ms", F.lit(0.0))).drop("rule_message")
 
 
+def applied(journals: DataFrame, enforced: DataFrame) -> DataFrame:
+    """Journals in which cancelled calls took place as they did: the result is the message, and each call has its ``enforced_decision``.
+
+    enforced: ``enforce`` over the calls of these journals, with record_id and i, the place of the call. Spans and lifecycle events made
+    of the outcome carry both. Only cancelled calls are shuffled.
+    """
+    stop = F.struct(F.col("i").cast("int").alias("i"), F.struct("cancel_message", "mark").alias("what"))
+    stops = enforced.where("cancelled").groupBy("record_id").agg(F.map_from_entries(F.collect_list(stop)).alias("stops"))
+
+    def call(c: Column, i: Column) -> Column:
+        what = F.col("stops")[i]
+        kept = [c[f].alias(f) for f in fields if f not in ("result", "enforced_decision")]
+        return F.struct(*kept, F.coalesce(what["cancel_message"], c["result"]).alias("result"), what["mark"].alias("enforced_decision"))
+
+    fields = journals.schema["tool_calls"].dataType.elementType.fieldNames()
+    return journals.join(stops, "record_id", "left").withColumn("tool_calls", F.transform("tool_calls", call)).select(*journals.columns)
+
+
 def marked(tool_spans: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Tool spans with the ``mark`` of their call as ``enforced_decision``. Calls and spans are matched by tool-use id, else by name and turn within the
     journal; each verdict is used once. Cancelled calls keep their span."""

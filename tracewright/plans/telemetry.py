@@ -575,6 +575,17 @@ def tool_durations(t):
     return e.select("call_id", (F.col("gate_wait_ms") + work).alias("duration_ms"), "gate_wait_ms", work.alias("work_ms"))
 
 
+@query(
+    f"""WITH {_ANSWERED}, c AS (SELECT record_id, unnest(range(len(tool_calls))) AS i, unnest(tool_calls).result AS result FROM decision_journals)
+SELECT {_sid("CAST(record_id AS VARCHAR)", "'tool'", "CAST(i AS VARCHAR)")} AS span_id, CASE WHEN cancelled THEN decision END AS enforced_decision,
+  CASE WHEN cancelled THEN decision || ' by policy ' || rule || CASE WHEN approval IS NULL THEN '' ELSE ' (approval ' || approval || ')' END ELSE left({sql_redact("result")}, 500) END AS output_value FROM done JOIN c USING (record_id, i)"""
+)
+def enforced_journals(t):
+    """Tool spans of journals in which the verdicts were enforced."""
+    j = policy.applied(t("decision_journals"), _enforced(t))
+    return spans.tool_spans(j).select("span_id", "enforced_decision", "output_value")
+
+
 # --- lifecycle and streams ------------------------------------------------------------------------
 
 
