@@ -27,6 +27,7 @@ from tracewright.llm import language
 from tracewright.sources.tables import settled, spread
 
 _FENCE = re.compile(r"[ ]{0,3}(```+|~~~+)")
+_BULLETS = frozenset("-*•+–‣◦")
 _ITEM = re.compile(r"[ \t]*(?:[-*•+–‣◦]|(\d{1,3})[.)、])[ \t\xa0　]+(?=\S)")
 _INDENT = re.compile(r"(?: {4}|\t)[ \t]*\S")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
@@ -35,7 +36,7 @@ _CODE = re.compile(r"`[^`\n]+`")
 _MARK = re.compile(r"(?:\.{2,}|[.!?…。！？।॥؟۔｡])(?:[.!?…。！？؟]|[  \xa0](?=[!?]))*")
 _OPEN, _CLOSE = "“«„「『（(【〈《‘", "”»“」』）)】〉》’"
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "〈": "〉", "《": "》"}
-_CLOSERS = "\"”»“」』）)】〉》]'’"
+_CLOSERS = frozenset("\"”»“」』）)】〉》]'’")
 _BRACKET = re.compile(r"[\"“”«»„「」『』（）()【】〈〉《》]")
 _FULL = "。！？｡"
 _UNCASED = re.compile(r"[֐-ࣿऀ-᫿぀-ヿ㐀-鿿가-힯]")
@@ -49,6 +50,7 @@ _RUN = rf"(?:[^\W_]++|[{_SIGNS}]++)++"
 _WORD = re.compile(rf"{_RUN}(?:[.'’-]{_RUN})*+")
 #: A word and the sign right behind it that may end a sentence.
 _ENDED = re.compile(rf"(?<![^\W_])({_RUN}(?:[.'’-]{_RUN})*+)([.!?…。！？।॥؟])")
+_NONE: frozenset[int] = frozenset()
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*$")
 
 
@@ -72,15 +74,19 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
             out.append((open_at, end, words_at, False))
             open_at = -1
 
+    plain = "\r" not in text
     while at < n:
-        m = _LINE.match(text, at)
-        line, stop = m[0], m.end()
+        stop = (text.find("\n", at) + 1 or n) if plain else _LINE.match(text, at).end()
+        line = text[at:stop]
         bare = line.strip()
+        head = bare[:1]
+        # Only what can be one is tried as a fence, an indent or an item.
+        item = _ITEM.match(line) if head in _BULLETS or head.isdigit() else None
         if fence is not None:
             if bare.startswith(fence) and not bare.strip(fence[0]):
                 close(at + len(line.rstrip()))
                 fence, after_blank = None, True
-        elif f := _FENCE.match(line):
+        elif head and head in "`~" and (f := _FENCE.match(line)):
             close(at)
             fence, code_at, code_kind, in_list = f[1], at, "fence", False
             if bare.count(fence[0] * 3) > 1 and len(bare) > 6 and bare.endswith(fence):
@@ -91,14 +97,13 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
             after_blank = True
             at = stop
             continue
-        elif (code_at >= 0 or after_blank) and _INDENT.match(line) and not (in_list and _ITEM.match(line)):
+        elif (code_at >= 0 or after_blank) and line[0] in " \t" and _INDENT.match(line) and not (in_list and item):
             if code_at < 0:
                 close(at)
                 code_at, code_kind, in_list = at, "indent", False
         else:
             if code_at >= 0:
                 close(at)
-            item = _ITEM.match(line)
             number = int(item[1]) if item and item[1] else None
             if item and number is not None and not after_blank and not in_list and number != 1:
                 item = None  # a wrapped line that begins with a number
@@ -194,8 +199,8 @@ def language_of(code: str | None, text: str) -> str:
     return language.guess(prose, 0.5)[0] or "und"
 
 
-def observe(text: str, seen: Counter, words: Counter) -> None:
-    """Counts of one text. ``words``: every word as written. ``seen``: ``p`` a word with a period; ``i`` a period with a word after it that
+def observe(text: str, seen: Counter, tokens: Counter) -> None:
+    """Counts of one text. ``tokens``: what stands between blanks, as written, to be cut into words when it is known how often each occurs. ``seen``: ``p`` a word with a period; ``i`` a period with a word after it that
     is no new sentence by its case; ``f`` a capitalised word behind such a period; ``s`` a word at a sure start; ``d`` a word behind a number
     with a period, ``m`` how many such places. Only words beside marks are looked at one by one."""
     for start, end, words_at, code in blocks(text):
@@ -206,7 +211,7 @@ def observe(text: str, seen: Counter, words: Counter) -> None:
             part = _URL.sub(lambda m: " " * len(m[0]), part)
         if "`" in part:
             part = _CODE.sub(lambda m: " " * len(m[0]), part)
-        words.update(_WORD.findall(part))
+        tokens.update(part.split())
         first = _WORD.search(part)
         if first:
             _begin(first[0], seen)
@@ -249,14 +254,15 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(total: dict[str, tuple[Counter, Counter]]) -> pa.RecordBatch:
         rows = []
-        for lang, (seen, words) in total.items():
-            for word, n in words.items():
-                if not word[0].isdigit():
-                    low = word.lower()
-                    seen["a", low] += n
-                    seen["n", ""] += n
-                    if word[0].isupper():
-                        seen["c", low] += n
+        for lang, (seen, tokens) in total.items():
+            for token, n in tokens.items():
+                for word in _WORD.findall(token):
+                    if not word[0].isdigit():
+                        low = word.lower()
+                        seen["a", low] += n
+                        seen["n", ""] += n
+                        if word[0].isupper():
+                            seen["c", low] += n
             rows += [(lang, kind, key, n) for (kind, key), n in seen.items() if n]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "kind", "key", "n"])
 
@@ -363,12 +369,15 @@ def _first_word(text: str, at: int) -> tuple[str, str]:
 def boundaries(text: str, known: Statistics) -> list[int]:
     """Positions in one block of prose after which a new sentence begins."""
     spans = protected(text)
-    starts_of, links_end = {s[0] for s in spans}, {s[1] for s in spans if s[2] == "u"}
+    starts_of, links_end = ({s[0] for s in spans}, {s[1] for s in spans if s[2] == "u"}) if spans else (_NONE, _NONE)
+    size = len(text)
     cuts: list[int] = []
     active: list[tuple[int, int, str]] = []
     upto, last_mark, last_start = 0, -1, 0
     for m in _MARK.finditer(text):
-        at, end = m.start(), m.end()
+        at, end = m.span()
+        if end - at == 1 and text[at] == "." and end < size and text[end].isalnum() and not text[at - 1 : at].islower() and at not in links_end:
+            continue  # inside a number, a name or the like; nothing below would cut here
         while upto < len(spans) and spans[upto][0] <= at:
             active.append(spans[upto])
             upto += 1
@@ -388,7 +397,7 @@ def boundaries(text: str, known: Statistics) -> list[int]:
                 break
         last_mark, last_start = at, word_at
         closers = end
-        while closers < len(text) and text[closers] in _CLOSERS:
+        while closers < size and text[closers] in _CLOSERS:
             closers += 1
         covering = active
         shut: list[tuple[int, int, str]] = []
@@ -401,19 +410,19 @@ def boundaries(text: str, known: Statistics) -> list[int]:
             shut = [s for s in covering if end < s[1] <= closers]
         if closers > end and not shut and any(x in starts_of for x in range(end, closers)):
             closers = end  # what follows opens something new
-        if closers >= len(text):
+        if closers >= size:
             continue
         mark = m[0]
         gap = closers
-        while gap < len(text) and text[gap].isspace():
+        while gap < size and text[gap].isspace():
             gap += 1
-        if gap >= len(text):
+        if gap >= size:
             continue
         spaced = gap > closers
         sign, word = _first_word(text, gap)
         low = word.lower()
         last = mark.rstrip()[-1]
-        uncased_next = bool(_UNCASED.match(sign)) if sign else False
+        uncased_next = sign >= "\u0590" and bool(_UNCASED.match(sign))
         quoted = bool(shut) and any(s[2] in "\"”»“」』’" for s in shut)
         if mark not in ".?!" and any(c in _FULL for c in mark):
             if text[gap] in "，、,;；:：。":
