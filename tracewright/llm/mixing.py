@@ -107,7 +107,7 @@ def realise(sizes: DataFrame, wanted: dict[str, float], tokens: dict[str, int],
         taken = fits if taken is None else taken.unionByName(fits)
         # One row for each target source.
         spent = cut.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("n_tokens"))), F.lit(0)).alias("spent"))
-        left = settled(cut.where("upto > rest").drop("start", "upto").join(F.broadcast(spent), "source").withColumn("rest", F.col("rest") - F.col("spent")).where("n_tokens <= rest").select(*kept, "rest"))
+        left = cut.where("upto > rest").drop("start", "upto").join(F.broadcast(spent), "source").withColumn("rest", F.col("rest") - F.col("spent")).where("n_tokens <= rest").select(*kept, "rest")
         if left.isEmpty():
             break
     out = full.unionByName(taken)
