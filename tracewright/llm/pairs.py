@@ -177,6 +177,7 @@ _PLANTED_REFUSALS = {
     "hi": (("", "क्षमा करें, ", "खेद है, "), ("मैं इसमें मदद नहीं कर सकता।", "मुझे मना करना होगा।")),
 }
 _PLANTED_NOTHING = ("", "  ", "n/a", "...", "```\n```", "null", "-", "None", "\n\n", "(no response)")
+_PLANTED_MARKS = ("…", " [truncated]", "...[cut]", "\ufffd")
 _INNER = re.compile(r"[^\W_]{2}(?=[^\W_]{2})")
 
 
@@ -195,7 +196,8 @@ def plant(kind: str, question: Question, answer: str, donors: dict[str, str], ca
         if draw % 3 == 0 and len(answer) > 1:
             return (answer + " ") * (cap // len(answer) + 1) if len(answer) >= cap else ((answer + " ") * (cap // len(answer) + 1))[:cap]
         places = [m.end() for m in _INNER.finditer(answer)]
-        return answer[: places[draw % len(places)]] if places else None
+        mark = _PLANTED_MARKS[draw // 7 % len(_PLANTED_MARKS)] if draw % 3 == 1 else ""
+        return answer[: places[draw % len(places)]] + mark if places else None
     others = sorted(x for x in donors if x != question.language)
     return donors[others[draw % len(others)]] if question.language and others else None
 
