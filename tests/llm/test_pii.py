@@ -97,6 +97,14 @@ def test_surrogates_are_no_real_values(spark):
     assert not {r["surrogate"] for r in table} & {v for _, v in rows} and len({r["surrogate"] for r in table}) == 60
 
 
+def test_names_of_initials_and_single_words(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 4)
+    rows = [("person_name", f"{chr(65 + i)}. Zibran{k}".replace("0", "a").replace("1", "o")) for i in range(26) for k in range(2)] + [("person_name", n) for n in ("Zibrana", "Zibrano", "É. Zibrana", "Élo Zibrana", "A. B. Zibrana")]
+    table = pii.surrogate_table(spark.createDataFrame(rows, "pii_type string, pii_value string"), KEY).collect()
+    names = {r["pii_value"]: r["surrogate"] for r in table}
+    assert len(set(names.values())) == len(rows) and not [v for v in names.values() if any(c.isdigit() for c in v)]
+
+
 def test_large_number_of_names(spark):
     rows = [("person_name", f"{chr(65 + i % 26)}{'aeiou'[i % 5]}ranor Zib{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}m") for i in range(20_000)]
     table = pii.surrogate_table(spark.createDataFrame(rows, "pii_type string, pii_value string"), KEY).collect()

@@ -19,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.sources.tables import settled
+from tracewright.sources.tables import new_folder, settled
 
 TYPES = ("email", "card_number", "phone", "id_number", "street_address", "person_name")
 _FILES = "png|jpe?g|gif|svg|css|js|ts|py|md|txt|log|json|ya?ml|html?|pdf|zip|csv|xml|ico|webp"
@@ -324,8 +325,9 @@ def _given(initial: str, gender: str, draw: _Draw, more: int) -> str:
 def _name(text: str, draw: _Draw, more: int = 0) -> str:
     """A name of the same script, case, order and likely gender; each of ``more`` adds a syllable or sign, so names never run out.
 
-    In the Latin script the family name depends on the family name alone, and the initial of the first name on both
-    initial and family, so that ``R. Kessbrook`` stays short for ``Ravik Kessbrook``.
+    In the Latin script the family name depends on the family name alone, and initials are shifted by what the family
+    gives, so that ``R. Kessbrook`` stays short for ``Ravik Kessbrook`` and differs from ``S. Kessbrook``. Where a name has nothing
+    else that could be drawn again, a collision gives it another family name.
     """
     if any("一" <= c <= "鿿" for c in text):
         made = "".join(c if c in " 　・" else _swapped(c, draw) if c in _SWAPS else _sign(i, c, draw) for i, c in enumerate(text))
@@ -346,19 +348,23 @@ def _name(text: str, draw: _Draw, more: int = 0) -> str:
     gender = "f" if first[-1:] in "aeiy" else "m"
     initial = [re.fullmatch(r"[A-Za-z]\.", w) is not None for w in words]
     family = words[-1].casefold()
+    salt = more if all(initial[:-1]) else 0
+    shift = 1 + _Draw(draw.key, f"initial|{family}", salt).below(25)
     out = []
     for i, w in enumerate(words):
         if i == 0 and len(words) > 1:
-            letter = chr(65 + _Draw(draw.key, f"initial|{w[0].lower()}|{family}", 0).below(26))
+            base = unicodedata.normalize("NFKD", w[0])[0].upper()
+            letter = chr(65 + (ord(base) - 65 + shift) % 26)
             new = letter + "."
-            while not initial[i] and _alike(w, new := _given(letter, gender, draw, 1 + more)):
-                pass
+            for _ in range(0 if initial[i] else 64):
+                if not _alike(w, new := _given(letter, gender, draw, 1 + more)):
+                    break
             out.append(new)
         elif initial[i]:
             out.append(chr(65 + draw.below(26)) + ".")
         else:
-            own = _Draw(draw.key, f"family|{w.casefold()}", 0) if i == len(words) - 1 else draw
-            out.append("-".join(_word(x.title(), own, 2) for x in w.split("-")))
+            own = _Draw(draw.key, f"family|{w.casefold()}", salt) if i == len(words) - 1 else draw
+            out.append("-".join(_word(x.title(), own, 2 + salt) for x in w.split("-")))
     if text.isupper():
         out = [w.upper() for w in out]
     elif text.islower():
@@ -428,6 +434,8 @@ def fold(kind: str, value: str) -> str:
     return re.sub(r"\s+", " ", value).casefold()
 
 
+#: Draws of an entity at most; each makes names longer, so few ever need a third.
+ROUNDS = 24
 #: Types whose surrogates may grow.
 _OPEN_ENDED = ("person_name", "street_address")
 
@@ -449,8 +457,8 @@ def surrogate_table(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
 
     Entities that would share one are drawn again with the next salt, the smallest entity keeps its draw; so are those whose draw is
     a value that occurs. Only these are drawn again. Names and addresses grow with the salt and are drawn until all are
-    distinct; of the types with a fixed number of digits, what still collides after ``rounds`` gets a hash behind it, so that
-    distinctness always holds.
+    distinct; of the types with a fixed number of digits, what still collides after ``rounds`` gets a hash behind it (of the others
+    after ``ROUNDS``), so that distinctness always holds.
     """
     schema = "pii_type string, pii_value string, entity string, surrogate string, folded string, salt int"
     columns = ["pii_type", "pii_value", "entity", "surrogate", "folded"]
@@ -458,27 +466,24 @@ def surrogate_table(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
     clash = Window.partitionBy("pii_type", "folded")
     drawn = settled(values.withColumn("salt", F.lit(0)).mapInArrow(_drawn(key), schema))
     real = drawn.select("pii_type", F.col("entity").alias("folded")).distinct()
-    kept: list[DataFrame] = []
-    for i in range(64):
-        taken = real
-        for k in kept:
-            taken = taken.unionByName(k.select("pii_type", "folded"))
-        there = taken.distinct().withColumn("there", F.lit(True))
+    # What is decided is appended to one table, so that plans don't grow with the rounds.
+    folder, spark = new_folder(found.sparkSession), found.sparkSession
+    drawn.limit(0).select(*columns).write.parquet(folder)
+    for i in range(ROUNDS):
+        kept = spark.read.schema(drawn.select(*columns).schema).parquet(folder)
+        there = real.unionByName(kept.select("pii_type", "folded")).distinct().withColumn("there", F.lit(True))
         judged = drawn.withColumn("owner", F.min("entity").over(clash)).join(there, ["pii_type", "folded"], "left")
-        lost = judged.where("there or entity != owner").select("pii_type", "entity").distinct()
+        lost = settled(judged.where("there or entity != owner").select("pii_type", "entity").distinct())
         again = settled(drawn.join(lost, ["pii_type", "entity"], "left_semi").select(*columns))
-        kept.append(settled(drawn.join(lost, ["pii_type", "entity"], "left_anti").select(*columns)))
+        drawn.join(lost, ["pii_type", "entity"], "left_anti").select(*columns).write.mode("append").parquet(folder)
         if i >= rounds:
-            open_ended = F.col("pii_type").isin(*_OPEN_ENDED) if i < 63 else F.lit(False)
-            kept.append(again.where(~open_ended).withColumn("surrogate", F.concat("surrogate", F.lit(" "), F.left(F.sha2("entity", 256), F.lit(12)))))
+            open_ended = F.col("pii_type").isin(*_OPEN_ENDED) if i < ROUNDS - 1 else F.lit(False)
+            again.where(~open_ended).withColumn("surrogate", F.concat("surrogate", F.lit(" "), F.left(F.sha2("entity", 256), F.lit(12)))).write.mode("append").parquet(folder)
             again = again.where(open_ended)
         if again.isEmpty():
             break
         drawn = settled(again.select("pii_type", "pii_value", F.lit(i + 1).alias("salt")).mapInArrow(_drawn(key), schema))
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out.select("pii_type", "pii_value", "entity", "surrogate")
+    return spark.read.schema(drawn.select(*columns).schema).parquet(folder).select("pii_type", "pii_value", "entity", "surrogate")
 
 
 def _rebuilt(column: str):
