@@ -53,12 +53,13 @@ _ID_PLAIN = re.compile(rf"{_ID_CUE}[^\d\n.。।]{{0,25}}?(?<![\w.+/-])([A-Z]{{0
 # Words for streets and the units within a house.
 _STREET = "Street|St\\.?|Avenue|Ave\\.?|Road|Rd\\.?|Lane|Ln\\.?|Drive|Boulevard|Blvd\\.?|Crescent|Close|Court|Ct\\.?|Way|Place|Square|Terrace|Row|Hill|Gardens|Parade|Grove|Mews|Walk|Path"
 _RUE = r"rue|avenue|av\.|boulevard|bd\.?|quai|allée|place|chemin|impasse|cours|route|square|passage|sentier"
-_UNIT = r"(?:,? (?:Unit|Apt\.?|Apartment|Suite|Ste\.?|Flat|Floor|Room) ?#?\w+)?"
+# Letters are those of the Latin script: in other scripts no blank parts a value from what follows.
+_UNIT = r"(?:,? (?:Unit|Apt\.?|Apartment|Suite|Ste\.?|Flat|Floor|Room) ?#?[A-Za-z0-9]+)?"
 _ADDRESSES = [
-    re.compile(rf"(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?!The )(?:[A-Z][\w'’-]+ ){{1,3}}(?:{_STREET})(?![\w]){_UNIT}"),
-    re.compile(r"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad)|(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den) [A-ZÄÖÜ][\wäöüß-]+) \d{1,4}(?: ?[a-z])?(?!\w)"),
-    re.compile(r"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta)(?: (?:de|del|la|las|los|el))*(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ-]+)+(?: (?:de|del|la|las|los)(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ-]+)+)*,?(?: (?:n[º°o]\.?|núm\.?))? ?\d{1,4}(?: ?(?:bis|[A-Z]))?(?!\w)(?:, ?\d{1,2}[ºª°] ?[A-Z]?(?!\w))?"),
-    re.compile(r"(?<![\w.-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:" + _RUE + r")(?: (?:de la|de l['’]|des|du|de|aux|au|à la|d['’]))? ?[A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+(?:(?: (?:de la|des|du|de|d['’]))? [A-ZÀÂÉÈÊÎÔÛ][\wàâéèêëîïôûùç'’-]+)*"),
+    re.compile(rf"(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?!The )(?:[A-Z][A-Za-z0-9_À-ɏ'’-]+ ){{1,3}}(?:{_STREET})(?![A-Za-z0-9_À-ɏ]){_UNIT}"),
+    re.compile(r"(?<![A-Za-z0-9_À-ɏ-])(?:[A-ZÄÖÜ][A-Za-z0-9_À-ɏ-]*(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad)|(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den) [A-ZÄÖÜ][A-Za-z0-9_À-ɏ-]+) \d{1,4}(?: ?[a-z])?(?![A-Za-z0-9_À-ɏ])"),
+    re.compile(r"(?<![A-Za-z0-9_À-ɏ-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta)(?: (?:de|del|la|las|los|el))*(?: [A-ZÁÉÍÓÚÑ][A-Za-z0-9_À-ɏ-]+)+(?: (?:de|del|la|las|los)(?: [A-ZÁÉÍÓÚÑ][A-Za-z0-9_À-ɏ-]+)+)*,?(?: (?:n[º°o]\.?|núm\.?))? ?\d{1,4}(?: ?(?:bis|[A-Z]))?(?![A-Za-z0-9_À-ɏ])(?:, ?\d{1,2}[ºª°] ?[A-Z]?(?![A-Za-z0-9_À-ɏ]))?"),
+    re.compile(r"(?<![A-Za-z0-9_À-ɏ.-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:" + _RUE + r")(?: (?:de la|de l['’]|des|du|de|aux|au|à la|d['’]))? ?[A-ZÀÂÉÈÊÎÔÛ][A-Za-z0-9_À-ɏ'’-]+(?:(?: (?:de la|des|du|de|d['’]))? [A-ZÀÂÉÈÊÎÔÛ][A-Za-z0-9_À-ɏ'’-]+)*"),
     re.compile(r"(?:寄到|寄往|送到|送至|发到|发往|地址是|地址为|地址[:：]|住在|住址是|位于)?(?P<v>[一-鿿]{2,5}?(?:大道|大街|路|街|巷|弄|胡同)\d{1,5}号(?:\d{1,4}(?:号楼|栋|单元|楼|室))*)"),
     re.compile(r"(?P<v>[一-鿿々ヶ]{2,8}[0-9０-９]{1,3}丁目[0-9０-９]{1,3}番(?:地の?)?(?:[0-9０-９]{1,3}号)?(?:[0-9０-９]{1,4}号室)?)"),
 ]
@@ -149,7 +150,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for a, b, kind in [x for x in found if x[2] == "email"]:
         words = re.findall(r"[^\W\d_]{2,}", re.split(r"@|＠|\(at\)|\[at\]", text[a:b])[0])[:2]
         if len(words) == 2:
-            spelled = rf"(?<!\w){words[0]} {words[1]}(?![\w@＠])|(?<!\w){words[1]}, {words[0]}(?![\w@＠])"
+            spelled = rf"(?<![A-Za-z0-9_À-ɏ]){words[0]} {words[1]}(?![A-Za-z0-9_À-ɏ@＠])|(?<![A-Za-z0-9_À-ɏ]){words[1]}, {words[0]}(?![A-Za-z0-9_À-ɏ@＠])"
             found += [(m.start(), m.end(), "person_name") for m in re.finditer(spelled, text, re.I)]
     masked = [m.span() for m in _MASK.finditer(text)] if found else []
     kept: list[tuple[int, int, str]] = []
