@@ -10,6 +10,7 @@ CASES = [
     ("Please write to a.b+c@mail.example about it.", [("email", "a.b+c@mail.example")]), ("Copy ilse.dunbrook [at] example [dot] com on it.", [("email", "ilse.dunbrook [at] example [dot] com")]), ("用 amaru＠post.example.org 。", [("email", "amaru＠post.example.org")]),
     ("Use logo@2x.png and ref@stable.", []), ("Call +1-646-555-0168 ext. 84 now.", [("phone", "+1-646-555-0168 ext. 84")]), ("Ring (212) 555-0125 or +49 (0)30 23125 895.", [("phone", "(212) 555-0125"), ("phone", "+49 (0)30 23125 895")]),
     ("電話は ０３-００００-０１０９ です。", [("phone", "０３-００００-０１０９")]), ("Run 2026-02-14 10:22:31, port 5432 on 10.0.0.7, build 4155550.", []), ("Card 4111-1111-1111-1111 was declined, 4111-1111-1111-1112 too.", [("card_number", "4111-1111-1111-1111")]),
+    ("Call me on 0044-7700-900437 after lunch.", [("phone", "0044-7700-900437")]), ("送り先は365 Copperfield Avenue, Unit 6です。", [("street_address", "365 Copperfield Avenue, Unit 6")]), ("送り先はCalle del Olmo Viejo nº 41です", [("street_address", "Calle del Olmo Viejo nº 41")]), ("寄到41 rue Hugo吧", [("street_address", "41 rue Hugo")]), ("在Lerchensteig 35号", [("street_address", "Lerchensteig 35")]),
     ("my social is 957 21 2709 if needed", [("id_number", "957 21 2709")]), ("Passport L54X7954T4 was scanned.", [("id_number", "L54X7954T4")]), ("Trace 900-12-34567 was sampled.", []), ("The ID on file is 902434475 so far; count 902434475.", [("id_number", "902434475")]),
     ("Ship it to 219 Foxhollow Crescent, Apt 22 instead.", [("street_address", "219 Foxhollow Crescent, Apt 22")]), ("The Avenue module has 12 lanes on Harlow Street.", []), ("Total: 873 The Harlow Street release shipped.", []), ("Lieferung nach Moorwiesenstraße 83 b bitte.", [("street_address", "Moorwiesenstraße 83 b")]),
     ("Enviar a Calle del Olmo Viejo nº 41 hoy.", [("street_address", "Calle del Olmo Viejo nº 41")]), ("Livrez au 76 bis, allée du Vieux Puits merci.", [("street_address", "76 bis, allée du Vieux Puits")]), ("寄到栖霞巷275号。", [("street_address", "栖霞巷275号")]), ("送り先は霞原町8丁目11番12号です。", [("street_address", "霞原町8丁目11番12号")]),

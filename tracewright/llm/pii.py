@@ -132,7 +132,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text or "＠" in text or "at)" in text or "at]" in text:
         found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    found += [(m.start(), m.end(), "card_number") for m in _CARD.finditer(text) if luhn(m[0])]
+    # No card begins with 00, which calls abroad.
+    found += [(m.start(), m.end(), "card_number") for m in _CARD.finditer(text) if m[0][:2] not in ("00", "００") and luhn(m[0])]
     found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if _enough_digits(m[0])]
     found += [(m.start(), m.end(), "id_number") for m in _ID.finditer(text)]
     found += [(m.start(1), m.end(1), "id_number") for m in _ID_PLAIN.finditer(text)]
