@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import endpoints, hashing, redact, scalars
 from tracewright.operators import journals, lifecycle, lookups, policy, spans
 from tracewright.schemas import CAPS, EVENT_TYPES
-from tracewright.sources.tables import prepare, spread, table
+from tracewright.sources.tables import new_folder, prepare, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -258,6 +258,17 @@ def tool_result_texts(t):
 
 # --- lookups and validation -----------------------------------------------------------------------
 
+
+@query("SELECT event_id, event_type, agent_id FROM agent_events")
+def events_all(t):
+    return t("agent_events").select("event_id", "event_type", "agent_id")
+
+
+@query("SELECT record_id, journal_id, sealed FROM decision_journals")
+def journals_all(t):
+    return t("decision_journals").select("record_id", "journal_id", "sealed")
+
+
 @query("SELECT event_id, event_type FROM agent_events WHERE agent_id = (SELECT min(agent_id) FROM decision_journals)")
 def events_by_agent(t):
     agent = t("decision_journals").agg(F.min("agent_id")).first()[0]
@@ -309,6 +320,32 @@ def event_integrity(t):
 _EVENT = sql_canonical("event_id", "agent_id", "agent_name", "event_type", "source_tier", "payload", "decision_journal_id", sql_time("event_timestamp"))
 
 
+_STORED = sql_canonical("event_id", "agent_id", "agent_name", "event_type", "source_tier", f"({sql_redact('payload')})", "decision_journal_id", sql_time("event_timestamp"))
+
+
+@query(f"SELECT event_id, lower(trim(event_type)) AS type, sha256({_STORED}) AS integrity_hash FROM agent_events")
+def stored_events(t):
+    """Events as they are read back from the store they were appended to."""
+    from tracewright.sources import sinks
+
+    events = t("agent_events")
+    folder = new_folder(events.sparkSession)
+    sinks.append_events(events, folder)
+    return events.sparkSession.read.parquet(folder).select("event_id", "type", "integrity_hash")
+
+
+@query("SELECT span_kind, count(*) AS n FROM spans GROUP BY span_kind")
+def exported_spans(t):
+    """Exported lines as they are read back, by the kind in their attributes."""
+    from tracewright.sources import sinks
+
+    s = t("spans")
+    folder = new_folder(s.sparkSession)
+    sinks.export_spans(s, folder)
+    kind = F.regexp_extract("value", r'"key":"openinference\.span\.kind","value":\{"stringValue":"([A-Z]+)"', 1)
+    return s.sparkSession.read.text(folder).groupBy(F.nullif(kind, F.lit("")).alias("span_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT event_id, sha256({_EVENT}) AS hash FROM agent_events")
 def event_envelope_hash(t):
     return t("agent_events").select("event_id", hashing.event_hash().alias("hash"))
