@@ -23,7 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.sources.tables import new_folder, settled
@@ -92,18 +92,31 @@ _RECORD = re.compile(rf"(?:^|\n|[:：。।/|]\s*|[.!?] +)(?P<v>{_ANY})(?: [/|]
 _NOT_NAMES = frozenset("the a an this that it you we they he she support billing team desk everyone anyone someone me him her them us der die das den el la los las le les un une il elle".split())
 _MASK = re.compile(r"\[[A-Z_ ]+\]|\*{2,}|[xX]{3,}|<[A-Z_]+>")
 
-#: Java's reading of what any of the patterns above needs, wider than they are; the cues are their own. Java's
-#: blanks are fewer, so none is asked for behind them; यह is too frequent to be asked for alone.
-_ANNOUNCED = "|".join("यह .* ने " if a == "यह " else a.replace(r"\s+", "") for a, _ in _CUES)
-MAY_HOLD = (
-    rf"(?U)[@＠]|[(\[](?i:at)[)\]]|\p{{Nd}}(?:[ ./(){_DASH}]{{0,3}}\p{{Nd}}){{5}}"
+# The cheap test in the JVM, wider than the patterns above. Cues that may begin with a small letter are sought as plain text, without their
+# first letter; the pattern has the rest, and nothing in it begins with a small Latin letter, so these are passed over at once.
+_SMALL = (
+    "ssigned to |anded to |eported to |aised by |igned by |eported by |ent by |equested by |ritten by |pened by |pproved by |egards,|incerely,|heers,|ours,|hanks,|y name is |his is |ch heiße |ein Name ist |e llamo "
+    "| m'appelle | m’appelle |e suis |uivi par |igné par |emandé par |nvoyé par |uvert par |pidió |envió |firmó |abrió |solicitó "
+).split("|")
+#: Java's blanks are fewer, so none is asked for behind a cue; यह is too frequent to be asked for alone.
+_LARGE = "|".join("यह .* ने " if a == "यह " else a.replace(r"\s+", "") for a, _ in _CUES if not a.startswith(("(?:[", "(?:(?:[")))
+_MAY_HOLD = (
+    rf"(?U)(?![a-z])(?:[@＠]|[(\[](?i:at)[)\]]|\p{{Nd}}(?:[ ./(){_DASH}]{{0,3}}\p{{Nd}}){{5}}"
     r"|[A-Z]\d{2}|\d[a-zA-Z]? (?:[A-Z][\w'’-]+ ){1,3}(?:St|Av|Ro|Rd|La|Ln|Dr|Bo|Bl|Cr|Cl|Co|Ct|Wa|Pl|Sq|Te|Hi|Ga|Pa|Gr|Me)"
     rf"|\d ?(?:bis|ter|quater)?,? (?:{_RUE})"
-    r"|(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad) \d|\b(?:Am|An de[rn]|Im|In der|Auf de[mr]|Zu[mr]|Unter den) \p{Lu}[\w-]+ \d"
-    rf"|Calle|C/|Avda|Avenida|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta|\d号|丁目|{_ANNOUNCED}"
+    r"| (?=\d)(?<=(?:straße|strasse|str\.|gasse|weg|steig|allee|platz|ring|damm|ufer|wehr|hof|chaussee|stieg|pfad) )|\b(?:Am|An de[rn]|Im|In der|Auf de[mr]|Zu[mr]|Unter den) \p{Lu}[\w-]+ \d"
+    rf"|Calle|C/|Avda|Avenida|Av\.|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Glorieta|\d号|丁目|{_LARGE})"
 )
 
 
+def may_hold(text: Column) -> Column:
+    """Whether ``text`` can hold any value at all; null for null."""
+    test = text.rlike(_MAY_HOLD)
+    for cue in _SMALL:
+        test = test | text.contains(cue)
+    return test
+
+
 def luhn(text: str) -> bool:
     digits = [int(c) for c in text if c.isdigit()]
     if not 13 <= len(digits) <= 19:
@@ -202,7 +215,7 @@ def texts(journals: DataFrame, spans: DataFrame) -> DataFrame:
 
 def occurrences(fields: DataFrame) -> DataFrame:
     """Every value with its place, see ``FOUND``; map-only."""
-    return fields.where(F.col("text").rlike(MAY_HOLD)).mapInArrow(_detect, FOUND)
+    return fields.where(may_hold(F.col("text"))).mapInArrow(_detect, FOUND)
 
 
 def values(fields: DataFrame) -> DataFrame:
@@ -519,7 +532,7 @@ def rewritten(fields: DataFrame, key: bytes) -> DataFrame:
     Texts are read and searched once; only those with values are shuffled, by a hash of place and text.
     """
     by = ["source_field", "row_key", "call_no"]
-    suspect = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False)).alias("suspect")
+    suspect = F.coalesce(may_hold(F.col("text")), F.lit(False)).alias("suspect")
     read = settled(fields.select(*by, "text", suspect).mapInArrow(_replaced, PLACED))
     plain = read.where(F.size("places") == 0).select(*by, "redacted", F.col("text").alias("surrogate_text"))
     held = read.where(F.size("places") > 0).withColumn("id", F.sha2(F.to_json(F.struct(*by, "text")), 256))
