@@ -17,6 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewright.schemas import AGENT_EVENT
 from tracewright.sources.tables import new_folder, prepare
 
+#: A call of Python takes about a millisecond, whatever it gets; keys with little state are kept together in so many states.
+BUCKETS = 1024
+DAY_MS = 24 * 3_600_000
+
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Events from a folder of Parquet files, new files as they arrive."""
@@ -78,30 +82,49 @@ def folded(events: DataFrame, late: str = "7 days") -> DataFrame:
     return _stateful(rows, "decision_journal_id", _folded, "journal_id string, tool_count bigint, model_count bigint, total_tokens bigint, tool_names array<string>", "held string")
 
 
-def _first_answer(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
-    """State: when it was asked, until when, and the first answer so far."""
-    if state.hasTimedOut:
-        asked, end, at, status = state.get
+def _bucketed(df: DataFrame, by: str, function, out: str) -> DataFrame:
+    """``function`` once for each bucket of keys, not for each key."""
+    return _stateful(df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS))), "bucket", function, out, "held string")
+
+
+def _kept(entries: list[list], state: GroupState) -> None:
+    """Keeps the entries of a bucket, which have their deadline last; its timer is the first of them."""
+    if entries:
+        state.update((json.dumps(entries),))
+        state.setTimeoutTimestamp(max(min(e[-1] for e in entries), state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
         state.remove()
-        if asked is not None:
-            yield pd.DataFrame({"hold_id": [key[0]], "requested_at": [pd.Timestamp(asked, unit="us", tz="UTC").tz_localize(None)], "outcome": [status if at is not None and asked <= at <= end else "timeout"]})
-        return
-    asked, end, at, status = state.get if state.exists else (None, None, None, None)
-    answers = [] if at is None else [(at, status)]
-    for b in batches:
-        for requested, until, when, said in zip(b["requested_us"], b["until_us"], b["at_us"], b["status"], strict=True):
-            if pd.notna(requested):
-                asked, end = int(requested), int(until)
-            elif pd.notna(when):
-                answers.append((int(when), said))
-    # Answers before the question or after its end are none; as long as it isn't known, the first is kept.
-    answers = sorted(x for x in answers if asked is None or asked <= x[0] <= end)
-    at, status = answers[0] if answers else (None, None)
-    state.update((asked, end, at, status))
-    if end is not None:
-        state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    else:
-        _later(state)
+
+
+def _first_answers(timeout_us: int):
+    def of_bucket(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
+        """State: open holds with when they were asked, their answers (at, status) that may count, and when the hold is due."""
+        now = max(state.getCurrentWatermarkMs(), 0)
+        held = {hold: rest for hold, *rest in json.loads(state.get[0])} if state.exists else {}
+        for b in () if state.hasTimedOut else batches:
+            for hold, at, said in zip(b["hold_id"].tolist(), b["us"].tolist(), b["status"].tolist(), strict=True):
+                x = held.setdefault(hold if isinstance(hold, str) else None, [None, [], 0])
+                if not isinstance(said, str):
+                    x[0] = at if x[0] is None else min(x[0], at)
+                else:
+                    x[1].append([at, said])
+                    # The first batch has no watermark yet.
+                    x[2] = max(x[2], (now or at // 1000) + DAY_MS)
+        left, done = [], []
+        for hold, (asked, answers, due) in held.items():
+            if asked is not None:
+                # Answers before the question or after its end are none; as long as it isn't known, all are kept.
+                answers = sorted(x for x in answers if asked <= x[0] <= asked + timeout_us)[:1]
+                due = (asked + timeout_us) // 1000 + 1
+            if due >= now:
+                left.append([hold, asked, answers, due])
+            elif asked is not None:
+                done.append((hold, asked, answers[0][1] if answers else "timeout"))
+        _kept(left, state)
+        if done:
+            yield pd.DataFrame(done, columns=["hold_id", "asked", "outcome"])
+
+    return of_bucket
 
 
 def gates(requests: DataFrame, answers: DataFrame, timeout_s: int = 120, late: str = "10 minutes") -> DataFrame:
@@ -110,11 +133,12 @@ def gates(requests: DataFrame, answers: DataFrame, timeout_s: int = 120, late: s
     requests: (hold_id, requested_at); answers: (hold_id, at, status), pending and null ones count as none. Answers may come in any order
     and before their question by up to ``late``; which was first is decided by ``at``.
     """
-    none = F.lit(None).cast("bigint")
-    at = F.unix_micros("requested_at")
-    r = requests.select("hold_id", F.col("requested_at").alias("seen"), at.alias("requested_us"), (at + timeout_s * 1_000_000).alias("until_us"), none.alias("at_us"), F.lit(None).cast("string").alias("status"))
-    a = answers.where("coalesce(status, 'pending') <> 'pending'").select("hold_id", F.col("at").alias("seen"), none.alias("requested_us"), none.alias("until_us"), F.unix_micros("at").alias("at_us"), "status")
-    return _stateful(r.unionByName(a).withWatermark("seen", late), "hold_id", _first_answer, "hold_id " + dict(requests.dtypes)["hold_id"] + ", requested_at timestamp, outcome string", "asked bigint, until bigint, at bigint, status string")
+    hold = F.col("hold_id").cast("string").alias("hold_id")
+    r = requests.select(hold, F.col("requested_at").alias("seen"), F.lit(None).cast("string").alias("status"))
+    a = answers.where("coalesce(status, 'pending') <> 'pending'").select(hold, F.col("at").alias("seen"), "status")
+    rows = r.unionByName(a).where("seen is not null").withWatermark("seen", late).withColumn("us", F.unix_micros("seen"))
+    out = _bucketed(rows, "hold_id", _first_answers(timeout_s * 1_000_000), "hold_id string, asked bigint, outcome string")
+    return out.select(F.col("hold_id").cast(dict(requests.dtypes)["hold_id"]).alias("hold_id"), F.timestamp_micros("asked").alias("requested_at"), "outcome")
 
 
 def _used(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
