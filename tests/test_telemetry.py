@@ -152,3 +152,24 @@ def test_gate_stream_keeps_holds_together(spark, tmp_path):
     want = {2**60 + i: f"said {i}" if i % 50 <= 20 else "timeout" for i in range(n)} | {-1: "approved", -2: "timeout"}
     out = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert {h: o for h, _, o in out} == want and len(out) == len(want) and {at for h, at, _ in out if h > 0} == {s(0)}
+
+
+def test_span_stream_keeps_ids_together(spark, tmp_path):
+    """Thousands of ids share states; a child waits over batches, also those of the first one, and comes once."""
+    from tracewright.streaming import jobs
+
+    shape = "span_id string, parent_span_id string, span_name string, ingested_at timestamp"
+    s = lambda n: T0 + dt.timedelta(hours=n)
+    n = 2000
+    first = [(f"p{i}", None, f"n{i}", s(0)) for i in range(n)] + [(f"c{i}", f"p{i}", "c", s(i % 2)) for i in range(n)] + [("c0", "p0", "c", s(1)), ("waits", "later", "w", s(1)), ("lone", "never", None, s(1))]
+    batches = [first, [("x", None, "x", s(2))], [("later", None, None, s(3)), ("waits", "later", "w", s(3)), ("c1", "p1", "c", s(3))], [("waits", "later", "w", s(4)), ("new", "p5", "c", s(4))]]
+    states = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / f"in/{i}"))
+        stream = spark.readStream.schema(shape).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        q = jobs.nested(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        states += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    want = [(f"c{i}", f"p{i}", "c", f"n{i}") for i in range(n)] + [("waits", "later", "w", None), ("new", "p5", "c", "n5")]
+    assert sorted(map(str, (tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()))) == sorted(map(str, want))
+    assert max(states) < n

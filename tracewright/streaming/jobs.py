@@ -211,32 +211,37 @@ def consumed(calls: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def _met(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
-    """State: the parent's name once it is there, until then the children that wait, and which children came out."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    there, name, waiting, out = (state.get[0], state.get[1], json.loads(state.get[2]), set(json.loads(state.get[3]))) if state.exists else (False, None, {}, set())
-    for b in batches:
-        for role, span, own in zip(b["role"], b["span_id"], b["span_name"], strict=True):
-            if role == "parent":
-                there, name = True, own if not there else name
-            elif span not in out:
-                waiting.setdefault(span, own)
-    ready = waiting if there else {}
-    if there:
-        out.update(ready)
-        waiting = {}
-    state.update((there, name, json.dumps(waiting), json.dumps(sorted(out))))
-    _later(state)
-    if ready:
-        yield pd.DataFrame({"span_id": list(ready), "parent_span_id": key[0], "span_name": pd.Series(list(ready.values()), dtype="object"), "parent_name": pd.Series([name] * len(ready), dtype="object")})
+    """State: for each id in which children and a parent meet whether the parent is there, its name, the children that wait, which came out, and when all this is let go."""
+    now = max(state.getCurrentWatermarkMs(), 0)
+    held = {meets: [there, name, dict(waiting), set(out), due] for meets, there, name, waiting, out, due in json.loads(state.get[0])} if state.exists else {}
+    met = []
+    if not state.hasTimedOut:
+        # Of repeats in a batch the earliest counts.
+        rows = pd.concat(list(batches)).sort_values("seen_ms", kind="stable")
+        for meets, parent, span, own, seen in zip(*(rows[c].tolist() for c in ("meets", "parent", "span_id", "span_name", "seen_ms")), strict=True):
+            x = held.setdefault(meets, [False, None, {}, set(), 0])
+            # The first batch has no watermark yet.
+            x[4] = max(x[4], (now or int(seen)) + DAY_MS)
+            if parent:
+                x[0], x[1] = True, x[1] if x[0] else own
+            elif span not in x[3]:
+                x[2].setdefault(span, own)
+        for meets, x in held.items():
+            if x[0] and x[2]:
+                met += [(span, meets, own, x[1]) for span, own in x[2].items()]
+                x[3].update(x[2])
+                x[2] = {}
+    _kept([[meets, there, name, list(waiting.items()), list(out), due] for meets, (there, name, waiting, out, due) in held.items() if due >= now], state)
+    if met:
+        yield pd.DataFrame(met, columns=["span_id", "parent_span_id", "span_name", "parent_name"], dtype="object")
 
 
 def nested(spans: DataFrame, late: str = "7 days") -> DataFrame:
     """(span_id, parent_span_id, span_name, parent_name), whichever of the two arrives first; children wait for their parent a day behind the watermark, repeats come once."""
-    roles = F.explode(F.array(F.struct(F.lit("parent").alias("role"), F.col("span_id").alias("meets")), F.struct(F.lit("child").alias("role"), F.col("parent_span_id").alias("meets"))))
-    rows = spans.withWatermark("ingested_at", late).select("span_id", "span_name", "ingested_at", roles.alias("r")).select("span_id", "span_name", "ingested_at", "r.role", "r.meets").where("meets is not null")
-    return _stateful(rows, "meets", _met, "span_id string, parent_span_id string, span_name string, parent_name string", "there boolean, name string, waiting string, done string")
+    roles = F.explode(F.array(F.struct(F.lit(True).alias("parent"), F.col("span_id").alias("meets")), F.struct(F.lit(False).alias("parent"), F.col("parent_span_id").alias("meets"))))
+    rows = spans.withWatermark("ingested_at", late).select("span_id", "span_name", "ingested_at", F.coalesce(F.unix_millis("ingested_at"), F.lit(0)).alias("seen_ms"), roles.alias("r"))
+    rows = rows.select("span_id", "span_name", "ingested_at", "seen_ms", "r.parent", "r.meets").where("meets is not null")
+    return _bucketed(rows, "meets", _met, "span_id string, parent_span_id string, span_name string, parent_name string")
 
 
 def subscribed(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], None]], on_error: Callable[[Exception], None] | None = None):
